@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, mixing, sharding, sketch, tokenfile
+from . import bpe, common, minhash, mixing, sharding, sketch, tokenfile
 
 VOCAB = "word_bpe_49k.json"
 #: Parts of a period for the named sources; sources that are not named share the rest.
@@ -47,7 +47,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.even_tree(16))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_files, op5_sketches, op6_bpe, op8_mixing, op9_sharding)
+    f.__name__: f for f in (op4_token_files, op5_sketches, op6_bpe, op8_mixing, op9_sharding, op10_minhash)
 }
 SQL: dict[str, str] = {}
