@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, minhash, mixing, sharding, sketch, tokenfile
+from . import bpe, common, minhash, mixing, repeats, sharding, sketch, tokenfile, urls
 
 VOCAB = "word_bpe_49k.json"
 #: Parts of a period for the named sources; sources that are not named share the rest.
 SOURCE_WEIGHTS = {"src0": 20, **{f"src{i}": 4 for i in range(1, 20)}, mixing.OTHER: 4}
 
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
 
 def vocab_path() -> str:
     import public_tokenizers
@@ -24,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.scratch(spark, "tokens")
     tokenfile.write(table(spark, sf_dir, "documents"), vocab_path(), out)
@@ -52,6 +62,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_files, op5_sketches, op6_bpe, op8_mixing, op9_sharding, op10_minhash)
+    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op4_token_files, op5_sketches, op6_bpe, op8_mixing, op9_sharding, op10_minhash)
+}
+
+_RULES = ", ".join(f"('{verdict}', '{rule}', '{rule.split('/')[0]}', '{rule[rule.index('/'):]}')" for verdict, rule in URL_RULES)
+SQL: dict[str, str] = {
+    "op2_url_rules": f"""
+WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {_RULES}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, got.rule AS rule, coalesce(got.verdict, 'allow') AS verdict
+FROM split LEFT JOIN LATERAL (
+  SELECT rule, rules.verdict FROM rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  ORDER BY length(rule) DESC, length(rule_host) DESC LIMIT 1) got ON true
+""",
 }
-SQL: dict[str, str] = {}
