@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import re
+import string
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -29,7 +30,10 @@ from . import common
 BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 90
-CACHE_WORDS = 600_000
+#: Words of a generation of a task's cache; when it is full it becomes the old one, from which words are taken back.
+CACHE_WORDS = 300_000
+#: Words that the library gets as one text.
+TOGETHER = 200
 _HEAD = struct.Struct("<IHBH")
 
 
@@ -78,11 +82,28 @@ def read_range(blocks: bytes, payload: bytes, start: int, n: int) -> np.ndarray:
     return got[start - first * BLOCK : start - first * BLOCK + n]
 
 
+class _Known(dict):
+    """Ids of words as little-endian uint32. A new word gets an empty bytearray, which is filled when it is learnt."""
+
+    def __init__(self, old: dict | None = None):
+        super().__init__()
+        self.old, self.new = old or {}, []
+
+    def __missing__(self, word: str):
+        ids = self.old.get(word)
+        if ids is None:
+            ids = bytearray()
+            self.new.append((word, ids))
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """The tokenizers library, asked once for each new word.
 
-    The vocabulary's pieces never cross white space, so a text's ids are those of its words in order. Words that are
-    not in the bounded cache go to the library together; an end-of-word token ends each piece there.
+    The vocabulary's pieces never cross white space, so a text's ids are those of its words in order. A word of letters
+    is one piece, and so are the marks that follow it. Pieces that are not in the bounded cache go to the library many
+    at a time, as one text; an end-of-word token ends each of them there.
     """
 
     def __init__(self, path: str, spec: str):
@@ -90,38 +111,71 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_str(spec)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.known = _Known()
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian uint32."""
         out, lo = [], 0
         while lo < len(texts):
-            got, used = [], 0
+            if len(self.known) > CACHE_WORDS:
+                self.known = _Known(dict(self.known))
+            got, used, of = [], 0, self.known.__getitem__
             while lo < len(texts) and (not got or used < 1 << 20):
                 t = texts[lo]
-                got.append(None if any(a in t for a in self.added) or _ODD.search(t) else (t if t.isascii() else unicodedata.normalize("NFC", t)).split())
+                if any(a in t for a in self.added) or _ODD.search(t):
+                    got.append([self.one(t)])
+                else:
+                    t = t.lower() if t.isascii() else unicodedata.normalize("NFC", t)
+                    got.append(list(map(of, _STOP.sub(" ", t).split())))
                 used += len(t)
                 lo += 1
-            seen = set().union(*(g for g in got if g is not None))
-            if len(self.cache) + len(seen) > CACHE_WORDS:
-                self.cache.clear()
-            self.learn(seen.difference(self.cache))
-            know = self.cache.__getitem__
-            at = lo - len(got)
-            for i, g in enumerate(got):
-                whole = np.array(self.whole.encode(texts[at + i], add_special_tokens=False).ids, "<u4").tobytes() if g is None else b"".join(map(know, g))
-                out.append(whole)
+            self.learn()
+            out += [b"".join(g) for g in got]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        listed = list(words)
-        for lo in range(0, len(listed), 2000):
-            part = listed[lo : lo + 2000]
-            for w, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+    def learn(self) -> None:
+        """Asks for the new words. Marks after letters are taken apart first, so the list may grow once."""
+        known = self.known
+        plain, odd, apart = [], [], []
+        new, known.new = known.new, []
+        for x in new:
+            (plain if x[0].isalpha() else odd).append(x)
+        for w, ids in odd:
+            core = w.rstrip(string.punctuation)
+            if core != w and core.isalpha():
+                apart.append((ids, known[core.lower() if core.isascii() else core], known[w[len(core) :]]))
+            else:
+                ids += self.one(w)
+        for x in known.new:
+            if x[0].isalpha():
+                plain.append(x)
+            else:
+                x[1].extend(self.one(x[0]))
+        known.new = []
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, e in zip(groups, self.whole.encode_batch_fast([" ".join([w for w, _ in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cut) == len(group) + 1:
+                raw = ids.tobytes()
+                for (_, to), a, b in zip(group, cut, cut[1:]):
+                    to += raw[a:b]
+            else:  # some letters are none for the library
+                for w, to in group:
+                    to += self.one(w)
+        for ids, a, b in apart:
+            ids += a + b
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ODD = re.compile(r"[\x1c-\x1f]")
+#: Before a full stop or comma that ends a word of letters: a piece ends there.
+_STOP = re.compile(r"(?<=[a-z])(?=[.,](?:\s|$))")
 _loaded: dict[str, WordTokenizer] = {}
 
 
