@@ -33,12 +33,14 @@ LENGTH = 50
 #: Window starts of an anchor at most; one bit each in a mask.
 RUN = 31
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Contents of one anchor beyond which its windows are dealt out one by one.
 SPLIT = 4096
 #: Suffixes that one suffix array sorts together; anchors are not divided.
 SLICE = 100_000
 _LAST = np.int64((1 << 63) - 1)
+#: Bytes of a hash in a name: anchors may fall together, as suffix arrays tell them apart; contents are told apart by both.
+NAME = 6
 U64 = np.uint64
 
 
@@ -103,7 +105,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     k = length - RUN + 1
     out: list[tuple] = []
     # a few megabytes at a time; pieces of one long text overlap by a window, so that no start is lost or met twice
-    for lo, hi in common.text_chunks(at, 1 << 20):
+    for lo, hi in common.text_chunks(at, 1 << 18):
         if hi - lo > 1 or at[hi] - at[lo] <= 4 << 20:
             spans = [(int(at[lo]), int(at[hi]), int(at[hi]) - int(at[lo]))]
         else:
@@ -183,6 +185,23 @@ def windows(data: np.ndarray, start: np.ndarray, runs: np.ndarray, h: np.ndarray
     return which, step, key, number, order[new], doc[which[order[new]]]
 
 
+def _short(x: np.ndarray) -> bytes:
+    """The upper bytes of hashes."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - NAME :].tobytes()
+
+
+def _long(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // NAME, 8), np.uint8)
+    out[:, 8 - NAME :] = np.frombuffer(x, np.uint8).reshape(-1, NAME)
+    return out.view("<u8").ravel()
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch of large values, one at a time."""
+    for i in range(b.num_rows):
+        yield tuple(c[i].as_py() for c in b.columns)
+
+
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
@@ -192,7 +211,7 @@ def _names(table: DataFrame, length: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, *blobs in zip(*(c.to_pylist() for c in b.columns)):
+            for chunk, *blobs in _rows(b):
                 ids, at, data = open_chunk(*blobs)
                 owner, _, _, _, h, g = segments(data, at, length)
                 _, first, doc = named(ids, owner, h, g)
@@ -202,8 +221,8 @@ def _names(table: DataFrame, length: int, n: int) -> DataFrame:
                 cols = ([], [], [])
                 for i in full:
                     x = slice(cut[i], cut[i + 1])
-                    cols[0].append(h[first[x]].tobytes())
-                    cols[1].append(g[first[x]].tobytes())
+                    cols[0].append(_short(h[first[x]]))
+                    cols[1].append(_short(g[first[x]]))
                     cols[2].append(press.compress(np.diff(doc[x], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "h", "g", "docs"])
 
@@ -214,7 +233,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of one bucket at a time, from rows sorted by bucket (the first column)."""
     held: list[tuple] = []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
+        for row in _rows(b):
             if held and held[0][0] != row[0]:
                 yield held
                 held = []
@@ -233,8 +252,7 @@ def _judge(names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1)
         for rows in _by_bucket(batches):
-            h = np.concatenate([np.frombuffer(r[2], U64) for r in rows])
-            g = np.concatenate([np.frombuffer(r[3], U64) for r in rows])
+            h, g = (_long(b"".join(r[i] for r in rows)) for i in (2, 3))
             docs = [np.cumsum(np.frombuffer(zstandard.decompress(r[4]), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()) for r in rows]
             sizes = [len(d) for d in docs]
             doc = np.concatenate(docs)
@@ -274,7 +292,7 @@ def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, *blobs, codes in zip(*(c.to_pylist() for c in b.columns)):
+            for chunk, *blobs, codes in _rows(b):
                 ids, at, data = open_chunk(*blobs)
                 owner, start, runs, anchor, h, g = segments(data, at, length)
                 _, first, doc = named(ids, owner, h, g)
@@ -456,8 +474,8 @@ class Repeats:
 
         return self.asked.mapInArrow(run, "anchor long, nth long, n_bytes long, n_occurrences long, doc_id long, start long")
 
-    def kept(self) -> DataFrame:
-        """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every row of docs.
+    def kept(self, texts: bool = True) -> DataFrame:
+        """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary: null without texts) of every row of docs.
 
         A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. Null
         and empty texts have nothing to lose; rows of one doc_id never remove from each other; rows without doc_id
@@ -469,9 +487,9 @@ class Repeats:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for _, *blobs, codes, names, bits in zip(*(c.to_pylist() for c in b.columns)):
+                for _, *blobs, codes, names, bits in _rows(b):
                     ids, at, data = open_chunk(*blobs)
-                    yield from _results(ids, at, data, covered(ids, at, data, _codes(codes), names, bits, length))
+                    yield from _results(ids, at, data, covered(ids, at, data, _codes(codes), names, bits, length), texts)
 
         return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
@@ -503,7 +521,7 @@ def covered(ids: np.ndarray, at: np.ndarray, data: np.ndarray, code: np.ndarray,
     return np.cumsum(edge[:-1]) > 0
 
 
-def _results(ids: np.ndarray, at: np.ndarray, data: np.ndarray, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _results(ids: np.ndarray, at: np.ndarray, data: np.ndarray, gone: np.ndarray, texts: bool) -> Iterator[pa.RecordBatch]:
     rise = gone.copy()
     rise[1:] &= ~gone[:-1]
     inner = at[:-1][np.diff(at) > 0]
@@ -516,12 +534,12 @@ def _results(ids: np.ndarray, at: np.ndarray, data: np.ndarray, gone: np.ndarray
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64(), mask=ids == _LAST), pa.array(np.diff(at), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(np.diff(spans), pa.int64()),
-            pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept if texts else [None] * len(kept), pa.binary()),
         ],
         ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
     )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """See Repeats.kept."""
-    return Repeats(docs, length).kept()
+    return Repeats(docs, length).kept(texts)
