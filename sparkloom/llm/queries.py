@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, minhash, mixing, repeats, sharding, sketch, tokenfile, urls
+from . import bpe, common, embeddings, minhash, mixing, repeats, sharding, sketch, tokenfile, urls
 
 VOCAB = "word_bpe_49k.json"
 #: Parts of a period for the named sources; sources that are not named share the rest.
@@ -27,13 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.scratch(spark, "tokens")
     tokenfile.write(table(spark, sf_dir, "documents"), vocab_path(), out)
@@ -62,7 +66,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op4_token_files, op5_sketches, op6_bpe, op8_mixing, op9_sharding, op10_minhash)
+    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op8_mixing, op9_sharding, op10_minhash)
 }
 
 _RULES = ", ".join(f"('{verdict}', '{rule}', '{rule.split('/')[0]}', '{rule[rule.index('/'):]}')" for verdict, rule in URL_RULES)
@@ -77,5 +81,16 @@ FROM split LEFT JOIN LATERAL (
   SELECT rule, rules.verdict FROM rules
   WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   ORDER BY length(rule) DESC, length(rule_host) DESC LIMIT 1) got ON true
+""",
+    "op3_embedding_links": """
+WITH RECURSIVE
+v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'max') = 0
+      AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+links AS (SELECT a.r AS x, b.r AS y FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+low AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY x),
+n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN low ON low.x = v.r LEFT JOIN n ON n.x = v.r
 """,
 }
