@@ -241,6 +241,18 @@ def decode(coded: DataFrame, vocab_path: str) -> DataFrame:
     return _over(coded.select("doc_id", "ids"), vocab_path, rows, "doc_id long, text string")
 
 
+def round_trip(docs: DataFrame, vocab_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids array<int>, decoded) of every whole text, null and empty ones without ids."""
+
+    def rows(bpe: Bpe, b: pa.RecordBatch) -> pa.RecordBatch:
+        coded = [numbers(entries) for entries in bpe.encoded(b.column(1).to_pylist())]
+        n = pa.array([len(x) for x in coded], pa.int64())
+        decoded = pa.array([bpe.decode(x.tolist()) for x in coded], pa.string())
+        return pa.RecordBatch.from_arrays([b.column(0), n, pa.array(coded, pa.list_(pa.int32())), decoded], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return _over(common.documents(docs), vocab_path, rows, "doc_id long, n_tokens long, ids array<int>, decoded string")
+
+
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, with digests of both results."""
 

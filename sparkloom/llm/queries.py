@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, embeddings, minhash, mixing, repeats, sharding, sketch, tokenfile, urls
+from . import bpe, common, embeddings, minhash, mixing, quality, repeats, sharding, sketch, tokenfile, urls
 
 VOCAB = "word_bpe_49k.json"
 #: Parts of a period for the named sources; sources that are not named share the rest.
@@ -52,6 +52,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, SOURCE_WEIGHTS).select("doc_id", "source", "mix_class", "block", "slot", "position")
@@ -66,7 +71,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op8_mixing, op9_sharding, op10_minhash)
+    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op7_quality, op8_mixing, op9_sharding, op10_minhash)
 }
 
 _RULES = ", ".join(f"('{verdict}', '{rule}', '{rule.split('/')[0]}', '{rule[rule.index('/'):]}')" for verdict, rule in URL_RULES)

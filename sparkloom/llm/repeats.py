@@ -474,10 +474,11 @@ class Repeats:
 
         return self.asked.mapInArrow(run, "anchor long, nth long, n_bytes long, n_occurrences long, doc_id long, start long")
 
-    def kept(self, texts: bool = True) -> DataFrame:
+    def kept(self, texts: bool = True, characters: bool = False) -> DataFrame:
         """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary: null without texts) of every row of docs.
 
-        A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id. Null
+        A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id; with
+        characters, one that only a part of a UTF-8 character would lose stays. Null
         and empty texts have nothing to lose; rows of one doc_id never remove from each other; rows without doc_id
         stand after all others; an empty table gives no rows.
         """
@@ -489,7 +490,11 @@ class Repeats:
             for b in batches:
                 for _, *blobs, codes, names, bits in _rows(b):
                     ids, at, data = open_chunk(*blobs)
-                    yield from _results(ids, at, data, covered(ids, at, data, _codes(codes), names, bits, length), texts)
+                    gone = covered(ids, at, data, _codes(codes), names, bits, length)
+                    if characters and len(data):
+                        first = np.flatnonzero((data & 0xC0) != 0x80)
+                        gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(data))))
+                    yield from _results(ids, at, data, gone, texts)
 
         return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
