@@ -31,43 +31,93 @@ BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 90
 #: Words of a generation of a task's cache; when it is full it becomes the old one, from which words are taken back.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Words that the library gets as one text.
 TOGETHER = 200
 _HEAD = struct.Struct("<IHBH")
 
 
+def _packed(off: np.ndarray, width: int) -> bytes:
+    """Lowest width bits of each value, little-endian; up to 16 bits, eight values become width bytes of two words."""
+    if width > 16:
+        return np.packbits(np.unpackbits(off.astype("<u4").view(np.uint8).reshape(len(off), -1), axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes()
+    v = np.zeros((-(-len(off) // 8), 8), np.uint64)
+    v.ravel()[: len(off)] = off & np.uint32((1 << width) - 1)
+    v <<= np.tile(np.arange(4, dtype=np.uint64) * np.uint64(width), 2)
+    half = np.bitwise_or.reduce(v.reshape(-1, 2, 4), axis=2)
+    words = half.copy()
+    if 0 < width < 16:
+        words[:, 0] |= half[:, 1] << np.uint64(4 * width)
+        words[:, 1] >>= np.uint64(64 - 4 * width)
+    return words.astype("<u8").view(np.uint8)[:, :width].tobytes()[: (len(off) * width + 7) // 8]
+
+
+def _unpacked(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    if width > 16:
+        whole = np.zeros((n, 32), np.uint8)
+        whole[:, :width] = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
+        return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+    rows = -(-n // 8)
+    flat = np.zeros(rows * width, np.uint8)
+    flat[: len(raw)] = raw
+    wide = np.zeros((rows, 16), np.uint8)
+    wide[:, :width] = flat.reshape(rows, width)
+    half = wide.view("<u8").astype(np.uint64)
+    if 0 < width < 16:
+        half[:, 1] = half[:, 0] >> np.uint64(4 * width) | half[:, 1] << np.uint64(64 - 4 * width)
+    v = half[:, :, None] >> (np.arange(4, dtype=np.uint64) * np.uint64(width))
+    return (v & np.uint64((1 << width) - 1)).ravel()[:n].astype(np.uint32)
+
+
 def pack_block(ids: np.ndarray) -> bytes:
     """One block of 1 to 65,535 ids (uint32)."""
     ids = ids.astype(np.uint32)
     low = int(ids.min())
     off = ids - np.uint32(low)
-    width = int(np.percentile(off, PERCENTILE, method="higher")).bit_length()
+    place = -(-(len(ids) - 1) * PERCENTILE // 100)
+    width = int(np.partition(off, place)[place]).bit_length()
     over = np.flatnonzero(off >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    wide = off.astype("<u2" if width <= 16 else "<u4")
-    bits = np.unpackbits(wide.view(np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")[:, :width]
     high = (off[over] >> np.uint32(width)).astype("<u4") if width < 32 else np.zeros(0, "<u4")
-    return _HEAD.pack(low, len(ids), width, len(over)) + np.packbits(bits.ravel(), bitorder="little").tobytes() + over.astype("<u2").tobytes() + high.tobytes()
+    return _HEAD.pack(low, len(ids), width, len(over)) + _packed(off, width) + over.astype("<u2").tobytes() + high.tobytes()
 
 
 def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     low, n, width, over = _HEAD.unpack_from(data, at)
     at += _HEAD.size
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    kind = "<u2" if width <= 16 else "<u4"
-    whole = np.zeros((n, 8 * np.dtype(kind).itemsize), np.uint8)
-    whole[:, :width] = bits
-    off = np.packbits(whole, axis=1, bitorder="little").view(kind).ravel().astype(np.uint32)
+    off = _unpacked(np.frombuffer(data, np.uint8, size, at), n, width)
     at += size
     place = np.frombuffer(data, "<u2", over, at)
     off[place] |= np.frombuffer(data, "<u4", over, at + 2 * over) << np.uint32(width)
     return off + np.uint32(low)
 
 
+def _full_blocks(ids: np.ndarray) -> list[bytes]:
+    """pack_block of each row of ids, rows of equal width together."""
+    low = ids.min(axis=1)
+    off = ids - low[:, None]
+    place = -(-(BLOCK - 1) * PERCENTILE // 100)
+    width = np.frexp(np.partition(off, place, axis=1)[:, place].astype(np.float64))[1].astype(np.uint32)
+    high = np.where(width[:, None] < 32, off >> np.minimum(width, 31)[:, None], 0)
+    row, over = np.nonzero(high)
+    cut = np.searchsorted(row, np.arange(len(ids) + 1))
+    over, high = over.astype("<u2"), high[row, over].astype("<u4")
+    out: list[bytes] = [b""] * len(ids)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        packed, size = _packed(off[rows].ravel(), w), BLOCK * w // 8
+        for n, i in enumerate(rows.tolist()):
+            a, b = cut[i], cut[i + 1]
+            out[i] = _HEAD.pack(int(low[i]), BLOCK, w, b - a) + packed[n * size : (n + 1) * size] + over[a:b].tobytes() + high[a:b].tobytes()
+    return out
+
+
 def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
     """(blocks, payload) of a segment."""
-    parts = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    full = len(ids) // BLOCK * BLOCK
+    parts = _full_blocks(ids[:full].astype(np.uint32).reshape(-1, BLOCK)) if full else []
+    if full < len(ids):
+        parts.append(pack_block(ids[full:]))
     starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[: len(parts)]
     return starts.astype("<u4").tobytes(), b"".join(parts)
 
