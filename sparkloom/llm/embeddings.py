@@ -13,6 +13,7 @@ than BLOCK vectors is split into blocks, and pairs of blocks are dealt out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -37,6 +38,7 @@ BLOCK = 1024
 U64 = np.uint64
 
 
+@functools.lru_cache(4)
 def rotations(dim: int, n: int, salt: int) -> np.ndarray:
     """n random rotations side by side: (dim, n * dim)."""
     rng = np.random.default_rng([SEED, dim, salt])
