@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import text_queries
+
+_ALL = (text_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _ALL for k, q in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _ALL for k, s in m.SQL.items()}
