@@ -106,7 +106,7 @@ def merge_fragments(parts: Column) -> Column:
     """Sentences with those that are marks alone put to the end of the one before, once for each kind of last mark."""
 
     def add(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
+        last = F.try_element_at(out, F.lit(-1))
         joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat_ws(" ", last, s)))
         return F.when(s.rlike(CONTENT), F.concat(out, F.array(s))).when(F.size(out) == 0, out).when(F.right(last, F.lit(1)) == F.right(s, F.lit(1)), out).otherwise(joined)
 

@@ -107,7 +107,7 @@ def cooled(events: DataFrame, key: str, seconds: int) -> DataFrame:
     gap = F.lit(seconds * 1_000_000)
 
     def add(out: Column, t: Column) -> Column:
-        return F.when((F.size(out) == 0) | (t - F.element_at(out, -1) >= gap), F.concat(out, F.array(t))).otherwise(out)
+        return F.when((F.size(out) == 0) | (t - F.try_element_at(out, F.lit(-1)) >= gap), F.concat(out, F.array(t))).otherwise(out)
 
     times = events.groupBy(key).agg(F.sort_array(F.collect_list(F.unix_micros("ts"))).alias("_t"))
     return times.select(key, F.explode(F.aggregate("_t", F.array().cast("array<bigint>"), add)).alias("micros"))

@@ -25,7 +25,7 @@ def closure(edges: DataFrame, depth: int = 10) -> DataFrame:
 
 def dn_ancestors(dn: Column) -> Column:
     """Suffixes of a distinguished name, the name itself first."""
-    parts = F.transform(F.split(dn, ","), F.trim)
+    parts = F.transform(F.split(dn, ","), lambda x: F.trim(x))
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ","))
 
 

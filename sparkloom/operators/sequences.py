@@ -52,7 +52,7 @@ def levels(items: Column, pages: Column) -> Column:
     """An array of (title, level, page) in which a level is at most one deeper than the one before and pages are clamped."""
 
     def add(out: Column, x: Column) -> Column:
-        before = F.coalesce(F.element_at(out, -1)["level"], F.lit(0))
+        before = F.coalesce(F.try_element_at(out, F.lit(-1))["level"], F.lit(0))
         level = F.greatest(F.lit(1), F.least(x["level"], before + 1))
         return F.concat(out, F.array(F.struct(x["title"].alias("title"), level.alias("level"), F.greatest(F.lit(1), F.least(x["page"], pages)).alias("page"))))
 
@@ -61,7 +61,7 @@ def levels(items: Column, pages: Column) -> Column:
 
 def page_ranges(spec: Column, pages: Column) -> Column:
     """Pages of '1-3,5,7-': an array of arrays, open ends run to the last page, what lies outside is cut off."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p.rlike(r"^\d+$|^\d*-\d*$") & (p != "-"))
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda p: p.rlike(r"^\d+$|^\d*-\d*$") & (p != "-"))
 
     def one(p: Column) -> Column:
         low = F.coalesce(F.expr("try_cast(null as int)"), F.nullif(F.regexp_extract(p, r"^(\d*)", 1), F.lit("")).cast("int"), F.lit(1))

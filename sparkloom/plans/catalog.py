@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import record_queries, text_queries
+from . import record_queries, text_queries, value_queries
 
-_ALL = (text_queries, record_queries)
+_ALL = (text_queries, record_queries, value_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _ALL for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _ALL for k, s in m.SQL.items()}
