@@ -30,8 +30,8 @@ from . import common
 BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 90
-#: Words of a generation of a task's cache; when it is full it becomes the old one, from which words are taken back.
-CACHE_WORDS = 500_000
+#: New words of a generation of a task's cache, and words that are kept because an earlier generation had them too.
+NEW_WORDS, KEPT_WORDS = 150_000, 300_000
 #: Words that the library gets as one text.
 TOGETHER = 200
 _HEAD = struct.Struct("<IHBH")
@@ -133,20 +133,33 @@ def read_range(blocks: bytes, payload: bytes, start: int, n: int) -> np.ndarray:
 
 
 class _Known(dict):
-    """Ids of words as little-endian uint32. A new word gets an empty bytearray, which is filled when it is learnt."""
+    """Ids of words as little-endian uint32. A new word gets an empty bytearray, which is filled when it is learnt.
 
-    def __init__(self, old: dict | None = None):
-        super().__init__()
-        self.old, self.new = old or {}, []
+    A full generation becomes the old one. Words that are met again are kept, so that words that occur once do not
+    crowd them out.
+    """
+
+    def __init__(self, kept: dict | None = None, old: dict | None = None):
+        super().__init__(kept or {})
+        self.kept, self.old, self.new = len(self), old or {}, []
+        self.again: dict = {}
 
     def __missing__(self, word: str):
         ids = self.old.get(word)
         if ids is None:
             ids = bytearray()
             self.new.append((word, ids))
+        else:
+            self.again[word] = ids
         self[word] = ids
         return ids
 
+    def next(self) -> _Known:
+        words = list(self.items())
+        kept = dict(words[: self.kept]) if self.kept + len(self.again) <= KEPT_WORDS else {}
+        kept.update(self.again)
+        return _Known(kept, {w: bytes(x) for w, x in words[self.kept :] if w not in kept})
+
 
 class WordTokenizer:
     """The tokenizers library, asked once for each new word.
@@ -160,6 +173,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(spec)
+        self.whole.model._resize_cache(0)  # words come here once
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known = _Known()
         vocab = self.whole.get_vocab()
@@ -170,15 +184,18 @@ class WordTokenizer:
         """Ids of texts as little-endian uint32."""
         out, lo = [], 0
         while lo < len(texts):
-            if len(self.known) > CACHE_WORDS:
-                self.known = _Known(dict(self.known))
+            if len(self.known) - self.known.kept > NEW_WORDS:
+                self.known = self.known.next()
             got, used, of = [], 0, self.known.__getitem__
             while lo < len(texts) and (not got or used < 1 << 20):
                 t = texts[lo]
                 if any(a in t for a in self.added) or _ODD.search(t):
                     got.append([self.one(t)])
                 else:
-                    t = t.lower() if t.isascii() else unicodedata.normalize("NFC", t)
+                    if not t.isascii():
+                        t = unicodedata.normalize("NFC", t)
+                    if not _CASE.search(t):
+                        t = t.lower()
                     got.append(list(map(of, _STOP.sub(" ", t).split())))
                 used += len(t)
                 lo += 1
@@ -225,7 +242,9 @@ class WordTokenizer:
 
 _ODD = re.compile(r"[\x1c-\x1f]")
 #: Before a full stop or comma that ends a word of letters: a piece ends there.
-_STOP = re.compile(r"(?<=[a-z])(?=[.,](?:\s|$))")
+_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[.,](?:\s|$))")
+#: Letters whose lower case depends on the place, or is two characters.
+_CASE = re.compile("[Σİ]")
 _loaded: dict[str, WordTokenizer] = {}
 
 
