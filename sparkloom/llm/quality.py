@@ -105,7 +105,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, steps: int = 150, ridge: float = 1e-4) -> Model:
     """Accelerated gradient descent on the mean log loss."""
     w = np.zeros(x.shape[1] + 1, np.float32) if start is None else start.copy()
-    rate = 4 / (float((x * x).sum(axis=1).max(initial=0)) + 1)
+    rate = 4 / (float(np.einsum("ij,ij->i", x, x).max(initial=0)) + 1)
     ahead, last = w.copy(), w
     for i in range(steps):
         wrong = (_sigmoid(x @ ahead[:-1] + ahead[-1]) - y).astype(np.float32) / len(y)
@@ -196,13 +196,15 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, meta = features(*_columns(b, *where))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "label", "t", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in text.astype(np.float16)], pa.binary()), pa.array([x.tobytes() for x in meta.astype(np.float16)], pa.binary())], ["doc_id", "label", "t", "m"])
 
     rows = chosen.mapInArrow(run, "doc_id long, label int, t binary, m binary").dropDuplicates(["doc_id"]).limit(2 * (LABELLED + 2 * POOL)).orderBy(F.xxhash64("doc_id")).collect()  # bounded
     if not rows:
         return None
-    text, meta = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), np.float32).reshape(len(rows), -1) for i in (2, 3))
-    label = np.array([r[1] for r in rows])
+    text, meta, label = np.empty((len(rows), TEXT), np.float32), np.empty((len(rows), META), np.float32), np.empty(len(rows), np.int64)
+    for i, r in enumerate(rows):
+        text[i], meta[i], label[i] = np.frombuffer(r[2], np.float16), np.frombuffer(r[3], np.float16), r[1]
+    del rows
     return co_train(text, meta, np.where(label > 0, 1, label))
 
 
