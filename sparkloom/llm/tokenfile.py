@@ -128,10 +128,33 @@ def read_range(blocks: bytes, payload: bytes, start: int, n: int) -> np.ndarray:
         return np.zeros(0, np.uint32)
     at = np.frombuffer(blocks, "<u4")
     first, last = start // BLOCK, (start + n - 1) // BLOCK
-    got = np.concatenate([unpack_block(payload, int(at[i])) for i in range(first, last + 1)])
+    got = _whole_blocks(payload, at[first : last + 1])
     return got[start - first * BLOCK : start - first * BLOCK + n]
 
 
+def _whole_blocks(payload: bytes, at: np.ndarray) -> np.ndarray:
+    """unpack_block of blocks that follow each other, all but the last of them full; full ones of equal width together."""
+    raw = np.frombuffer(payload, np.uint8)
+    heads = [_HEAD.unpack_from(payload, int(i)) for i in at]
+    out = np.empty((len(at), BLOCK), np.uint32)
+    full = np.array([h[1] == BLOCK for h in heads])
+    widths = np.array([h[2] for h in heads])
+    for w in np.unique(widths[full]).tolist():
+        rows = np.flatnonzero(full & (widths == w))
+        size = BLOCK * w // 8
+        packed = raw[at[rows].astype(np.int64)[:, None] + (_HEAD.size + np.arange(size))] if size else np.zeros((len(rows), 0), np.uint8)
+        out[rows] = _unpacked(packed.ravel(), len(rows) * BLOCK, w).reshape(-1, BLOCK)
+        for i in rows.tolist():
+            low, _, _, over = heads[i]
+            if over:
+                end = int(at[i]) + _HEAD.size + size
+                out[i, np.frombuffer(payload, "<u2", over, end)] |= np.frombuffer(payload, "<u4", over, end + 2 * over) << np.uint32(w)
+            out[i] += np.uint32(low)
+    if full.all():
+        return out.ravel()
+    return np.concatenate((out[:-1].ravel(), unpack_block(payload, int(at[-1]))))
+
+
 class _Known(dict):
     """Ids of words as little-endian uint32. A new word gets an empty bytearray, which is filled when it is learnt.
 
@@ -196,7 +219,7 @@ class WordTokenizer:
                         t = unicodedata.normalize("NFC", t)
                     if not _CASE.search(t):
                         t = t.lower()
-                    got.append(list(map(of, _STOP.sub(" ", t).split())))
+                    got.append(list(map(of, " ".join(_STOP.split(t)).split())))
                 used += len(t)
                 lo += 1
             self.learn()
@@ -241,8 +264,8 @@ class WordTokenizer:
 
 
 _ODD = re.compile(r"[\x1c-\x1f]")
-#: Before a full stop or comma that ends a word of letters: a piece ends there.
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[.,](?:\s|$))")
+#: A full stop or comma that ends a word of letters is a piece of its own.
+_STOP = re.compile(r"([.,])(?<=[a-zß-öø-ÿ].)(?!\S)")
 #: Letters whose lower case depends on the place, or is two characters.
 _CASE = re.compile("[Σİ]")
 _loaded: dict[str, WordTokenizer] = {}
@@ -328,10 +351,13 @@ def read(spark, out: str) -> DataFrame:
             for start, docs, lengths, blocks, payload in zip(*(c.to_pylist() for c in b.columns)):
                 n = np.frombuffer(lengths, "<u4").astype(np.int64)
                 at = np.concatenate(([0], np.cumsum(n)))
-                raw = read_range(blocks, payload, 0, int(at[-1])).astype("<u4").tobytes()
-                ids = [raw[4 * x : 4 * y] for x, y in zip(at[:-1], at[1:])]
+                raw = read_range(blocks, payload, 0, int(at[-1])).astype("<u4")
                 names = np.frombuffer(docs, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64(), mask=names == _NULL), pa.array(at[:-1] + start, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+                if 4 * at[-1] < 1 << 31:
+                    ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(raw)])
+                else:
+                    ids = pa.array([raw[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64(), mask=names == _NULL), pa.array(at[:-1] + start, pa.int64()), ids], ["doc_id", "start", "ids"])
 
     common.small_batches(spark)
     return rows.mapInArrow(run, "doc_id long, start long, ids binary")
