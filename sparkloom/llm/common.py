@@ -160,7 +160,7 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndar
     total = np.zeros(len(where), U64)
     ext = np.concatenate((h, np.zeros(size, U64)))
     for j in range(size):
-        factor = U64((0xD6E8FEB86659FD93 * (2 * j + 1)) % (1 << 64) | 1)
+        factor = mix(np.array([j + 1], U64))[0] | U64(1)  # no sum of some places' factors is that of others
         term = ext[where + j] * factor
         total += np.where(have > j, term, U64(j + 1))
     return mix(total), out_at
