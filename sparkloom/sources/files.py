@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import split_lines
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as text: a byte order mark or valid UTF-8, else Big5."""
-    utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.regexp_replace(F.coalesce(utf8, F.decode(content, "Big5")), r"^\x{feff}", "")
+@F.pandas_udf(StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Bytes as text: a byte order mark or valid UTF-8, else Big5 with what it lacks replaced. Spark's own decode has no Big5."""
+
+    def one(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        try:
+            return bytes(b).decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return bytes(b).decode("big5", errors="replace")
+
+    return content.map(one)
 
 
 def text_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(path, pos, line) of text files. A file is one row of at most 2 GB: larger ones are for spark.read.text."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.posexplode(split_lines(decoded(F.col("content")))).alias("pos", "line"))
+    files = spark.read.format("binaryFile").load(path).select("path", decoded("content").alias("text"))
+    return files.select("path", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
 
 
 def csv_records(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
