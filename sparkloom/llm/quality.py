@@ -139,8 +139,8 @@ class CoTrained:
 
 def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray) -> CoTrained | None:
     """label: 1 good, 0 bad, -1 unlabelled; None if either class is missing."""
-    known = np.flatnonzero(label >= 0)
-    held, train, pool = known[::4], np.delete(known, np.s_[::4]), np.flatnonzero(label < 0)
+    classes = [np.flatnonzero(label == c) for c in (0, 1)]
+    held, train, pool = np.concatenate([c[::4] for c in classes]), np.concatenate([np.delete(c, np.s_[::4]) for c in classes]), np.flatnonzero(label < 0)
     if any(len(np.unique(label[x])) < 2 for x in (held, train)):
         return None
     views, models = (text, meta), [fit(v[train], label[train]) for v in (text, meta)]

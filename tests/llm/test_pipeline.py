@@ -58,7 +58,7 @@ def test_stages(spark):
         if stage is P.mix_sources:
             assert after == before
     last = P.encode(spark, docs, SF).collect()
-    assert Counter(r["doc_id"] for r in last) == Counter(after)
+    assert Counter(r["doc_id"] for r in last) == Counter(list(after))
     assert all(r["n_tokens"] == len(r["ids"]) for r in last)
 
 
