@@ -28,6 +28,8 @@ ROWS = 5
 SEED = 20240607
 #: Standard deviations below the threshold at which a signature rules a pair out without the exact check.
 SIGMAS = 6.0
+#: Classes of equal sets that can hold more than their share of 1 / HOT of all rows.
+HOT = 500
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +157,20 @@ def _across(checked: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     return rows.join(other, same & close).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
 
 
+def _members(full: DataFrame, total: int) -> DataFrame:
+    """(doc_id, rep): every document with the smallest doc_id of its set's class.
+
+    A class of over total / HOT rows meets its rows by broadcast, as there are HOT of these at most; the rows of the
+    others are dealt out by class.
+    """
+    same = ["h1", "h2", "n_shingles"]
+    classes = common.materialise(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "sets")
+    hot = F.broadcast(classes.filter(F.col("rows") * HOT > total).select(*same, "rep"))
+    rows = full.select("doc_id", *same)
+    rest = rows.join(hot.drop("rep"), same, "left_anti").join(classes.select(*same, "rep"), same)
+    return rows.join(hot, same).select("doc_id", "rep").unionByName(rest.select("doc_id", "rep"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -165,8 +181,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, band
     """
     prof = common.materialise(profiles(docs, words, bands, rows), "profiles")
     full = prof.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = common.materialise(full.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep").distinct(), "classes")
+    member = common.materialise(_members(full, prof.count()).distinct(), "classes")
     own = member.filter("doc_id = rep").select(F.col("doc_id").alias("id")).distinct()
     reps = full.join(own, full.doc_id == own.id, "left_semi")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct()
