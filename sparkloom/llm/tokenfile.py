@@ -31,7 +31,7 @@ BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 90
 #: New words of a generation of a task's cache, and words that are kept because an earlier generation had them too.
-NEW_WORDS, KEPT_WORDS = 150_000, 300_000
+NEW_WORDS, KEPT_WORDS = 220_000, 450_000
 #: Words that the library gets as one text.
 TOGETHER = 200
 _HEAD = struct.Struct("<IHBH")
@@ -156,7 +156,8 @@ def _whole_blocks(payload: bytes, at: np.ndarray) -> np.ndarray:
 
 
 class _Known(dict):
-    """Ids of words as little-endian uint32. A new word gets an empty bytearray, which is filled when it is learnt.
+    """Ids of words as little-endian uint32. A new word gets an empty bytearray, which is filled when it is learnt and gives
+    way to bytes.
 
     A full generation becomes the old one. Words that are met again are kept, so that words that occur once do not
     crowd them out.
@@ -181,7 +182,7 @@ class _Known(dict):
         words = list(self.items())
         kept = dict(words[: self.kept]) if self.kept + len(self.again) <= KEPT_WORDS else {}
         kept.update(self.again)
-        return _Known(kept, {w: bytes(x) for w, x in words[self.kept :] if w not in kept})
+        return _Known(kept, {w: x for w, x in words[self.kept :] if w not in kept})
 
 
 class WordTokenizer:
@@ -236,14 +237,16 @@ class WordTokenizer:
         for w, ids in odd:
             core = w.rstrip(string.punctuation)
             if core != w and core.isalpha():
-                apart.append((ids, known[core.lower() if core.isascii() else core], known[w[len(core) :]]))
+                apart.append((w, ids, known[core.lower() if core.isascii() else core], known[w[len(core) :]]))
             else:
                 ids += self.one(w)
+                known[w] = bytes(ids)
         for x in known.new:
             if x[0].isalpha():
                 plain.append(x)
             else:
                 x[1].extend(self.one(x[0]))
+                known[x[0]] = bytes(x[1])
         known.new = []
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for group, e in zip(groups, self.whole.encode_batch_fast([" ".join([w for w, _ in g]) for g in groups], add_special_tokens=False)):
@@ -251,13 +254,16 @@ class WordTokenizer:
             cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             if len(cut) == len(group) + 1:
                 raw = ids.tobytes()
-                for (_, to), a, b in zip(group, cut, cut[1:]):
-                    to += raw[a:b]
+                for (w, to), a, b in zip(group, cut, cut[1:]):
+                    own = known[w] = raw[a:b]
+                    to += own
             else:  # some letters are none for the library
                 for w, to in group:
                     to += self.one(w)
-        for ids, a, b in apart:
+                    known[w] = bytes(to)
+        for w, ids, a, b in apart:
             ids += a + b
+            known[w] = bytes(ids)
 
     def one(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
