@@ -75,7 +75,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RULES = ", ".join(f"('{verdict}', '{rule}', '{rule.split('/')[0]}', '{rule[rule.index('/'):]}')" for verdict, rule in URL_RULES)
+_NAMES = [k for k, w in SOURCE_WEIGHTS.items() if w > 0]
+_WEIGHTS = [SOURCE_WEIGHTS[k] for k in _NAMES]
+_PERIOD = sum(_WEIGHTS)
 SQL: dict[str, str] = {
+    "op1_suffix_array": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p - 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS p FROM b)),
+f AS (SELECT win, min(doc_id) AS low FROM w GROUP BY win),
+c AS (SELECT w.doc_id, p, p - lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) AS gap FROM w JOIN f USING (win) WHERE low < w.doc_id),
+r AS (SELECT doc_id, p, sum(CASE WHEN gap IS NULL OR gap > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 49 AS z FROM r GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s) s JOIN b USING (doc_id) GROUP BY s.doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)
+""",
     "op2_url_rules": f"""
 WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {_RULES}),
 rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -97,5 +111,28 @@ low AS (SELECT x, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y
 n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
 FROM v JOIN low ON low.x = v.r LEFT JOIN n ON n.x = v.r
+""",
+    "op8_mixing": f"""
+WITH RECURSIVE given AS (SELECT {_NAMES} AS names, {_WEIGHTS} AS ws),
+e(t, done, pick) AS (SELECT 0, list_transform(ws, lambda w: 0), CAST(NULL AS BIGINT) FROM given
+  UNION ALL SELECT t + 1, list_transform(range(1, len(ws) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT t, done, ws, list_min(list_transform(list_filter(range(1, len(ws) + 1), lambda i: done[i] < ws[i] AND done[i] * {_PERIOD} // ws[i] <= t),
+      lambda i: ((done[i] + 1) * {_PERIOD} + ws[i] - 1) // ws[i] * 1000 + i)) % 1000 AS p FROM e, given WHERE t < {_PERIOD})),
+plan AS (SELECT names[pick] AS mix_class, ws[pick] AS w, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth, t - 1 AS turn FROM e, given WHERE pick IS NOT NULL),
+rows AS (SELECT doc_id, source, CASE WHEN list_contains(names, source) THEN source ELSE '{mixing.OTHER}' END AS mix_class FROM documents, given),
+placed AS (SELECT *, row_number() OVER (PARTITION BY mix_class ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS place FROM rows)
+SELECT doc_id, source, r.mix_class, place // 32 AS block, place // 32 // w * {_PERIOD} + turn AS slot, (place // 32 // w * {_PERIOD} + turn) * 32 + place % 32 AS position
+FROM placed r JOIN plan ON plan.mix_class = r.mix_class AND plan.nth = place // 32 % w
+""",
+    "op10_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, ways.y FROM reach JOIN ways ON ways.x = reach.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """,
 }
