@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm import bpe, common, minhash, mixing, quality, repeats
 from sparkloom.llm.queries import SOURCE_WEIGHTS, table, vocab_path
 
-#: Bytes of a passage that goes when a document with a smaller doc_id has it: no passage of over 50 words is shorter here,
-#: and lines that clean documents share are.
+#: Bytes of a passage that goes when a document with a smaller doc_id has it: prose of over 50 words is longer, and most
+#: lines that clean documents share are shorter.
 PASSAGE = 150
 #: Similarity in percent from which documents are near-duplicates.
 NEAR = 80
