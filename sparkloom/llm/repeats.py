@@ -244,6 +244,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 #: What is known of a name: nothing repeats; a smaller document has the same segment; its bytes are asked for; its windows.
 NOTHING, COPY, ASKED, WINDOWS = 0, 1, 2, 3
+#: Added to a code: other chunks have the same segment.
+SHARED = 8
 
 
 def _judge(names: DataFrame) -> DataFrame:
@@ -266,7 +268,8 @@ def _judge(names: DataFrame) -> DataFrame:
             least = ds[new][of]
             group = np.cumsum(new_h) - 1
             contents = np.bincount(group[new], minlength=group[-1] + 1)[group]
-            code = np.where(ds > least, COPY, np.where(contents == 1, NOTHING, np.where(contents > SPLIT, WINDOWS, ASKED))).astype(np.uint8)
+            members = np.bincount(of)[of]
+            code = np.where(members > 1, SHARED, 0) + np.where(ds > least, COPY, np.where(contents == 1, NOTHING, np.where(contents > SPLIT, WINDOWS, ASKED))).astype(np.uint8)
             back = np.empty(len(order), np.uint8)
             back[order] = code
             cut = np.cumsum([0, *sizes])
@@ -297,8 +300,8 @@ def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
                 owner, start, runs, anchor, h, g = segments(data, at, length)
                 _, first, doc = named(ids, owner, h, g)
                 code = _codes(codes)
-                x = np.flatnonzero(code == ASKED)
-                w = np.flatnonzero(code == WINDOWS)
+                x = np.flatnonzero(code % SHARED == ASKED)
+                w = np.flatnonzero(code % SHARED == WINDOWS)
                 # of equal windows, only the smallest document's is sent
                 which, step, key, _, sent, _ = windows(data, start, runs, h, first, doc, w, length)
                 which, step, key = which[sent], step[sent], key[sent]
@@ -456,8 +459,8 @@ class Repeats:
     def groups(self) -> DataFrame:
         """(anchor, nth, n_bytes, n_occurrences, doc_id, start): a row for each occurrence of each maximal repeat.
 
-        anchor and nth name the repeat, start is a byte of the document. Occurrences are class representatives': of equal
-        whole segments, the smallest document's; segments() of any other text gives the anchors that it shares with them.
+        anchor and nth name the repeat, start is a byte of the document. Of equal whole segments the smallest document's
+        stands for all; copies() has the others.
         """
         length = self.length
 
@@ -474,6 +477,29 @@ class Repeats:
 
         return self.asked.mapInArrow(run, "anchor long, nth long, n_bytes long, n_occurrences long, doc_id long, start long")
 
+    def copies(self) -> DataFrame:
+        """(anchor, content, n_bytes, doc_id, start): a row for each occurrence of a whole segment that occurs again.
+
+        anchor and content name the segment. It is a repeat as a whole, and its occurrences share all repeats that
+        groups() has inside the one of the smallest document.
+        """
+        length = self.length
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _, *blobs, codes in _rows(b):
+                    ids, at, data = open_chunk(*blobs)
+                    owner, start, runs, _, h, g = segments(data, at, length)
+                    name, first, _ = named(ids, owner, h, g)
+                    if not len(name):
+                        continue
+                    again = np.flatnonzero((_codes(codes) >= SHARED)[name] | (np.bincount(name) > 1)[name])
+                    doc = ids[owner[again]]
+                    cols = (h[again].view(np.int64), g[again].view(np.int64), runs[again] + length - 1, doc, start[again] - at[owner[again]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=(doc == _LAST) if i == 3 else None) for i, c in enumerate(cols)], ["anchor", "content", "n_bytes", "doc_id", "start"])
+
+        return _with(self.table, self.codes, "codes").mapInArrow(run, "anchor long, content long, n_bytes long, doc_id long, start long")
+
     def kept(self, texts: bool = True, characters: bool = False) -> DataFrame:
         """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary: null without texts) of every row of docs.
 
@@ -506,14 +532,14 @@ def covered(ids: np.ndarray, at: np.ndarray, data: np.ndarray, code: np.ndarray,
     if not len(name):
         return np.zeros(len(data), bool)
     # copies of a segment that a smaller document has, in another chunk or in this one
-    whole = (code[name] == COPY) | (ids[owner] > least[name])
+    whole = (code[name] % SHARED == COPY) | (ids[owner] > least[name])
     edge = np.zeros(len(data) + 1, np.int64)
     np.add.at(edge, start[whole], 1)
     np.add.at(edge, (start + runs + length - 1)[whole], -1)
     of = np.zeros(len(least), np.uint32)
     key, mask = np.frombuffer(b"".join(names or []), np.int64), np.frombuffer(b"".join(bits or []), np.uint32)
     np.bitwise_or.at(of, key[key % 32 == 0] // 32, mask[key % 32 == 0])
-    which, step, _, number, sent, lowest = windows(data, start, runs, h, first, least, np.flatnonzero(code == WINDOWS), length)
+    which, step, _, number, sent, lowest = windows(data, start, runs, h, first, least, np.flatnonzero(code % SHARED == WINDOWS), length)
     if len(which):
         hit = np.isin(which[sent] * 32 + step[sent] + 1, key)[number] | (least[which] > lowest[number])
         np.bitwise_or.at(of, which[hit], np.uint32(1) << step[hit].astype(np.uint32))

@@ -80,6 +80,20 @@ def test_groups_are_maximal(spark):
     assert covered == set(range(13, 13 + 57))
 
 
+def test_copies_have_all_occurrences(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 300)
+    text = "one passage of more than fifty bytes that three of the documents hold, and a fourth has only the half of "
+    rows = [(4, text), (2, text), (9, text), (7, text[:60] + "other words that nobody else has in this place at all, not once"), (8, "z" * 70), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in repeats.Repeats(docs).copies().collect():
+        found.setdefault((r["anchor"], r["content"], r["n_bytes"]), set()).add((r["doc_id"], r["start"]))
+    whole = [v for v in found.values() if {d for d, _ in v} == {2, 4, 9, None}]
+    assert whole and all(len({s for _, s in v}) == 1 for v in whole)
+    covered = {s + i for k, v in found.items() for d, s in v if d == 9 for i in range(k[2])}
+    assert covered == set(range(len(text.encode())))
+
+
 def test_empty_and_clashing(spark):
     assert repeats.without_repeats(no_docs(spark)).count() == 0
     assert repeats.without_repeats(odd_docs(spark)).count() == len(ODD_ROWS)
