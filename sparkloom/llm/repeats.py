@@ -33,7 +33,7 @@ LENGTH = 50
 #: Window starts of an anchor at most; one bit each in a mask.
 RUN = 31
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Contents of one anchor beyond which its windows are dealt out one by one.
 SPLIT = 4096
 #: Suffixes that one suffix array sorts together; anchors are not divided.
@@ -518,8 +518,8 @@ class Repeats:
                     ids, at, data = open_chunk(*blobs)
                     gone = covered(ids, at, data, _codes(codes), names, bits, length)
                     if characters and len(data):
-                        first = np.flatnonzero((data & 0xC0) != 0x80)
-                        gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(data))))
+                        first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+                        gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, first.dtype.type(len(data)))))
                     yield from _results(ids, at, data, gone, texts)
 
         return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -557,7 +557,7 @@ def _results(ids: np.ndarray, at: np.ndarray, data: np.ndarray, gone: np.ndarray
     rise[1:] &= ~gone[:-1]
     inner = at[:-1][np.diff(at) > 0]
     rise[inner] = gone[inner]  # runs never cross documents
-    removed, spans = (np.concatenate(([0], np.cumsum(x)))[at] for x in (gone, rise))
+    removed, spans = (np.append(0, np.add.reduceat(np.append(x, False), at[:-1], dtype=np.int64) * (np.diff(at) > 0)).cumsum() if len(at) > 1 else np.zeros(1, np.int64) for x in (gone, rise))
     stay = ~gone
     left = data[stay]
     cut = np.concatenate(([0], np.cumsum(stay)))[at]
