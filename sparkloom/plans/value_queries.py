@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
@@ -155,9 +155,12 @@ def typing_errors(spark: SparkSession, sf: str) -> DataFrame:
 _FINDINGS = """f AS (SELECT l_orderkey % 500 AS case_id, l_orderkey || '-' || l_linenumber AS key, CASE WHEN l_discount > 0.08 THEN 'fail' WHEN l_discount > 0.06 THEN 'warn' ELSE 'info' END AS severity FROM lineitem WHERE l_orderkey < 3000)"""
 
 
+def _severity() -> Column:
+    return F.when(F.col("l_discount") > 0.08, "fail").when(F.col("l_discount") > 0.06, "warn").otherwise("info")
+
+
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    severity = F.when(F.col("l_discount") > 0.08, "fail").when(F.col("l_discount") > 0.06, "warn").otherwise("info")
-    return table(spark, sf, "lineitem").filter("l_orderkey < 3000").select((F.col("l_orderkey") % 500).alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), severity.alias("severity"))
+    return table(spark, sf, "lineitem").filter("l_orderkey < 3000").select((F.col("l_orderkey") % 500).alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), _severity().alias("severity"))
 
 
 @_query("case_score", f"WITH {_FINDINGS} SELECT case_id, count(*) FILTER (WHERE severity = 'fail') AS fail, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, greatest(0, 100 - 10 * count(*) FILTER (WHERE severity = 'fail') - 3 * count(*) FILTER (WHERE severity = 'warn')) AS score FROM f GROUP BY case_id")
@@ -171,6 +174,25 @@ def override_apply(spark: SparkSession, sf: str) -> DataFrame:
     return X.overridden(_findings(spark, sf), overrides)
 
 
+# The two above are what their SQL says: orders below 3,000. These take all of lineitem, an order as a case.
+_ALL_FINDINGS = _FINDINGS.replace("l_orderkey % 500 AS case_id", "l_orderkey AS case_id").replace(" WHERE l_orderkey < 3000", "")
+
+
+def _all_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), _severity().alias("severity"))
+
+
+@_query("case_score_all", SQL["case_score"].replace(_FINDINGS, _ALL_FINDINGS))
+def case_score_all(spark: SparkSession, sf: str) -> DataFrame:
+    return X.scores(_all_findings(spark, sf), "case_id")
+
+
+@_query("override_apply_all", SQL["override_apply"].replace(_FINDINGS, _ALL_FINDINGS))
+def override_apply_all(spark: SparkSession, sf: str) -> DataFrame:
+    overrides = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
+    return X.overridden(_all_findings(spark, sf), overrides)
+
+
 @_query("diff_keyed", "WITH a AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 3 <> 0) SELECT k, a.v AS before, b.v AS after FROM a FULL JOIN b USING (k) WHERE a.v IS DISTINCT FROM b.v")
 def diff_keyed(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
