@@ -56,6 +56,22 @@ def jp_number(s: Column) -> Column:
     return F.coalesce(s.rlike(r"^\d{12}$") & ~s.rlike(r"^(\d)\1*$") & (F.right(s, F.lit(1)).cast("int") == F.when(rest <= 1, 0).otherwise(11 - rest)), F.lit(False))
 
 
+def _bare(s: Column) -> Column:
+    return F.regexp_replace(F.translate(s, "０１２３４５６７８９", "0123456789"), r"\D", "")
+
+
+def jp_personal(s: Column) -> Column:
+    """jp_number of the digits, however they are set apart."""
+    return jp_number(_bare(s))
+
+
+def jp_corporate(s: Column) -> Column:
+    """Thirteen digits, not all the same; the first is nine less the remainder by nine of the others' sum, every other one twice."""
+    bare = _bare(s)
+    total = weighted(F.substring(bare, 2, 12), [2, 1] * 6)
+    return F.coalesce(bare.rlike(r"^\d{13}$") & ~bare.rlike(r"^(\d)\1*$") & (F.left(bare, F.lit(1)).cast("int") == 9 - total % 9), F.lit(False))
+
+
 def keep_edges(s: Column, head: int, tail: int) -> Column:
     """Stars for all but the ends; for all if it is too short."""
     n = F.length(s)

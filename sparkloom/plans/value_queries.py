@@ -86,7 +86,15 @@ def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
 @_query("pii_pseudonymise")
 def pii_pseudonymise(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return pii.rewrite(docs, pii.pseudonyms(pii.spans(docs, pii.chosen(["email", "ip", "cc", "mobile"]))), "fake")
+    kinds = pii.defaults() + pii.chosen(["ip"])
+    return pii.rewrite(docs, pii.pseudonyms(pii.spans(docs, kinds)), "fake")
+
+
+@_query("pii_redact_all")
+def pii_redact_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks for all kinds that are on unless they are left out; pii_redact is what its SQL says, e-mail."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pii.rewrite(docs, pii.spans(docs, pii.defaults()), "redact")
 
 
 @_query("find_term", "SELECT doc_id, CAST(len(string_split(lower(text), 'tion the')) - 1 AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'tion the')")
@@ -105,6 +113,12 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return X.entities(table(spark, sf, "documents"), _KINDS)
 
 
+@_query("entities_all")
+def entities_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of all kinds, and numbers; `entities` has those of its SQL."""
+    return X.entities(table(spark, sf, "documents"), X.ENTITIES | _KINDS)
+
+
 @_query("entities_aggregate", f"WITH {_ENT} SELECT kind, value, count(*) AS total, count(DISTINCT doc_id) AS documents FROM e GROUP BY kind, value")
 def entities_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return X.across(X.entities(table(spark, sf, "documents"), _KINDS))
