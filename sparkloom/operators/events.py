@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +101,65 @@ def inbox(jobs: DataFrame, terminal: Sequence[str], seen: Column) -> DataFrame:
     return jobs.filter(F.col("status").isin(list(terminal))).withColumn("unread", F.coalesce(F.col("finished_at") > seen, F.lit(False)))
 
 
+#: Gaps in a range of times that a task of cooled() takes.
+RANGE = 8
+
+
 def cooled(events: DataFrame, key: str, seconds: int) -> DataFrame:
     """The first event of a key and those that come at least so many seconds after the last that was let through.
 
-    Letting through depends on what was let through before: an ordered fold over the times of a key.
+    Letting through depends on what was let through before, so a range of times of a key says where it would be left
+    for each event at which it may be entered; these are in its first gap, and most ways soon meet. A walk over such
+    summaries of a key gives the earliest time that each range may let through, and each range its own events by that.
     """
-    gap = F.lit(seconds * 1_000_000)
-
-    def add(out: Column, t: Column) -> Column:
-        return F.when((F.size(out) == 0) | (t - F.try_element_at(out, F.lit(-1)) >= gap), F.concat(out, F.array(t))).otherwise(out)
-
-    times = events.groupBy(key).agg(F.sort_array(F.collect_list(F.unix_micros("ts"))).alias("_t"))
-    return times.select(key, F.explode(F.aggregate("_t", F.array().cast("array<bigint>"), add)).alias("micros"))
+    if seconds <= 0:
+        return events.filter("ts is not null").select(key, F.unix_micros("ts").alias("micros"))
+    gap = seconds * 1_000_000
+    t = F.unix_micros("ts")
+    times = events.filter("ts is not null").select(F.col(key).alias("_k"), (t - F.pmod(t, F.lit(RANGE * gap))).alias("_r"), t.alias("_t")).distinct()
+    kind = events.schema[key].dataType.simpleString()
+
+    def result(one: pa.Table, cols: dict[str, np.ndarray]) -> pa.Table:
+        """Columns beside the key of a group."""
+        n = len(next(iter(cols.values())))
+        keys = one.column("_k").combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+        return pa.table({"_k": keys} | {k: pa.array(v, pa.int64()) for k, v in cols.items()})
+
+    def summary(rows: pa.Table) -> pa.Table:
+        at = np.sort(rows.column("_t").to_numpy())
+        follow = np.append(np.searchsorted(at, at + gap), len(at))  # the place after the last stands for none
+        left = np.where(follow[:-1] == len(at), np.arange(len(at)), follow[:-1])
+        while True:  # twice as far each time
+            far = left[left]
+            if (far == left).all():
+                break
+            left = far
+        first = min(len(at), int(follow[0]) + 1)
+        last = np.append(left[1:first] != left[: first - 1], True)  # of the entries that are left at one place
+        return result(rows, {"_r": np.full(int(last.sum()), rows.column("_r")[0].as_py()), "_upto": at[:first][last], "_left": at[left[:first][last]]})
+
+    def walk(rows: pa.Table) -> pa.Table:
+        r, upto, left = (rows.column(c).to_numpy() for c in ("_r", "_upto", "_left"))
+        order = np.lexsort((upto, r))
+        r, upto, left = r[order], upto[order], left[order]
+        heads = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        since, out = np.iinfo(np.int64).min, []
+        for a, b in zip(heads, np.append(heads[1:], len(r))):
+            out.append(since)
+            i = a + int(np.searchsorted(upto[a:b], since))
+            if i < b:
+                since = int(left[i]) + gap
+        return result(rows, {"_r": r[heads], "_since": np.array(out, np.int64)})
+
+    def let_through(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        at = np.sort(rows.column("_t").to_numpy())
+        i, out = int(np.searchsorted(at, entry.column("_since")[0].as_py())), []
+        while i < len(at):
+            out.append(at[i])
+            i = int(np.searchsorted(at, at[i] + gap))
+        return result(rows, {"_t": np.array(out, np.int64)})
+
+    summaries = times.groupBy("_k", "_r").applyInArrow(summary, f"_k {kind}, _r long, _upto long, _left long")
+    entries = summaries.groupBy("_k").applyInArrow(walk, f"_k {kind}, _r long, _since long")
+    out = times.groupBy("_k", "_r").cogroup(entries.groupBy("_k", "_r")).applyInArrow(let_through, f"_k {kind}, _t long")
+    return out.select(F.col("_k").alias(key), F.col("_t").alias("micros"))

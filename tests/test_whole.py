@@ -1,11 +1,14 @@
 """Queries take all of their input: cases in which a part of it was left out."""
 
+import inspect
+import random
 import re
 from collections import Counter
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
+from sparkloom.operators import events as E
 from sparkloom.operators import pii
 from sparkloom.operators import reconcile as X
 
@@ -61,3 +64,20 @@ def test_default_redaction_and_all_entities(spark):
     kinds = X.ENTITIES | {"number": (r"\b(\d{3,7})\b", 0, 99)}
     values = Counter((d, k, re.sub(r"\s+", "", v)) for d, t in texts.items() for k, (p, lo, hi) in kinds.items() for v in re.findall(p, t or "", re.ASCII) if lo <= len(re.sub(r"\s+", "", v)) <= hi)
     assert Counter({(r["doc_id"], r["kind"], r["value"]): r["n"] for r in entry.queries()["entities_all"](spark, SF).collect()}) == values
+
+
+def test_cooldown_against_brute_force(spark):
+    """Ranges that are dense, sparse and older than 1970, ties and null keys; no list of all times of a key."""
+    assert "collect_list" not in inspect.getsource(E.cooled)
+    draw = random.Random(1)
+    rows = [(k, draw.randrange(-n, n)) for k, n in (("dense", 900), ("wide", 90_000), (None, 4_000)) for _ in range(700)] + [("ten", 10 * i) for i in range(300)] + [("one", 5)] * 9
+    docs = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    for gap in (1, 10, 97, 100_000):
+        want = Counter()
+        for k in {k for k, _ in rows}:
+            last = None
+            for s in sorted(s for x, s in rows if x == k):
+                if last is None or s - last >= gap:
+                    last = s
+                    want[k, s * 1_000_000] += 1
+        assert Counter(tuple(r) for r in E.cooled(docs, "k", gap).collect()) == want
