@@ -19,7 +19,7 @@ Repeats longer than a segment come as the overlapping repeats of consecutive anc
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -290,8 +290,11 @@ def _codes(blobs: list[bytes] | None) -> np.ndarray:
     return np.frombuffer(b"".join(zstandard.decompress(x) for x in blobs or []), np.uint8)
 
 
-def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
-    """(bucket, chunk, h, doc, at, starts, pos, bytes): what the anchors ask for. at: name, or name * 32 + window."""
+def _asked(table: DataFrame, length: int, n: int, whole: bool = False) -> DataFrame:
+    """(bucket, chunk, h, doc, at, starts, pos, bytes): what the anchors ask for. at: name * 32, or name * 32 + 1 + window.
+
+    whole: whole segments of all contents, however many an anchor has, and their content hashes as one more column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,8 +303,8 @@ def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
                 owner, start, runs, anchor, h, g = segments(data, at, length)
                 _, first, doc = named(ids, owner, h, g)
                 code = _codes(codes)
-                x = np.flatnonzero(code % SHARED == ASKED)
-                w = np.flatnonzero(code % SHARED == WINDOWS)
+                x = np.flatnonzero((code % SHARED == ASKED) | (whole & (code % SHARED == WINDOWS)))
+                w = np.flatnonzero((code % SHARED == WINDOWS) & (not whole))
                 # of equal windows, only the smallest document's is sent
                 which, step, key, _, sent, _ = windows(data, start, runs, h, first, doc, w, length)
                 which, step, key = which[sent], step[sent], key[sent]
@@ -318,7 +321,7 @@ def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
                 bucket = _buckets(rows["h"][order], n)
                 cut = np.searchsorted(bucket, np.arange(n + 1))
                 full = np.flatnonzero(np.diff(cut))
-                cols: list[list[bytes]] = [[] for _ in range(6)]
+                cols: list[list[bytes]] = [[] for _ in range(6 + whole)]
                 for i in full:
                     o = order[cut[i] : cut[i + 1]]
                     for c, v in zip(cols, (rows["h"][o], rows["doc"][o], rows["at"][o], rows["starts"][o].astype(np.uint8), pos[o])):
@@ -326,9 +329,11 @@ def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
                     sz = size[o]
                     flat = np.repeat(rows["from"][o] - (np.cumsum(sz) - sz), sz) + np.arange(int(sz.sum()))
                     cols[5].append(data[flat].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "h", "doc", "at", "starts", "pos", "bytes"])
+                    if whole:
+                        cols[6].append(g[first[all_name[o]]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "h", "doc", "at", "starts", "pos", "bytes", *["content"] * whole])
 
-    return table.mapInArrow(run, "bucket int, chunk long, h binary, doc binary, at binary, starts binary, pos binary, bytes binary")
+    return table.mapInArrow(run, "bucket int, chunk long, h binary, doc binary, at binary, starts binary, pos binary, bytes binary" + ", content binary" * whole)
 
 
 class SuffixArray:
@@ -454,28 +459,38 @@ class Repeats:
         self.table = common.materialise(chunks(docs), "chunks")
         dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
         self.codes = common.materialise(_judge(dealt(_names(self.table, length, n))), "codes")
+        self.n, self.dealt = n, dealt
         self.asked = dealt(common.materialise(_asked(_with(self.table, self.codes, "codes"), length, n), "asked"))
 
     def groups(self) -> DataFrame:
         """(anchor, nth, n_bytes, n_occurrences, doc_id, start): a row for each occurrence of each maximal repeat.
 
-        anchor and nth name the repeat, start is a byte of the document. Of equal whole segments the smallest document's
-        stands for all; copies() has the others.
+        anchor, nth and n_bytes name the repeat, start is a byte of the document. Whole segments that occur again are
+        in copies(). All contents of an anchor are compared in one task, however many there are.
         """
         length = self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in _by_bucket(batches):
-                for sa, _, doc, _, h, pos in _arrays(rows, length):
-                    cols: list[list] = [[], [], [], [], [], []]
+                content = np.concatenate([np.frombuffer(r[8], np.int64) for r in rows])
+                key = np.concatenate([i << 40 | np.frombuffer(r[4], np.int64) for i, r in enumerate(rows)])  # (row, name) of a segment
+                order = np.argsort(key)
+                for sa, source, _, at, h, _ in _arrays(rows, length):
+                    mine = content[order[np.searchsorted(key[order], source.astype(np.int64) << 40 | at)]]
+                    cols: list[list] = [[], [], [], [], []]
                     for a, b, size in sa.repeats(length):
                         o = sa.order[a : b + 1]
                         seg = sa.segment[o]
-                        for c, v in zip(cols, (h[seg].view(np.int64), [a] * len(o), [size] * len(o), [len(o)] * len(o), doc[seg], pos[seg] + sa.step[o])):
+                        for c, v in zip(cols, (h[seg].view(np.int64), mine[seg], [a] * len(o), [size] * len(o), sa.step[o])):
                             c.extend(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "nth", "n_bytes", "n_occurrences", "doc_id", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "content", "nth", "n_bytes", "step"])
 
-        return self.asked.mapInArrow(run, "anchor long, nth long, n_bytes long, n_occurrences long, doc_id long, start long")
+        asked = self.dealt(common.materialise(_asked(_with(self.table, self.codes, "codes"), length, self.n, whole=True), "whole"))
+        found = asked.mapInArrow(run, "anchor long, content long, nth long, n_bytes long, step long")
+        every = found.join(self._segments(lambda code, name: code[name] % SHARED != NOTHING).drop("n_bytes"), ["anchor", "content"])
+        rows = common.materialise(every.select("anchor", "nth", "n_bytes", "doc_id", (F.col("start") + F.col("step")).alias("start")), "groups")
+        named = ["anchor", "nth", "n_bytes"]
+        return rows.join(rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n_occurrences")), named).select(*named, "n_occurrences", "doc_id", "start")
 
     def copies(self) -> DataFrame:
         """(anchor, content, n_bytes, doc_id, start): a row for each occurrence of a whole segment that occurs again.
@@ -483,6 +498,10 @@ class Repeats:
         anchor and content name the segment. It is a repeat as a whole, and its occurrences share all repeats that
         groups() has inside the one of the smallest document.
         """
+        return self._segments(lambda code, name: (code >= SHARED)[name] | (np.bincount(name) > 1)[name])
+
+    def _segments(self, which: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        """(anchor, content, n_bytes, doc_id, start) of the segments that are chosen by the codes and the name of each."""
         length = self.length
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +512,7 @@ class Repeats:
                     name, first, _ = named(ids, owner, h, g)
                     if not len(name):
                         continue
-                    again = np.flatnonzero((_codes(codes) >= SHARED)[name] | (np.bincount(name) > 1)[name])
+                    again = np.flatnonzero(which(_codes(codes), name))
                     doc = ids[owner[again]]
                     cols = (h[again].view(np.int64), g[again].view(np.int64), runs[again] + length - 1, doc, start[again] - at[owner[again]])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=(doc == _LAST) if i == 3 else None) for i, c in enumerate(cols)], ["anchor", "content", "n_bytes", "doc_id", "start"])

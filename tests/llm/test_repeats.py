@@ -99,3 +99,25 @@ def test_empty_and_clashing(spark):
     assert repeats.without_repeats(odd_docs(spark)).count() == len(ODD_ROWS)
     with pytest.raises(ValueError):
         repeats.Repeats(no_docs(spark), 20)
+
+
+@pytest.mark.parametrize("split", [4096, 2])
+def test_groups_have_all_occurrences(spark, monkeypatch, split):
+    monkeypatch.setattr(repeats, "SPLIT", split)
+    monkeypatch.setattr(repeats, "CHUNK", 5_000)
+    rows = planted(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for r in repeats.Repeats(docs).groups().collect():
+        groups.setdefault((r["anchor"], r["nth"], r["n_bytes"], r["n_occurrences"]), []).append((r["doc_id"], r["start"]))
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, []).append(t.encode())
+    places = lambda w: Counter((e, i) for e, ts in texts.items() for t in ts for i in range(len(t) - len(w) + 1) if t[i : i + len(w)] == w)
+    seen = {}
+    for (_, _, n, count), at in groups.items():
+        d, s = at[0]
+        w = next(w for w in (t[s : s + n] for t in texts[d]) if places(w) == Counter(at))
+        assert len(w) == n and count == len(at) > 1
+        seen[w] = count
+    assert max(map(len, seen)) > 50 and max(seen.values()) > 100
