@@ -7,21 +7,20 @@ numpy array. Words repeat, so each task keeps the encodings of a bounded number
 
 Text rules are those of a vocabulary file of the tokenizers library with these parts: NFC, runs of white space as one
 space, lower case; pieces by the file's pattern; bytes as printable characters; a suffix on a word's last symbol; no
-decoder, so that decoding joins the tokens with one space. Added tokens are found in the raw text first.
+decoder, so that decoding joins the tokens with one space. Added tokens are found in the raw text first. No rule looks
+across white space, so a run without it is normalised and cut by itself: letters of LATIN, whose lower case and class
+every Unicode version agrees on, here, and anything else by the library's own tables.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from . import common
@@ -44,6 +43,8 @@ class Bpe:
     """One vocabulary, ready to encode and decode."""
 
     def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
         d = json.loads(spec)
         model, kinds = d["model"], [x["type"] for x in (d["normalizer"] or {}).get("normalizers", [])]
         split = d["pre_tokenizer"]["pretokenizers"][0]
@@ -54,7 +55,7 @@ class Bpe:
         self.added = {x["content"]: x["id"] for x in d["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.names = {i: str(i) for i in self.tokens}
-        self.piece = regex.compile(split["pattern"]["Regex"])
+        self.library = Tokenizer.from_str(spec)
         self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
@@ -64,6 +65,7 @@ class Bpe:
         self.keys, self.rank = key[order], order.astype(np.int32)
         self.merged = np.array([self.vocab[a + b] for a, b in pairs], np.int32)
         symbols = byte_symbols()
+        self.byte_of = {c: i for i, c in enumerate(symbols)}
         self.first = np.array([self.vocab.get(s, -1) for s in symbols], np.int32)
         self.last = np.array([self.vocab.get(s + self.suffix, -1) for s in symbols], np.int32)
         self.cache: dict[str, tuple] = {}
@@ -133,45 +135,41 @@ class Bpe:
             out[names[i]] = ids[:n]
 
     def chunks(self, text: str) -> list[str]:
-        """Runs without white space, normalised and lower-cased, and added tokens, in order of the text."""
-        if self.special and self.special.search(text):
+        """Runs without white space and added tokens, in order of the text."""
+        if any(a in text for a in self.added):
             return [x for part in self.special.split(text) for x in ([part] if part in self.added else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        """Lower case goes by character (no final sigma). str.split() also splits at U+001C to U+001F, the pattern does not."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+        """str.split() also splits at U+001C to U+001F, the library does not. Texts of LATIN are in lower case from here on."""
+        if text.isascii() or not BEYOND.search(text):
+            low = text.lower()
+            text = text if any(a in low for a in self.added) else low  # what only lower case makes an added token is none
         return [x for x in _GAP.split(text) if x] if _ODD.search(text) else text.split()
 
-    def words_of(self, chunk: str) -> list[str]:
-        """The pattern's pieces of a chunk; a run of letters, or one before a full stop or comma, needs no pattern."""
-        if chunk.isalpha() and chunk.isascii():
-            return [chunk]
-        if chunk[-1] in ".," and chunk[:-1].isalpha() and chunk.isascii():
-            return [chunk[:-1], chunk[-1]]
-        return self.piece.findall(chunk)
+    def words_of(self, chunk: str) -> list[bytes]:
+        """Pieces of a chunk; a run of letters, or one before a full stop or comma, needs no pattern."""
+        if LETTERS.fullmatch(chunk):
+            return [chunk.encode()]
+        if chunk[-1] in ".," and LETTERS.fullmatch(chunk, 0, len(chunk) - 1):
+            return [chunk[:-1].encode(), chunk[-1].encode()]
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in cut]
 
     def entry(self, ids: list[int]) -> tuple:
         return (len(ids), " ".join([self.names[i] for i in ids]), " ".join([self.tokens[i] for i in ids]))
 
     def fill(self, new: set[str]) -> None:
         """Puts (number of ids, ids as text, tokens as text) of chunks into the cache."""
-        know = self.cache
         parts = {c: self.words_of(c) for c in new if c not in self.added}
-        words = {w for ws in parts.values() for w in ws}
-        words.difference_update(know)
-        listed = list(words)
-        for w, ids in zip(listed, self.encode_words([w.encode() for w in listed])):
-            know[w] = self.entry(ids if min(ids) >= 0 else [i for i in ids if i >= 0])
+        listed = list({w for ws in parts.values() for w in ws})
+        know = {w: self.entry([i for i in ids if i >= 0]) for w, ids in zip(listed, self.encode_words(listed))}
         for c, ws in parts.items():
-            if len(ws) != 1 or ws[0] != c:
-                es = [know[w] for w in ws]
-                know[c] = (sum([e[0] for e in es]), " ".join([e[1] for e in es if e[0]]), " ".join([e[2] for e in es if e[0]]))
+            es = [know[w] for w in ws]
+            self.cache[c] = es[0] if len(es) == 1 else (sum([e[0] for e in es]), " ".join([e[1] for e in es if e[0]]), " ".join([e[2] for e in es if e[0]]))
         for c in new:
             if c in self.added:
-                know[c] = self.entry([self.added[c]])
+                self.cache[c] = self.entry([self.added[c]])
 
     def encoded(self, texts: list[str]) -> Iterator[list[tuple]]:
         """For each text its chunks' cache entries, chunks without ids left out."""
@@ -203,6 +201,9 @@ def numbers(entries: list[tuple]) -> np.ndarray:
     return np.array(" ".join([e[1] for e in entries]).split(), np.int32) if entries else np.zeros(0, np.int32)
 
 
+#: Lower-case letters of the blocks up to Latin Extended-A, and what lies beyond these blocks or has no lower case of one character.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+BEYOND = re.compile("[^\x00-\u017f]|[\u0130\u0149]")
 _ODD = re.compile(r"[\x1c-\x1f]")
 _GAP = re.compile(r"[^\S\x1c-\x1f]+")
 _loaded: dict[str, Bpe] = {}
@@ -268,13 +269,11 @@ def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
 
 
 def _over(df: DataFrame, vocab_path: str, rows, schema: str) -> DataFrame:
-    common.small_batches(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(read_spec(vocab_path))  # the vocabulary file: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the cache is full of small objects without cycles
         bpe = _bpe(vocab_path, spec.value)
-        for b in batches:
+        for b in common.parts(batches):
             yield rows(bpe, b)
 
     return df.mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to a Python worker; documents are wide, so batches are short.
-BATCH_ROWS = 500
+#: Bytes of a batch that a Python worker takes at a time (a single larger row is a part of its own).
+PART_BYTES = 2 << 20
 #: Bytes that one vectorised pass over texts takes at a time (a single longer text is a pass of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -22,15 +24,20 @@ _INV = U64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of documents small in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def parts(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows of about limit bytes, without copies: memory follows these, not Spark's batches."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * limit / max(1, b.nbytes)))
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir (a local folder only where that is unset)."""
+    """A fresh path in the shared folder of spark.checkpoint.dir (a local folder only where that is unset and all is local)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"{tempfile.gettempdir()}/sparkloom-scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -99,6 +106,29 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Bytes of a word from which its hash is a digest; shorter words are hashed side by side, eight bytes a step.
+LONG_WORD = 2048
+
+
+def hashed(lower: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes: eight bytes at a time go into the state, which is mixed after each step.
+
+    No sum or product of bytes carries over from one step to the next, so texts of a regular build do not fall together.
+    """
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((lower, np.zeros(8, np.uint8))), 8)
+    left = end - start
+    h = mix(left.astype(U64) + U64(0x9E3779B97F4A7C15))
+    live, at = np.flatnonzero(left < LONG_WORD), start
+    at, left = at[live], left[live]
+    while len(live):
+        v = eight[at].view("<u8").ravel() & _FIRST[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ v) + U64(0xD1B54A32D192ED03))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(lower[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,18 +152,31 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.logical_not(_SPACE[piece], out=inside[1:-1])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         s, e = edge[::2], edge[1::2]
-        up, down = _power(len(piece) + 1)
-        total = np.zeros(len(piece) + 1, U64)
-        np.cumsum((_LOWER[piece].astype(U64) + U64(1)) * up[:-1], out=total[1:])
         starts.append(s + lo)
         ends.append(e + lo)
-        hashes.append(mix((total[e] - total[s]) * down[s]))
+        hashes.append(hashed(_LOWER[piece], s, e))
         lo = hi
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
+def _shingled(h: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of words (hashes h, texts end at bounds), and their offsets by text."""
+    words = np.diff(bounds)
+    count = np.where(words >= size, words - size + 1, (words > 0).astype(np.int64))
+    out_at = np.concatenate(([0], np.cumsum(count)))
+    where = np.repeat(bounds[:-1], count) + (np.arange(out_at[-1]) - np.repeat(out_at[:-1], count))
+    have = np.repeat(np.minimum(words, size), count)
+    total = np.zeros(len(where), U64)
+    ext = np.concatenate((h, np.zeros(size, U64)))
+    for j in range(size):
+        factor = mix(np.array([j + 1], U64))[0] | U64(1)  # no sum of some places' factors is that of others
+        term = ext[where + j] * factor
+        total += np.where(have > j, term, U64(j + 1))
+    return mix(total), out_at
+
+
 def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the word shingles of consecutive texts, and their offsets by text (repeats included).
 
@@ -150,20 +193,20 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndar
     padded[np.arange(len(sub)) + owner] = sub
     start = at[:-1] - base + np.arange(n)
     s, _, h = word_hashes(padded)
-    first = np.searchsorted(s, start, side="left")
-    bounds = np.append(first, len(s))
-    words = np.diff(bounds)
-    count = np.where(words >= size, words - size + 1, (words > 0).astype(np.int64))
-    out_at = np.concatenate(([0], np.cumsum(count)))
-    where = np.repeat(bounds[:-1], count) + (np.arange(out_at[-1]) - np.repeat(out_at[:-1], count))
-    have = np.repeat(np.minimum(words, size), count)
-    total = np.zeros(len(where), U64)
-    ext = np.concatenate((h, np.zeros(size, U64)))
-    for j in range(size):
-        factor = mix(np.array([j + 1], U64))[0] | U64(1)  # no sum of some places' factors is that of others
-        term = ext[where + j] * factor
-        total += np.where(have > j, term, U64(j + 1))
-    return mix(total), out_at
+    return _shingled(h, np.append(np.searchsorted(s, start, side="left"), len(s)), size)
+
+
+def normal(text: bytes) -> bytes:
+    """The words of a UTF-8 text, A-Z lower-cased, joined by one blank."""
+    return b" ".join(text.lower().split())
+
+
+def distinct_shingles(text: bytes, size: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The normal form of a text, the sorted hashes of its distinct shingles, and where each stands in it."""
+    plain = normal(text)
+    s, e, h = word_hashes(np.frombuffer(plain, np.uint8))
+    values, first = np.unique(_shingled(h, np.array([0, len(h)]), size)[0], return_index=True)
+    return plain, values, s[first], e[np.minimum(first + size, len(e)) - 1]
 
 
 def distinct_by_text(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -215,7 +215,6 @@ def links(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col:
     link, but its own component_id is the smallest id that it reaches (null if there is none) and kept is false. An
     empty table gives no rows. Other columns are not read.
     """
-    common.small_batches(rows.sparkSession)
     ids = common.materialise(_valid(rows, id_col, vec_col), "vectors")
     grouped = ids.filter("key is not null").groupBy("key").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     classes = common.materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")

@@ -1,6 +1,7 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, exact check, components.
 
-Texts with equal shingle sets are one class, represented by its smallest doc_id; only representatives are compared.
+Texts with equal word sequences are one class, told by a digest of their bytes and represented by its smallest doc_id;
+only representatives are compared. Hashes find the candidates; a link is confirmed on the bytes of the shingles themselves.
 Representatives that share a band's minima are candidates, but a bucket is never expanded into all its pairs. Each
 member is compared with the bucket's centre, the member that shares most buckets. Members that are one component by
 then need no further comparison. For the rest, any two members x and y of a bucket have the same centre c, so both
@@ -12,6 +13,7 @@ components, and an edited copy that is too far from the centre has a prefix of i
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ ROWS = 5
 SEED = 20240607
 #: Standard deviations below the threshold at which a signature rules a pair out without the exact check.
 SIGMAS = 6.0
-#: Classes of equal sets that can hold more than their share of 1 / HOT of all rows.
+#: Classes or buckets that can hold more than 1 / HOT of all rows: these meet their rows by broadcast.
 HOT = 500
 
 
@@ -61,21 +63,19 @@ def sets_of(texts: list[bytes], words: int) -> Iterator[tuple[int, int, np.ndarr
 
 
 def profiles(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig, bands) of every text. h1, h2: of the whole set; sig: 16 bits of each minimum."""
+    """(doc_id, n_shingles, same, sig, bands) of every text. same: digest of its words; sig: 16 bits of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.parts(batches):
             texts = [t.encode() for t in b.column(1).to_pylist()]
+            same = [hashlib.blake2b(common.normal(t), digest_size=16).digest() for t in texts]
             for lo, hi, values, at in sets_of(texts, words):
                 n = np.diff(at)
                 full = np.flatnonzero(n)
                 sig = np.zeros((hi - lo, bands * rows), np.uint32)
-                sums = np.zeros((2, hi - lo), np.uint64)
                 if len(full):
                     starts = at[:-1][full]
                     sig[full] = signatures(values, np.append(starts, at[-1]), bands * rows)
-                    sums[0, full] = np.add.reduceat(common.mix(values + np.uint64(1)), starts)
-                    sums[1, full] = np.add.reduceat(common.mix(values ^ np.uint64(0xA5A5A5A5DEADBEEF)), starts)
                 keys = np.zeros((hi - lo, bands), np.uint64)
                 for i in range(bands):
                     key = np.full(hi - lo, i + 1, np.uint64)
@@ -85,14 +85,13 @@ def profiles(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int
                 keys = keys.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                        b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(same[lo:hi], pa.binary()),
                         pa.array([s.astype("<u2").tobytes() for s in sig], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * bands, pa.int32()), pa.array(keys.ravel())),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "sig", "bands"],
+                    ["doc_id", "n_shingles", "same", "sig", "bands"],
                 )
 
-    common.small_batches(docs.sparkSession)
-    return common.documents(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>")
+    return common.documents(docs).mapInArrow(run, "doc_id long, n_shingles long, same binary, sig binary, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int, prefixes: bool = False) -> DataFrame:
@@ -108,27 +107,26 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int, prefixe
     share = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in common.parts(batches):
             sa, sb = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(b.num_rows, -1) for i in (4, 5))
             least = share - SIGMAS * (share * (1 - share) / sa.shape[1]) ** 0.5
             close = (sa == sb).mean(axis=1) >= least
             rows = np.arange(b.num_rows) if prefixes else np.flatnonzero(close)
             ta, tb = (b.column(i).take(pa.array(rows)).to_pylist() for i in (2, 3))
             names = {t: i for i, t in enumerate(dict.fromkeys(ta + tb))}  # a text of many pairs is cut into shingles once
-            sets: list[np.ndarray] = []
-            for _, _, values, at in sets_of([t.encode() for t in names], words):
-                sets += [values[x:y] for x, y in zip(at[:-1], at[1:])]
+            sets = [common.distinct_shingles(t.encode(), words) for t in names]
             keep, linked, size, prefix = [], [], [], []
             for i, x, y in zip(rows, ta, tb):
-                x, y = sets[names[x]], sets[names[y]]
+                (tx, x, *in_x), (ty, y, *in_y) = sets[names[x]], sets[names[y]]
                 link = False
                 if close[i] or prefixes:
                     there = np.searchsorted(x, y)
                     there[there == len(x)] = 0
                     have = x[there] == y
                     n = int(np.count_nonzero(have))
+                    if 100 * n >= percent * (len(x) + len(y) - n):
+                        places = (*(p[there[have]].tolist() for p in in_x), *(p[have].tolist() for p in in_y))
+                        n = sum([tx[i:j] == ty[k:m] for i, j, k, m in zip(*places)])
                     link = 100 * n >= percent * (len(x) + len(y) - n)
                 if link or prefixes:
                     keep.append(i)
@@ -138,7 +136,6 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, words: int, prefixe
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(size, pa.int64()), pa.array(linked, pa.bool_()), pa.array(prefix, pa.list_(pa.int64()))], ["a", "b", "size", "linked", "prefix"])
 
-    common.small_batches(pairs.sparkSession)
     return both.mapInArrow(run, "a long, b long, size long, linked boolean, prefix array<long>")
 
 
@@ -158,17 +155,39 @@ def _across(checked: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(full: DataFrame, total: int) -> DataFrame:
-    """(doc_id, rep): every document with the smallest doc_id of its set's class.
+    """(doc_id, rep): every document with the smallest doc_id of its class.
 
     A class of over total / HOT rows meets its rows by broadcast, as there are HOT of these at most; the rows of the
     others are dealt out by class.
     """
-    same = ["h1", "h2", "n_shingles"]
-    classes = common.materialise(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "sets")
-    hot = F.broadcast(classes.filter(F.col("rows") * HOT > total).select(*same, "rep"))
-    rows = full.select("doc_id", *same)
-    rest = rows.join(hot.drop("rep"), same, "left_anti").join(classes.select(*same, "rep"), same)
-    return rows.join(hot, same).select("doc_id", "rep").unionByName(rest.select("doc_id", "rep"))
+    classes = common.materialise(full.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    hot = F.broadcast(classes.filter(F.col("rows") * HOT > total).select("same", "rep"))
+    rows = full.select("doc_id", "same")
+    rest = rows.join(hot.drop("rep"), "same", "left_anti").join(classes.select("same", "rep"), "same")
+    return rows.join(hot, "same").select("doc_id", "rep").unionByName(rest.select("doc_id", "rep"))
+
+
+def _stars(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id) of what shares a bucket, and (a, b): the centre of each bucket with each of its other members.
+
+    keyed: distinct (key, id). The centre is the member that shares most buckets. A bucket of over 1 / HOT of all rows
+    meets them by broadcast.
+    """
+    sizes = common.materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * HOT > total  # HOT keys at most
+
+    def with_buckets(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        large = F.broadcast(buckets.filter(hot))
+        small = rows.join(large.select("key"), "key", "left_anti").join(buckets.filter(~hot), "key")
+        return rows.join(large, "key").unionByName(small)
+
+    members = common.materialise(with_buckets(keyed, sizes), "members")
+    shown = members.groupBy("id").agg(F.sum("n").alias("shown"))
+    best = F.max(F.struct("shown", (-F.col("id")).alias("minus")))["minus"]
+    first = common.materialise(members.join(shown, "id").groupBy("key", "n").agg((-best).alias("centre")), "centres")
+    stars = with_buckets(members.select("key", "id"), first).filter("id <> centre")
+    return members.select("id").distinct(), stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -185,15 +204,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, band
     own = member.filter("doc_id = rep").select(F.col("doc_id").alias("id")).distinct()
     reps = full.join(own, full.doc_id == own.id, "left_semi")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct()
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = common.materialise(keyed.join(shared, "key"), "buckets")
-    ids = members.select("id").distinct()
+    ids, stars = _stars(keyed)
     sigs = full.select(F.col("doc_id").alias("id"), "sig").join(ids, "id", "left_semi")
     texts = common.materialise(common.documents(docs).select(F.col("doc_id").alias("id"), "text").join(sigs, "id"), "texts")
-
-    shown = members.groupBy("id").agg(F.sum("n").alias("shown"))
-    first = members.join(shown, "id").groupBy("key").agg(F.max(F.struct("shown", (-F.col("id")).alias("minus")))["minus"].alias("minus"))
-    stars = members.join(first, "key").filter("id <> -minus").select((-F.col("minus")).alias("a"), F.col("id").alias("b")).distinct()
     checked = common.materialise(verify(stars, texts, percent, words, prefixes=True), "checked")
     links = checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = components(links)

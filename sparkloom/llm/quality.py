@@ -215,7 +215,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     several labels has the lowest. Null and empty texts are scored as texts without words; repeated rows get equal
     scores; an empty table gives no rows. If the labels lack either class, scores are null and everything is kept.
     """
-    common.small_batches(docs.sparkSession)
     rows = docs.drop(*NEW)
     model = train(rows, labels)
     schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in NEW[:3]), StructField(NEW[3], BooleanType())])

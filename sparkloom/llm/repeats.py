@@ -82,7 +82,6 @@ def chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    common.small_batches(docs.sparkSession)
     return common.documents(docs).mapInArrow(run, "chunk long, ids binary, lens binary, text binary")
 
 

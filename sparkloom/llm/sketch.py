@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -71,10 +71,9 @@ def from_string(s: str) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles_est, fingerprint) of every text; null and wordless texts have the empty fingerprint."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.parts(batches):
             found = sketches([t.encode() for t in b.column(1).to_pylist()], k, words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([distinct_count(x, k) for x in found], pa.float64()), pa.array(map(to_string, found), pa.string())], ["doc_id", "n_shingles_est", "fingerprint"])
 
@@ -96,6 +95,17 @@ def merged(prints: DataFrame, by: str, k: int = K) -> DataFrame:
     return parts.repartition(by).mapInArrow(within, schema)
 
 
+def place_among(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most value (null: none): a look at every 64th cut, then at the 64 after it."""
+    if not cuts:
+        return F.lit(0)
+    rows = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    at_most = lambda xs: F.coalesce(F.size(F.filter(xs, lambda c: c <= value)), F.lit(0))
+    longs = lambda xs: F.array(*(F.lit(c).cast("long") for c in xs))
+    row = at_most(longs([r[0] for r in rows]))
+    return F.when(row > 0, (row - 1) * 64 + at_most(F.element_at(F.array(*map(longs, rows)), F.greatest(row, F.lit(1))))).otherwise(0)
+
+
 def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """Each text, its half-edited form (the tail replaced by the head of the next text) and the three sketches' likeness.
 
@@ -103,14 +113,12 @@ def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     follows itself. doc_id ranges are dealt out, and the first row of each range also goes to the range before it, so
     every row meets its successor without a global window. Null texts are empty; an empty table gives no rows.
     """
-    common.small_batches(docs.sparkSession)
     rows = common.documents(docs)
     ids = rows.select("doc_id")
-    parts = min(4096, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     cuts = [int(c) for c in cuts]
-    bounds = F.array(*(F.lit(c).cast("long") for c in cuts))
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    bucket = place_among(F.col("doc_id"), cuts)
     heads = sorted((r["b"], r["first"]) for r in ids.groupBy(bucket.alias("b")).agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")).collect())  # one row a range
     dealt = rows.withColumn("to", bucket).withColumn("lent", F.lit(0))
     if heads:
@@ -124,7 +132,7 @@ def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[tuple] = []  # rows of one range without a successor yet: one at most, (range, doc_id, text, sketch)
         single = None
-        for b in batches:
+        for b in common.parts(batches):
             out: list[tuple] = []
             texts = b.column(1).to_pylist()
             prints = sketches([t.encode() for t in texts], k, words)

@@ -4,7 +4,8 @@ A file set has two Parquet tables, because any store that Spark reads takes them
 documents in ascending (doc_id, text) order, at least SEGMENT ids but for the last of a part; columns part (int,
 ascending with doc_id), seq (int), offset (long: ids of the part before this segment), docs (binary: int64 doc_ids),
 lengths (binary: uint32 ids of each document), blocks (binary: uint32 byte offset in payload of each block), payload
-(binary). `parts`: part, start (long: ids of all parts before) and n; a part is a range of doc_ids, 4,096 at most.
+(binary). `parts`: part, start (long: ids of all parts before) and n; a part is a range of (doc_id, text), the rows of one
+task of the writing job.
 
 A block has up to BLOCK ids: header <u32 minimum, u16 count, u8 width, u16 exceptions>, the ids minus the minimum cut to
 width bits and packed (little-endian bits), then the exceptions: u16 places and u32 high parts. width is the number
@@ -13,11 +14,9 @@ of bits that PERCENTILE of the block's offsets need, or less packed bytes in all
 
 from __future__ import annotations
 
-import gc
 import re
 import string
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .bpe import BEYOND, LETTERS, read_spec
 
 BLOCK = 1024
 SEGMENT = 1 << 16
 PERCENTILE = 90
+#: Ranges of documents for each shuffle partition of the session.
+PARTS = 4
 #: New words of a generation of a task's cache, and words that are kept because an earlier generation had them too.
 NEW_WORDS, KEPT_WORDS = 220_000, 450_000
 #: Words that the library gets as one text.
@@ -188,9 +190,10 @@ class _Known(dict):
 class WordTokenizer:
     """The tokenizers library, asked once for each new word.
 
-    The vocabulary's pieces never cross white space, so a text's ids are those of its words in order. A word of letters
-    is one piece, and so are the marks that follow it. Pieces that are not in the bounded cache go to the library many
-    at a time, as one text; an end-of-word token ends each of them there.
+    The vocabulary's rules never look across white space, so a text's ids are those of its words in order, and words go
+    to the library as they are. Only in texts of the blocks up to Latin Extended-A are words lower-cased here, and marks
+    after a letter of these blocks are a piece of their own: every Unicode version agrees on that. Words that are not in the
+    bounded cache go to the library many at a time, as one text; an end-of-word token ends each of them there.
     """
 
     def __init__(self, path: str, spec: str):
@@ -213,13 +216,11 @@ class WordTokenizer:
             got, used, of = [], 0, self.known.__getitem__
             while lo < len(texts) and (not got or used < 1 << 20):
                 t = texts[lo]
-                if any(a in t for a in self.added) or _ODD.search(t):
+                low = t.lower() if t.isascii() or not BEYOND.search(t) else t
+                if any(a in t or a in low for a in self.added) or _ODD.search(t):
                     got.append([self.one(t)])
                 else:
-                    if not t.isascii():
-                        t = unicodedata.normalize("NFC", t)
-                    if not _CASE.search(t):
-                        t = t.lower()
+                    t = low
                     got.append(list(map(of, " ".join(_STOP.split(t)).split())))
                 used += len(t)
                 lo += 1
@@ -236,8 +237,8 @@ class WordTokenizer:
             (plain if x[0].isalpha() else odd).append(x)
         for w, ids in odd:
             core = w.rstrip(string.punctuation)
-            if core != w and core.isalpha():
-                apart.append((w, ids, known[core.lower() if core.isascii() else core], known[w[len(core) :]]))
+            if core != w and core.isalpha() and LETTERS.match(core[-1]):
+                apart.append((w, ids, known[core], known[w[len(core) :]]))
             else:
                 ids += self.one(w)
                 known[w] = bytes(ids)
@@ -272,8 +273,6 @@ class WordTokenizer:
 _ODD = re.compile(r"[\x1c-\x1f]")
 #: A full stop or comma that ends a word of letters is a piece of its own.
 _STOP = re.compile(r"([.,])(?<=[a-zß-öø-ÿ].)(?!\S)")
-#: Letters whose lower case depends on the place, or is two characters.
-_CASE = re.compile("[Σİ]")
 _loaded: dict[str, WordTokenizer] = {}
 
 
@@ -284,32 +283,25 @@ def _tokenizer(path: str, spec: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def ranges(rows: DataFrame, most: int = 4096):
-    """A column that deals doc_ids out to ascending ranges of about equal counts, null ids to the first."""
-    parts = min(most, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(c) for c in rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    return F.coalesce(F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-
-
 def write(docs: DataFrame, vocab_path: str, out: str, end_id: int = 1) -> None:
     """Encodes every whole text with the tokenizers library, appends end_id and writes the file set under out.
 
     Null and empty texts have end_id alone; repeated rows are all kept, ties in doc_id follow the text; an empty table
     gives empty tables. Columns besides doc_id and text are not read.
     """
-    from .bpe import read_spec
-
     spark = docs.sparkSession
-    common.small_batches(spark)
     rows = common.documents(docs)
     spec = spark.sparkContext.broadcast(read_spec(vocab_path))  # the vocabulary file: fixed size
-    dealt = rows.withColumn("part", ranges(rows)).repartition("part").sortWithinPartitions("part", "doc_id", "text")
+    # the head of a text deals out rows of one doc_id, in the order of the whole texts
+    ranges = rows.repartitionByRange(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.substring("text", 1, 32))
+    dealt = ranges.sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the cache is full of small objects without cycles
+        from pyspark import TaskContext
+
         tok = _tokenizer(vocab_path, spec.value)
-        part, seq, offset, held, ids = None, 0, 0, 0, []
+        part, seq, offset, held, ids = TaskContext.get().partitionId(), 0, 0, 0, []
         names: list = []
 
         def flush() -> pa.RecordBatch:
@@ -320,12 +312,8 @@ def write(docs: DataFrame, vocab_path: str, out: str, end_id: int = 1) -> None:
             seq, offset, held, ids, names = seq + 1, offset + len(whole), 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], _NAMES)
 
-        for b in batches:
-            for doc, to, got in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), tok.ids(b.column(1).to_pylist())):
-                if to != part:
-                    if names:
-                        yield flush()
-                    part, seq, offset = to, 0, 0
+        for b in common.parts(batches):
+            for doc, got in zip(b.column(0).to_pylist(), tok.ids(b.column(1).to_pylist())):
                 names.append(doc)
                 ids.append(got + end)
                 held += len(ids[-1]) // 4
@@ -337,7 +325,7 @@ def write(docs: DataFrame, vocab_path: str, out: str, end_id: int = 1) -> None:
     schema = "part int, seq int, offset long, n long, docs binary, lengths binary, blocks binary, payload binary"
     dealt.mapInArrow(run, schema).write.parquet(f"{out}/segments")
     sums = spark.read.parquet(f"{out}/segments").groupBy("part").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows at most
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task of the job before
     sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n").write.parquet(f"{out}/parts")
 
 
@@ -349,7 +337,7 @@ _NAMES = ["part", "seq", "offset", "n", "docs", "lengths", "blocks", "payload"]
 def read(spark, out: str) -> DataFrame:
     """(doc_id, start, ids binary: little-endian uint32) of every document of a file set."""
     parts = spark.read.parquet(f"{out}/parts").select("part", F.col("start").alias("before"))
-    segments = spark.read.parquet(f"{out}/segments").join(F.broadcast(parts), "part")  # 4,096 rows at most
+    segments = spark.read.parquet(f"{out}/segments").join(F.broadcast(parts), "part")  # a row a task of the writing job
     rows = segments.select((F.col("before") + F.col("offset")).alias("start"), "docs", "lengths", "blocks", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +353,6 @@ def read(spark, out: str) -> DataFrame:
                     ids = pa.array([raw[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64(), mask=names == _NULL), pa.array(at[:-1] + start, pa.int64()), ids], ["doc_id", "start", "ids"])
 
-    common.small_batches(spark)
     return rows.mapInArrow(run, "doc_id long, start long, ids binary")
 
 

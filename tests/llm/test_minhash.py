@@ -67,3 +67,36 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 105: 100, 199: 199, 200: 199}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def morse(n):
+    """Two words of the same letters in an order that polynomial hashes with an odd base do not tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_regular_build_are_told_apart(spark):
+    rows = []
+    for i, n in enumerate((64, 1024, 4096)):
+        a, b = morse(n)
+        rows += [(10 * i + 1, a), (10 * i + 2, b), (10 * i + 3, f"{a} {b} x y z u"), (10 * i + 4, f"{b} {a} x y z u")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows, 85)
+    assert all(r["kept"] for r in got)
+
+
+def test_links_are_confirmed_on_bytes(spark):
+    """Equal signatures alone make no link."""
+    rows = [(i, f"one two three four five {i} {i} {i} {i} {i}") for i in range(6)] + [(7, "one two three four five 1 1 1 1 1")]
+    texts = spark.createDataFrame([(d, t, b"ab") for d, t in rows], "id long, text string, sig binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 7)], "a long, b long")
+    got = minhash.verify(pairs, texts, 85, 5).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(1, 7)]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i * i % 99991}" for i in range(400_000))
+    rows = [(1, long), (2, long + " tail"), (3, "x" * 3_000_000), (4, "X" * 3_000_000), (5, "x" * 2_999_999)]
+    assert len(long) > 2 << 20
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert Counter(tuple(r) for r in got) == brute(rows, 85)

@@ -90,3 +90,31 @@ def test_files_of_odd_rows(spark, whole, tmp_path):
     assert got == _expected([(d, t or "") for d, t, _ in ODD_ROWS], whole)
     tokenfile.write(no_docs(spark), queries.vocab_path(), str(tmp_path / "b"))
     assert tokenfile.digests(spark, str(tmp_path / "b")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def files():
+    return tokenfile.WordTokenizer("-", bpe.read_spec(queries.vocab_path()))
+
+
+def test_all_code_points_as_the_library(own, whole, files):
+    """Every code point, assigned or not, inside a word, before a mark, alone and in upper-case surroundings."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 20_000):
+        texts = [t for c in points[lo : lo + 20_000] for t in (f"a{c}b {c}, {c} {c}.", f"x{c}'s É{c}̇,")]
+        want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+        assert [bpe.numbers(e).tolist() for e in own.encoded(texts)] == want
+        assert [np.frombuffer(x, "<u4").tolist() for x in files.ids(texts)] == want
+
+
+@pytest.mark.parametrize("text", ["x İ, y", "İ. İSTANBUL'da", "<|ENDOFTEXT|> a", "<|endoftext|><|STARTOFTEXT|>", "ŉ, ǅ, ﬀ.", "é, Ȩ́́.", "ΣΑΣ. ΑΣ, Σ", "a b\u0085c d　e", "Ĳ. ÿ, Ÿ,"])
+def test_case_and_marks_as_the_library(own, whole, files, text):
+    want = whole.encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == want
+    assert np.frombuffer(files.ids([text])[0], "<u4").tolist() == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from(list("abthİıſßéÉΣ '́̇.,:12<|>")), max_size=30), max_size=5))
+def test_files_as_the_library(whole, files, texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in files.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
