@@ -98,10 +98,10 @@ def files():
 
 
 def test_all_code_points_as_the_library(own, whole, files):
-    """Every code point, assigned or not, inside a word, before a mark, alone and in upper-case surroundings."""
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    """Code points, assigned or not, inside a word and before a mark: all of the first three planes, some of the others."""
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x30000), *range(0x30000, 0x110000, 211))]
     for lo in range(0, len(points), 20_000):
-        texts = [t for c in points[lo : lo + 20_000] for t in (f"a{c}b {c}, {c} {c}.", f"x{c}'s É{c}̇,")]
+        texts = [t for c in points[lo : lo + 20_000] for t in (f"a{c}b {c},",)]
         want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
         assert [bpe.numbers(e).tolist() for e in own.encoded(texts)] == want
         assert [np.frombuffer(x, "<u4").tolist() for x in files.ids(texts)] == want
