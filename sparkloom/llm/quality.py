@@ -1,37 +1,44 @@
 """A quality classifier by co-training of a text view and a page-metadata view.
 
-The text view sees hashed words and word shapes, the metadata view the source, the language and page statistics. Both
-are logistic models, fitted on the driver to a sample of labelled documents whose size is bounded (LABELLED). In each
-round either view labels the documents of a bounded unlabelled pool (POOL) of which it is most certain, and the other
-view learns from these pseudo-labels. Held-out labels then calibrate each view and weigh the two. Every document is
-scored on its whole text by one pass over the corpus.
+The text view sees hashed words, word shapes, statistics of the text and which words of a lexicon it has: the LEXICON words
+whose share differs most surely between labelled good and bad documents. The metadata view sees nothing of the text: the
+source, the language, the host of the url where there is one, and the stored length. A document is good if its label says
+so and does not call it toxic. Both views are logistic models, fitted on the driver to a sample of labelled documents
+whose size is bounded (LABELLED). In each round both views score all unlabelled documents of the corpus, and each teaches
+the other those of which it is most certain (co-training takes over so many a round, a share TEACH of the training labels). Of the
+held-out labels one part calibrates each view and weighs the two, another sets the threshold. Every document is scored
+on its whole text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, NumericType, StructField, StructType
 
 from . import common
 
-#: Labelled documents to fit on, about, and unlabelled ones for pseudo-labels.
+#: Labelled documents to fit on, about.
 LABELLED = 6144
-POOL = 6144
-ROUNDS = 4
-#: Share of the pool that a view labels in a round at most, and the certainty that it needs.
-SHARE = 0.15
+ROUNDS = 3
+#: Pseudo-labels that a view gives in a round at most, as a share of the labels to train on, and the certainty that it needs.
+TEACH = 0.15
 CERTAIN = 0.95
-#: Share of held-out good documents that the threshold must keep.
-KEEP = 0.998
-WORDS, SHAPES, NAMES, STATS = 768, 7 * 4 * 4, 64, 12
-TEXT, META = WORDS + SHAPES + 1, 2 * NAMES + STATS
+#: Share of held-out good documents that the threshold must keep, and the score under which nothing is kept.
+KEEP = 0.995
+FLOOR = 0.2
+#: Standard errors by which the share of a word of the lexicon differs at least.
+SURE = 5.0
+WORDS, SHAPES, STATS, LEXICON, NAMES, SIZES = 512, 7 * 4 * 4, 12, 256, 64, 32
+TEXT, META = WORDS + SHAPES + 1 + STATS + LEXICON, 3 * NAMES + SIZES + 1
 NEW = ("text_score", "meta_score", "score", "kept")
 
 _KIND = np.full(256, 6, np.uint8)  # letters 0, digits 1, full stop 2, comma 3, exclamation mark 4, bar 5, other 6
@@ -41,14 +48,27 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
-def features(texts: list[bytes], sources: list[str | None], langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[bytes], sources: list, langs: list, urls: list, sizes: list, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text view, metadata view) of whole texts, float32."""
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    views = [_some(texts[lo:hi], sources[lo:hi], langs[lo:hi]) for lo, hi in common.text_chunks(at)]
-    return tuple(np.concatenate(x) for x in zip(*views)) if views else (np.zeros((0, TEXT), np.float32), np.zeros((0, META), np.float32))
+    text = [_of_texts(texts[lo:hi], lexicon) for lo, hi in common.text_chunks(at)]
+    return np.concatenate(text) if text else np.zeros((0, TEXT), np.float32), _of_pages(sources, langs, urls, sizes)
 
 
-def _some(texts: list[bytes], sources: list, langs: list) -> tuple[np.ndarray, np.ndarray]:
+def _of_pages(sources: list, langs: list, urls: list, sizes: list) -> np.ndarray:
+    n = len(sources)
+    meta = np.zeros((n, META), np.float32)
+    hosts = [re.sub(r"^[^:]*://|[/?#].*", "", u, flags=re.S).lower() if u else None for u in urls]
+    for base, names in enumerate((sources, langs, hosts)):
+        place = [int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=4).digest(), "big") % NAMES for x in names]
+        meta[np.arange(n), base * NAMES + np.array(place, np.int64)] = 1
+    log = np.array([0 if x is None or not x >= 0 else min(SIZES - 1, int(2 * math.log2(x + 1))) for x in sizes], np.int64)
+    meta[np.arange(n), 3 * NAMES + log] = 1
+    meta[:, -1] = 1
+    return meta
+
+
+def _of_texts(texts: list[bytes], lexicon: np.ndarray) -> np.ndarray:
     n = len(texts)
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
@@ -63,8 +83,10 @@ def _some(texts: list[bytes], sources: list, langs: list) -> tuple[np.ndarray, n
     repeat[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
     words = np.bincount(owner, minlength=n)
     some = np.maximum(words, 1)[:, None]
-    count = np.bincount(owner * TEXT + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * TEXT) + np.bincount(owner * TEXT + WORDS + shape, minlength=n * TEXT) + np.bincount(owner[repeat] * TEXT + TEXT - 1, minlength=n * TEXT)
-    text = np.sqrt(count.reshape(n, TEXT) / some).astype(np.float32)
+    wide = WORDS + SHAPES + 1
+    count = np.bincount(owner * wide + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * wide) + np.bincount(owner * wide + WORDS + shape, minlength=n * wide) + np.bincount(owner[repeat] * wide + wide - 1, minlength=n * wide)
+    text = np.empty((n, TEXT), np.float32)
+    text[:, :wide] = np.sqrt(count.reshape(n, wide) / some)
     kinds = np.zeros((n, 7))
     for k in range(7):
         kinds[:, k] = np.add.reduceat(_KIND[data] == k, begin, dtype=np.int64)
@@ -75,15 +97,16 @@ def _some(texts: list[bytes], sources: list, langs: list) -> tuple[np.ndarray, n
     new = np.ones(len(order), bool)
     new[1:] = (h[order[1:]] != h[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
     distinct = np.bincount(owner[order[new]], minlength=n)
-    meta = np.zeros((n, META), np.float32)
-    for base, names in ((0, sources), (NAMES, langs)):
-        place = [int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=4).digest(), "big") % NAMES for x in names]
-        meta[np.arange(n), base + np.array(place, np.int64)] = 1
     seen = np.maximum(size, 1)
     stats = (np.log1p(size) / 8, np.log1p(words) / 8, np.log1p(lines) / 4, np.log1p(size / np.maximum(lines, 1)) / 6, *(np.sqrt(kinds[:, k] / seen) for k in (1, 2, 4, 5, 6)), np.sqrt(caps / seen), distinct / np.maximum(words, 1), np.ones(n))
     for i, x in enumerate(stats):
-        meta[:, 2 * NAMES + i] = x
-    return text, meta
+        text[:, wide + i] = x
+    text[:, wide + STATS :] = 0
+    if len(lexicon):
+        at = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
+        hit = lexicon[at] == h
+        text[owner[hit], wide + STATS + at[hit]] = 0.5
+    return text
 
 
 @dataclass
@@ -102,7 +125,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, steps: int = 150, ridge: float = 1e-4) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, steps: int = 200, ridge: float = 1e-4) -> Model:
     """Accelerated gradient descent on the mean log loss."""
     w = np.zeros(x.shape[1] + 1, np.float32) if start is None else start.copy()
     rate = 4 / (float(np.einsum("ij,ij->i", x, x).max(initial=0)) + 1)
@@ -131,102 +154,173 @@ class CoTrained:
     meta: Model
     blend: np.ndarray
     threshold: float
+    lexicon: np.ndarray
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.text.odds(text), self.meta.odds(meta)
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.blend[0] * np.clip(a, -30, 30) + self.blend[1] * np.clip(b, -30, 30) + self.blend[2])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray) -> CoTrained | None:
-    """label: 1 good, 0 bad, -1 unlabelled; None if either class is missing."""
-    classes = [np.flatnonzero(label == c) for c in (0, 1)]
-    held, train, pool = np.concatenate([c[::4] for c in classes]), np.concatenate([np.delete(c, np.s_[::4]) for c in classes]), np.flatnonzero(label < 0)
-    if any(len(np.unique(label[x])) < 2 for x in (held, train)):
-        return None
-    views, models = (text, meta), [fit(v[train], label[train]) for v in (text, meta)]
-    taught: list[dict[int, int]] = [{}, {}]
-    for _ in range(ROUNDS if len(pool) else 0):
-        for i in (0, 1):
-            fresh = np.array([x for x in pool if x not in taught[1 - i]], np.int64)
-            p = _sigmoid(models[i].odds(views[i][fresh]))
-            sure = np.flatnonzero(np.maximum(p, 1 - p) >= CERTAIN)
-            # each class in proportion, the surest first
-            for good in (True, False):
-                own = sure[(p[sure] >= 0.5) == good]
-                most = int(SHARE * len(pool) * (label[train] == good).mean())
-                own = own[np.argsort(-np.abs(p[own] - 0.5), kind="stable")[:most]]
-                taught[1 - i].update(dict.fromkeys(fresh[own].tolist(), int(good)))
-        for i in (0, 1):
-            more = np.fromiter(taught[i], np.int64)
-            rows = np.concatenate((train, more))
-            models[i] = fit(views[i][rows], np.concatenate((label[train], list(taught[i].values()))), models[i].weights, 75)
-    y = label[held]
+def calibrated(models: list[Model], views: tuple[np.ndarray, np.ndarray], label: np.ndarray, calibrate: np.ndarray, check: np.ndarray, lexicon: np.ndarray) -> CoTrained:
+    y = label[calibrate]
     for v, m in zip(views, models):
-        m.slope, m.offset = _line(m.odds(v[held])[:, None], y)
-    blend = _line(np.column_stack([np.clip(m.odds(v[held]), -30, 30) for v, m in zip(views, models)]), y)
-    out = CoTrained(*models, blend, 0.5)
-    good = np.sort(out.scores(text[held], meta[held])[2][y == 1])
-    out.threshold = min(0.5, float(good[int((1 - KEEP) * len(good))]))
+        m.slope, m.offset = _line(m.odds(v[calibrate])[:, None], y)
+    odds = np.column_stack([np.clip(m.odds(v[calibrate]), -30, 30) for v, m in zip(views, models)])
+    blend = _line(odds, y)
+    for i in np.flatnonzero(blend[:2] < 0)[:1]:  # a view never counts against itself
+        own = _line(odds[:, [1 - i]], y)
+        blend = np.array([0.0, 0.0, own[1]])
+        blend[1 - i] = own[0]
+    out = CoTrained(*models, blend, 0.5, lexicon)
+    good = check[label[check] == 1]
+    if len(good):
+        score = np.sort(out.scores(*(v[good] for v in views))[2])
+        out.threshold = min(0.5, max(FLOOR, float(score[min(len(score) - 1, math.ceil((1 - KEEP) * len(score)))])))
     return out
 
 
-def _columns(b: pa.RecordBatch, text: int, source: int, lang: int) -> tuple[list, list, list]:
-    return [(t or "").encode() for t in b.column(text).to_pylist()], *([None] * b.num_rows if i < 0 else b.column(i).to_pylist() for i in (source, lang))
+#: Columns that the views read, if the documents have them.
+READ = ("text", "source", "lang", "url", "n_chars")
 
 
-def _places(df: DataFrame) -> tuple[int, int, int]:
-    return df.columns.index("text"), *(df.columns.index(c) if c in df.columns else -1 for c in ("source", "lang"))
+def _read(df: DataFrame) -> list[Column]:
+    """READ as strings and a number, null where df lacks one or it is of another kind."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    kind = lambda c: "double" if c == "n_chars" else "string"
+    fits = lambda c: c in have and (c != "n_chars" or isinstance(have[c], NumericType))
+    return [(F.col(c).cast(kind(c)) if fits(c) else F.lit(None).cast(kind(c))).alias(f"_{c}") for c in READ]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """Fits the two views to about LABELLED labelled documents and POOL others, chosen by a hash of doc_id."""
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+def _views(b: pa.RecordBatch, first: int, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch whose columns from first on are those of _read."""
+    text, *page = (b.column(first + i).to_pylist() for i in range(len(READ)))
+    return features([(t or "").encode() for t in text], *page, lexicon)
+
+
+def _lexicon(docs: DataFrame, sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of the LEXICON words of five labelled documents or more whose share differs most surely by label."""
+    rows = docs.join(F.broadcast(sample.select(F.col("doc_id").alias("_id"), "label")), F.col("doc_id") == F.col("_id")).select("label", F.coalesce("text", F.lit("")).alias("text"))  # about LABELLED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.parts(batches):
+            words = [np.unique(common.word_hashes(np.frombuffer(t.encode(), np.uint8))[2]) for t in b.column(1).to_pylist()]
+            n = [len(w) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n), pa.int32()), pa.array(np.concatenate(words).view(np.int64))], ["label", "word"])
 
-    def part(df: DataFrame, most: int) -> DataFrame:
-        share = min(1.0, most / max(1, df.count()))
-        return df.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
+    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    counts = rows.mapInArrow(run, "label int, word long").groupBy("word").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    good, bad, all_ = max(1, n.get(1, 0)), max(1, n.get(0, 0)), sum(n.values())
+    p = F.col("n") / all_
+    z = F.abs(F.col("good") / good - (F.col("n") - F.col("good")) / bad) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / good + 1 / bad))
+    return np.sort(np.array([r[0] for r in counts.filter(z >= SURE).orderBy(z.desc(), "word").limit(LEXICON).select("word").collect()], np.int64).view(np.uint64))
 
-    named = part(marks, LABELLED).select("doc_id", F.col("quality").cast("int").alias("label"))
-    others = part(docs.select("doc_id").filter("doc_id is not null"), POOL * 2).distinct().join(marks, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("label"))
-    ids = named.unionByName(others.limit(2 * POOL)).select(F.col("doc_id").alias("_id"), "label")
-    keep = [c for c in ("text", "source", "lang") if c in docs.columns]
-    chosen = docs.select("doc_id", *keep).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "label", *(F.col(c).cast("string").alias(c) for c in keep))  # about LABELLED + POOL ids
-    where = _places(chosen)
+
+def _collected(docs: DataFrame, ids: DataFrame, lexicon: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(ids, text view, metadata view) of the documents with a bounded list of ids, one text of each id."""
+    rows = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = rows.select("doc_id", F.struct(*_read(rows)).alias("r")).groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.parts(batches):
+            views = ([x.tobytes() for x in v.astype(np.float16)] for v in _views(b, 1, lexicon))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.binary()) for v in views)], ["doc_id", "t", "m"])
+
+    got = rows.mapInArrow(run, "doc_id long, t binary, m binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # one row for each of the ids
+    text, meta = np.empty((len(got), TEXT), np.float32), np.empty((len(got), META), np.float32)
+    for i, r in enumerate(got):
+        text[i], meta[i] = np.frombuffer(r[1], np.float16), np.frombuffer(r[2], np.float16)
+    return [r[0] for r in got], text, meta
+
+
+def _surest(docs: DataFrame, marks: DataFrame, models: list[Model], most: float, share: float, taught: list[set[int]], lexicon: np.ndarray) -> list[tuple[int, int, int]]:
+    """(view, doc_id, label): of all unlabelled documents those that each view is most certain of, `most` of a view.
+
+    All of them are scored in tasks; four top-k reports of numbers come to the driver.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # two weight vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text, meta = features(*_columns(b, *where))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in text.astype(np.float16)], pa.binary()), pa.array([x.tobytes() for x in meta.astype(np.float16)], pa.binary())], ["doc_id", "label", "t", "m"])
+        for b in common.parts(batches):
+            odds = (m.odds(v) for m, v in zip(sent.value, _views(b, 1, lexicon)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in odds)], ["doc_id", "o0", "o1"])
+
+    scored = docs.filter("doc_id is not null").select("doc_id", *_read(docs)).mapInArrow(run, "doc_id long, o0 double, o1 double")
+    free = common.materialise(scored.join(marks.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.min("o0").alias("o0"), F.min("o1").alias("o1")), "odds")
+    sure, out = math.log(CERTAIN / (1 - CERTAIN)), []
+    spark = docs.sparkSession
+    for view in (0, 1):
+        known = spark.createDataFrame([(x,) for x in taught[1 - view]], "doc_id long")
+        new = free.join(F.broadcast(known), "doc_id", "left_anti")  # ROUNDS x TEACH x LABELLED ids at most
+        for label in (0, 1):
+            odds = F.col(f"o{view}") * (1 if label else -1)
+            top = new.filter(odds >= sure).orderBy(odds.desc(), F.xxhash64("doc_id"), "doc_id").limit(max(1, round(most * (share if label else 1 - share))))
+            out += [(view, r[0], label) for r in top.select("doc_id").collect()]
+    common.drop_scratch(free)
+    return out
 
-    rows = chosen.mapInArrow(run, "doc_id long, label int, t binary, m binary").dropDuplicates(["doc_id"]).limit(2 * (LABELLED + 2 * POOL)).orderBy(F.xxhash64("doc_id")).collect()  # bounded
-    if not rows:
+
+def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
+    """The two views, co-trained; None if the labelled sample lacks either class."""
+    bad = F.coalesce(F.col("toxic").cast("int"), F.lit(0)) > 0 if "toxic" in labels.columns else F.lit(False)
+    good = F.when(bad, 0).otherwise((F.col("quality").cast("int") > 0).cast("int"))
+    marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good).alias("label"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    share = min(1.0, LABELLED / max(1, marks.count()))
+    sample = marks.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))  # about LABELLED labels
+    label_of = {r[0]: r[1] for r in sample.collect()}
+    # words are chosen by labels that neither calibrate nor set the threshold
+    fifth = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5))
+    lexicon = _lexicon(docs, sample.filter(fifth > 1))
+    ids, text, meta = _collected(docs, sample, lexicon)
+    rest = {r[0]: r[1] for r in sample.select("doc_id", fifth).collect()}
+    label, views = np.array([label_of[i] for i in ids], np.int64), (text, meta)
+    parts = [np.flatnonzero(np.isin([rest[i] for i in ids], x)) for x in ([2, 3, 4], [0], [1])]  # train, calibrate, set the threshold
+    if any(len(np.unique(label[x])) < 2 for x in parts[:2]):
         return None
-    text, meta, label = np.empty((len(rows), TEXT), np.float32), np.empty((len(rows), META), np.float32), np.empty(len(rows), np.int64)
-    for i, r in enumerate(rows):
-        text[i], meta[i], label[i] = np.frombuffer(r[2], np.float16), np.frombuffer(r[3], np.float16), r[1]
-    del rows
-    return co_train(text, meta, np.where(label > 0, 1, label))
+    own = parts[0]
+    models = [fit(v[own], label[own]) for v in views]
+    taught: list[set[int]] = [set(), set()]
+    more: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    for _ in range(ROUNDS):
+        for v, m in zip(views, models):  # a view's certainty is that of its calibrated odds
+            m.slope, m.offset = _line(m.odds(v[parts[1]])[:, None], label[parts[1]])
+        new = _surest(docs, marks, models, TEACH * len(own), float(label[own].mean()), taught, lexicon)
+        if not new:
+            break
+        got, t, m = _collected(docs, docs.sparkSession.createDataFrame([(d,) for d in {d for _, d, _ in new}], "doc_id long"), lexicon)
+        place = {d: i for i, d in enumerate(got)}
+        for view in (0, 1):
+            lesson = [(place[d], y) for v, d, y in new if v == view]
+            rows = np.array([i for i, _ in lesson], np.int64)
+            more[1 - view].append(((t, m)[1 - view][rows], np.array([y for _, y in lesson], np.int64)))
+            taught[1 - view].update(d for v, d, _ in new if v == view)
+        for i in (0, 1):
+            x, y = np.concatenate([views[i][own], *(a for a, _ in more[i])]), np.concatenate([label[own], *(b for _, b in more[i])])
+            models[i] = fit(x, y, models[i].weights, 100)
+    return calibrated(models, views, label, *parts[1:], lexicon)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with text_score, meta_score, score (probabilities of good quality) and kept; columns of these names are replaced.
 
-    docs: doc_id, text and, if there are such, source and lang; labels: doc_id, quality (1 good, 0 bad). A document with
-    several labels has the lowest. Null and empty texts are scored as texts without words; repeated rows get equal
-    scores; an empty table gives no rows. If the labels lack either class, scores are null and everything is kept.
+    docs: doc_id, text and, if there are such, source, lang, url and n_chars; labels: doc_id, quality (1 good, 0 bad) and,
+    if there is one, toxic (1: not good). A document with several labels has the lowest, one with several texts the first
+    in their order. Null and empty texts are scored as texts without words; repeated rows get equal scores; rows without
+    doc_id are scored, but teach nothing; an empty table gives no rows. If the labels lack either class, scores are null
+    and everything is kept.
     """
     rows = docs.drop(*NEW)
     model = train(rows, labels)
-    schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in NEW[:3]), StructField(NEW[3], BooleanType())])
     if model is None:
         return rows.select("*", *(F.lit(None).cast("double").alias(c) for c in NEW[:3]), F.lit(True).alias(NEW[3]))
-    where = _places(rows)
+    n = len(rows.columns)
+    schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in NEW[:3]), StructField(NEW[3], BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
-            found = m.scores(*features(*_columns(b, *where)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.float64()) for x in found), pa.array(found[2] >= m.threshold, pa.bool_())], [*b.schema.names, *NEW])
+        for b in common.parts(batches):
+            found = m.scores(*_views(b, n, m.lexicon))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(x, pa.float64()) for x in found), pa.array(found[2] >= m.threshold, pa.bool_())], [*b.schema.names[:n], *NEW])
 
-    return rows.mapInArrow(run, schema)
+    return rows.select("*", *_read(rows)).mapInArrow(run, schema)

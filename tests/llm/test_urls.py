@@ -48,3 +48,16 @@ def test_query(spark):
     urls_of = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op2_url_rules(spark, SF).collect():
         assert tuple(r)[1:] == plain(urls_of[r["page_id"]])
+
+
+def test_large_lists_go_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_BYTES", 700)
+    rules = [("block" if i % 3 else "allow", f"h{i % 40}.example/{i}") for i in range(600)]
+    pages = [(i, f"http://www.h{i % 40}.example/{i}/x") for i in range(900)]
+    universe = spark.createDataFrame([(r,) for _, r in rules] + [(f"k{i}",) for i in range(4000)], "key string")
+    assert len(urls.build(spark.createDataFrame([(r,) for _, r in rules], "key string"), universe).parts) > 1
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    for i, u in pages:
+        host, path = u.removeprefix("http://").split("/", 1)
+        fits = [(len(r), r, v) for v, r in rules if ("." + host).endswith("." + r.split("/")[0]) and ("/" + path).startswith("/" + r.split("/", 1)[1])]
+        assert got[i] == (max(fits)[1:] if fits else (None, "allow"))
