@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept", "text_sha256")
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ LENGTH = 50
 RUN = 31
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK = 2 << 20
+#: Bytes of text whose names one bucket holds, on average.
+BUCKET = 32 << 20
 #: Contents of one anchor beyond which its windows are dealt out one by one.
 SPLIT = 4096
 #: Suffixes that one suffix array sorts together; anchors are not divided.
@@ -454,9 +456,11 @@ class Repeats:
             raise ValueError(f"length must be at least {RUN + 4} bytes")
         self.length = length
         spark = docs.sparkSession
-        n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = common.materialise(chunks(docs), "chunks")
-        dealt = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
+        tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # a task takes one bucket at a time, so these are as many as keep a bucket's share of the names small
+        n = buckets or max(tasks, -(-self.table.count() * CHUNK // BUCKET))
+        dealt = lambda df: df.repartition(min(n, tasks), "bucket").sortWithinPartitions("bucket", "chunk")
         self.codes = common.materialise(_judge(dealt(_names(self.table, length, n))), "codes")
         self.n, self.dealt = n, dealt
         self.asked = dealt(common.materialise(_asked(_with(self.table, self.codes, "codes"), length, n), "asked"))
@@ -518,8 +522,10 @@ class Repeats:
 
         return _with(self.table, self.codes, "codes").mapInArrow(run, "anchor long, content long, n_bytes long, doc_id long, start long")
 
-    def kept(self, texts: bool = True, characters: bool = False) -> DataFrame:
-        """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary: null without texts) of every row of docs.
+    def kept(self, texts: bool = True, characters: bool = False, digests: bool = False) -> DataFrame:
+        """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, text_sha256) of every row of docs.
+
+        kept (binary) is null without texts, text_sha256 (of the input) without digests.
 
         A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller doc_id; with
         characters, one that only a part of a UTF-8 character would lose stays. Null
@@ -538,9 +544,9 @@ class Repeats:
                     if characters and len(data):
                         first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32 if len(data) < 1 << 31 else np.int64)
                         gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, first.dtype.type(len(data)))))
-                    yield from _results(ids, at, data, gone, texts)
+                    yield from _results(ids, at, data, gone, texts, digests)
 
-        return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text_sha256 string")
 
 
 def covered(ids: np.ndarray, at: np.ndarray, data: np.ndarray, code: np.ndarray, names: list[bytes] | None, bits: list[bytes] | None, length: int) -> np.ndarray:
@@ -570,7 +576,7 @@ def covered(ids: np.ndarray, at: np.ndarray, data: np.ndarray, code: np.ndarray,
     return np.cumsum(edge[:-1]) > 0
 
 
-def _results(ids: np.ndarray, at: np.ndarray, data: np.ndarray, gone: np.ndarray, texts: bool) -> Iterator[pa.RecordBatch]:
+def _results(ids: np.ndarray, at: np.ndarray, data: np.ndarray, gone: np.ndarray, texts: bool, digests: bool) -> Iterator[pa.RecordBatch]:
     rise = gone.copy()
     rise[1:] &= ~gone[:-1]
     inner = at[:-1][np.diff(at) > 0]
@@ -584,8 +590,9 @@ def _results(ids: np.ndarray, at: np.ndarray, data: np.ndarray, gone: np.ndarray
         [
             pa.array(ids, pa.int64(), mask=ids == _LAST), pa.array(np.diff(at), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(np.diff(spans), pa.int64()),
             pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept if texts else [None] * len(kept), pa.binary()),
+            pa.array([hashlib.sha256(data[a:b]).hexdigest() if digests else None for a, b in zip(at[:-1], at[1:])], pa.string()),
         ],
-        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_sha256"],
     )
 
 

@@ -79,3 +79,11 @@ def test_run_and_odd_rows(spark):
     for _, stage in P.STAGES[1:]:
         assert stage(spark, odd_docs(spark), SF).count() > 0
         assert stage(spark, no_docs(spark), SF).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids_keep_their_columns(spark):
+    rows = [(None, "first of two without an id", "src1"), (None, "second of two without an id", "src2"), (5, "one text of an id", "src3"), (5, "another text of an id", "src4"), (5, "one text of an id", "src3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = P.drop_near_duplicates(spark, docs, SF)
+    assert Counter(tuple(r) for r in near.collect()) == Counter(set(rows))
+    assert Counter(tuple(r) for r in P.cut_repeats(spark, near, SF).collect()) == Counter(set(rows))
