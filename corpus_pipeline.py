@@ -21,30 +21,37 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group, once; rows without doc_id stay."""
+    """The document of the smallest doc_id of each group; rows without doc_id stay.
+
+    Rows equal in doc_id and text count once; different texts of one doc_id are one document, and stay or go together.
+    """
     first = minhash.near_duplicates(docs, NEAR).filter("kept").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller doc_id has; documents of nothing else go."""
-    left = repeats.Repeats(docs, PASSAGE).kept(characters=True)
+    """Texts without the passages that a document with a smaller doc_id has; documents of nothing else go.
+
+    Each row gets its other columns back by doc_id (null is a value here) and text; of rows equal in both, those of one.
+    """
+    left = repeats.Repeats(docs, PASSAGE).kept(characters=True, digests=True)
     left = left.filter("n_removed = 0 or length(trim(cast(kept as string))) > 0")
-    left = left.select(F.col("doc_id").alias("_d"), F.col("kept").cast("string").alias("_text"))
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    both = left.join(rest, F.col("_d").eqNullSafe(F.col("doc_id")))
+    left = left.select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s"), F.col("kept").cast("string").alias("_text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rest = docs.withColumn("_t", digest).drop("text", "n_chars").dropDuplicates(["doc_id", "_t"])
+    both = left.join(rest, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_s") == F.col("_t")))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return both.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the mixture."""
+    """Every document, repeated rows too, in the order of the mixture; null and unnamed sources share a class."""
     return mixing.in_order(mixing.mix(docs, SOURCE_WEIGHTS)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded)."""
+    """(doc_id, n_tokens, ids, decoded) of every row; null and empty texts have no ids and decode to the empty text."""
     return bpe.round_trip(docs, vocab_path())
 
 
