@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Entries of a task's cache of words; it is emptied when full, which only costs time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words that are encoded side by side.
 ROWS = 20_000
 NONE = np.int32(2**31 - 1)
@@ -55,7 +55,8 @@ class Bpe:
         self.added = {x["content"]: x["id"] for x in d["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.names = {i: str(i) for i in self.tokens}
-        self.library = Tokenizer.from_str(spec)
+        library = Tokenizer.from_str(spec)
+        self.normalizer, self.cutter = library.normalizer, library.pre_tokenizer  # its model goes
         self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
@@ -153,7 +154,7 @@ class Bpe:
             return [chunk.encode()]
         if chunk[-1] in ".," and LETTERS.fullmatch(chunk, 0, len(chunk) - 1):
             return [chunk[:-1].encode(), chunk[-1].encode()]
-        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        cut = self.cutter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
         return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in cut]
 
     def entry(self, ids: list[int]) -> tuple:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that a Python worker takes at a time (a single larger row is a part of its own).
 PART_BYTES = 2 << 20
+#: Rows that it takes at a time at most: short texts have as wide results as long ones.
+PART_ROWS = 500
 #: Bytes that one vectorised pass over texts takes at a time (a single longer text is a pass of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -25,9 +27,9 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def parts(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows of about limit bytes, without copies: memory follows these, not Spark's batches."""
+    """Batches cut into runs of rows of about limit bytes and PART_ROWS rows at most, without copies: memory follows these, not Spark's batches."""
     for b in batches:
-        rows = max(1, int(b.num_rows * limit / max(1, b.nbytes)))
+        rows = max(1, min(PART_ROWS, int(b.num_rows * limit / max(1, b.nbytes))))
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
 
