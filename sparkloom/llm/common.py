@@ -26,6 +26,16 @@ _INV = U64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch that goes to a Python worker, unless the session has a lower bound.
+
+    Results are lazy, so the setting stays: Spark reads it when the caller's job starts.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > PART_BYTES:
+        spark.conf.set(name, str(PART_BYTES))
+
+
 def parts(batches: Iterator[pa.RecordBatch], limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows of about limit bytes and PART_ROWS rows at most, without copies: memory follows these, not Spark's batches."""
     for b in batches:
