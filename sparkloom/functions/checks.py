@@ -38,7 +38,7 @@ def tw_business(s: Column) -> Column:
 def card(s: Column) -> Column:
     """13 to 19 digits with the Luhn check; blanks and hyphens do not count."""
     bare = F.regexp_replace(s, r"[\s\-]", "")
-    return F.coalesce(bare.rlike(r"^\d{13,19}$") & F.expr("true") & F.call_function("luhn_check", bare), F.lit(False))
+    return F.coalesce(bare.rlike(r"^\d{13,19}$") & F.call_function("luhn_check", bare), F.lit(False))
 
 
 def iban(s: Column) -> Column:
@@ -56,6 +56,34 @@ def jp_number(s: Column) -> Column:
     return F.coalesce(s.rlike(r"^\d{12}$") & ~s.rlike(r"^(\d)\1*$") & (F.right(s, F.lit(1)).cast("int") == F.when(rest <= 1, 0).otherwise(11 - rest)), F.lit(False))
 
 
+def jp_company(s: Column) -> Column:
+    """Thirteen digits, not all the same; the first is nine less the remainder by nine of the others, weighted 1 and 2 in turn."""
+    bare = F.regexp_replace(s, r"\D", "")
+    return F.coalesce(bare.rlike(r"^\d{13}$") & ~bare.rlike(r"^(\d)\1*$") & (F.left(bare, F.lit(1)).cast("int") == 9 - weighted(F.substring(bare, 2, 12), [2, 1] * 6) % 9), F.lit(False))
+
+
+def tw_residence(s: Column) -> Column:
+    """A letter, A to D or 8 or 9, and eight digits; there is no check digit here."""
+    return F.coalesce(F.upper(s).rlike(r"^[A-Z][A-D89]\d{8}$"), F.lit(False))
+
+
+def uk_insurance(s: Column) -> Column:
+    """Nine characters without white space whose first two are a prefix in use."""
+    bare = F.upper(F.regexp_replace(s, r"\s+", ""))
+    return F.coalesce((F.length(bare) == 9) & ~F.left(bare, F.lit(2)).isin("BG", "GB", "NK", "KN", "TN", "NT", "ZZ"), F.lit(False))
+
+
+def us_phone(s: Column) -> Column:
+    """Ten digits after a leading 1, neither area nor exchange with a 0 or 1 in front."""
+    bare = F.regexp_replace(F.regexp_replace(s, r"\D", ""), r"^1(?=\d{10}$)", "")
+    return F.coalesce(bare.rlike(r"^[2-9]\d{2}[2-9]\d{6}$"), F.lit(False))
+
+
+def bank_account(s: Column) -> Column:
+    """Eight to twenty digits."""
+    return F.coalesce(F.length(F.regexp_replace(s, r"\D", "")).between(8, 20), F.lit(False))
+
+
 def _bare(s: Column) -> Column:
     return F.regexp_replace(F.translate(s, "０１２３４５６７８９", "0123456789"), r"\D", "")
 

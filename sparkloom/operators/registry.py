@@ -137,3 +137,23 @@ def enrich(rows: DataFrame, registry: DataFrame, key: str, rules: Sequence[tuple
     found = rows.join(registry.withColumnRenamed("vat", "_vat"), F.col(key) == F.col("_vat"), "left")
     subject, source = cascade(rules, by)
     return found.withColumn("subject", subject).withColumn("subject_source", source).drop("_vat")
+
+
+def tokens(text: Column) -> Column:
+    """Distinct lower-case tokens of a name: words, and each CJK character and kana for itself; spelling variants are one."""
+    return F.array_remove(F.array_distinct(F.split(T.tokenised(F.lower(T.variants(F.coalesce(text, F.lit(""))))), " ")), "")
+
+
+def token_search(questions: DataFrame, rows: DataFrame, question: str, key: str, name: str) -> DataFrame:
+    """(question, key): rows whose name has every token of a question (question, query), as whole tokens.
+
+    The index (token, key) is met under the rarest token of each question alone, so a token that all names share deals
+    out nothing; the other tokens are looked up in the row that was found.
+    """
+    named = rows.select(key, tokens(F.col(name)).alias("_have"))
+    index = named.select(key, "_have", F.explode("_have").alias("_token"))
+    counts = index.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    asked = questions.select(question, tokens(F.col("query")).alias("_want")).select(question, "_want", F.explode("_want").alias("_token"))
+    first = asked.join(counts, "_token", "left").groupBy(question, "_want").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token").alias("token"))).alias("_first"))
+    met = first.select(question, "_want", F.col("_first.token").alias("_token")).join(index, "_token")
+    return met.filter(F.size(F.array_except("_want", "_have")) == 0).select(question, key).distinct()
