@@ -14,7 +14,7 @@ NO_BUYER = "00000000"
 def roc_date(s: Column) -> Column:
     """A date written YYYMMDD in years since 1911; null if there is none."""
     parts = lambda i: F.regexp_extract(s, r"^(\d{3,4})(\d{2})(\d{2})$", i)
-    year = F.expr("try_cast(null as int)") if s is None else F.when(parts(1) != "", parts(1).cast("int") + 1911)
+    year = F.when(parts(1) != "", parts(1).cast("int") + 1911)
     return F.try_to_timestamp(F.format_string("%04d-%s-%s", year, parts(2), parts(3)), F.lit("yyyy-MM-dd")).cast("date")
 
 
@@ -120,4 +120,4 @@ def receipt_kind(text: Column) -> Column:
 
 def labelled(text: Column, label: str) -> Column:
     """What stands after 'label :' on its line; empty is null."""
-    return F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^\s*(?:{label})\s*[:：]\s*(.*)$", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^\s*(?:{label})[ \t　]*[:：][ \t　]*(.*)$", 1)), F.lit(""))

@@ -166,9 +166,18 @@ def xml_text(s: Column) -> Column:
 
 
 def error_page(text: Column) -> Column:
-    """Whether a reply is the HTML page of a failing proxy: a page wrapper and an error's number or words."""
-    head = F.lower(F.substring(text, 1, 4000))
-    return head.rlike(r"^\s*(<!doctype html|<html)") & head.rlike(r"\b[45]\d\d\b.{0,40}(error|gateway|unavailable|timeout|forbidden|not found)|(bad gateway|service unavailable|gateway time-?out)")
+    """The status of a reply that is the page of a failing proxy, else the empty text.
+
+    The first 500 characters after white space are looked at, as a reply that is a page begins as one: an error's number
+    beside its words, 5xx for words without a number, cf-error, and html-body for any other page.
+    """
+    head = F.lower(F.left(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+", ""), F.lit(500)))
+    wrapped = head.rlike("^(<html|<!doctype|<head)") | F.left(head, F.lit(200)).contains("<title>")
+    named = F.regexp_extract(head, r"(\b50[02-4]\b|\b40[0-9]\b)\s*(gateway|server error|timeout|unavailable|bad|forbidden|too many)", 1)
+    number = F.regexp_extract(head, r"\b(50[02-4])\b", 1)
+    words = head.rlike("gateway time-out|bad gateway|service unavailable")
+    kind = F.when(named != "", named).when(words, F.when(number != "", number).otherwise("5xx"))
+    return F.when(~wrapped, "").otherwise(kind.when(head.contains("cloudflare") & head.rlike("error|timeout"), "cf-error").otherwise("html-body"))
 
 
 def no_translation(s: Column) -> Column:

@@ -34,24 +34,35 @@ def bucket_start(ts: Column, origin: Column, seconds: int) -> Column:
     return F.floor((F.unix_micros(ts) - F.unix_micros(origin)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def gauge(rows: DataFrame, origin: Column, seconds: int, buckets: int, values: dict[str, str]) -> DataFrame:
-    """(bucket, samples, average and maximum of each value) of every bucket, empty ones included."""
-    at = rows.withColumn("bucket", bucket_start(F.col("ts"), origin, seconds)).filter(F.col("bucket").between(0, buckets - 1))
+def every_bucket(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """(bucket) from the least low to the greatest high of rows, without gaps; none for an empty table."""
+    ends = rows.agg(F.min(low).alias("a"), F.max(high).alias("b")).filter("a is not null")
+    return ends.select(F.explode(F.sequence("a", "b")).alias("bucket"))
+
+
+def gauge(rows: DataFrame, origin: Column, seconds: int, values: dict[str, str]) -> DataFrame:
+    """(bucket, samples, average and maximum of each value) of every bucket from the first event to the last; 0 begins at origin."""
+    at = rows.filter("ts is not null").withColumn("bucket", bucket_start(F.col("ts"), origin, seconds))
     aggs = [c for name, v in values.items() for c in (F.avg(v).alias(f"{name}_avg"), F.max(v).alias(f"{name}_max"))]
-    spine = rows.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-    return spine.join(at.groupBy("bucket").agg(F.count(F.lit(1)).alias("samples"), *aggs), "bucket", "left").fillna(0, ["samples"])
+    sums = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("samples"), *aggs)
+    return every_bucket(sums, "bucket", "bucket").join(sums, "bucket", "left").fillna(0, ["samples"])
 
 
-def overlap(jobs: DataFrame, start: Column, end: Column, origin: Column, seconds: int, buckets: int) -> DataFrame:
-    """(bucket, started, active) of every bucket. A job counts +1 where it begins and -1 after its end; running sums over
-    the buckets give the active ones, so a long job is two rows and not one for each bucket that it covers."""
+def overlap(jobs: DataFrame, start: Column, end: Column, origin: Column, seconds: int, buckets: int | None = None) -> DataFrame:
+    """(bucket, started, active) of every bucket from the first start to the last end, or of buckets 0 to buckets - 1. A job counts +1 where it begins and -1
+    after its end; running sums over the buckets give the active ones, so a long job is two rows and not one for each
+    bucket that it covers."""
     a, b = bucket_start(start, origin, seconds), bucket_start(F.coalesce(end, start), origin, seconds)
-    marked = jobs.select(a.alias("a"), b.alias("b")).filter((F.col("b") >= 0) & (F.col("a") < buckets) & (F.col("b") >= F.col("a")))
-    edges = marked.select(F.explode(F.array(F.struct(F.greatest("a", F.lit(0)).alias("bucket"), F.lit(1).alias("d"), (F.col("a") >= 0).cast("int").alias("s")), F.struct((F.col("b") + 1).alias("bucket"), F.lit(-1).alias("d"), F.lit(0).alias("s")))).alias("e"))
+    marked = jobs.select(a.alias("a"), b.alias("b")).filter(F.col("b") >= F.col("a"))
+    edges = marked.select(F.explode(F.array(F.struct(F.col("a").alias("bucket"), F.lit(1).alias("d"), F.lit(1).alias("s")), F.struct((F.col("b") + 1).alias("bucket"), F.lit(-1).alias("d"), F.lit(0).alias("s")))).alias("e"))
     sums = edges.groupBy("e.bucket").agg(F.sum("e.d").alias("d"), F.sum("e.s").alias("started"))
-    spine = jobs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(sums, "bucket", "left").fillna(0)
+    spine = every_bucket(marked, "a", "b")
+    if buckets is not None:
+        spine = spine.unionByName(jobs.sparkSession.range(buckets).withColumnRenamed("id", "bucket")).distinct()
+    spine = spine.join(sums, "bucket", "left").fillna(0)
     active = F.sum("d").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # a row a bucket
-    return spine.select("bucket", F.col("started").cast("long").alias("started"), active.cast("long").alias("active"))
+    out = spine.select("bucket", F.col("started").cast("long").alias("started"), active.cast("long").alias("active"))
+    return out if buckets is None else out.filter(F.col("bucket").between(0, buckets - 1))
 
 
 def active_users(events: DataFrame, now: Column, seconds: int) -> DataFrame:

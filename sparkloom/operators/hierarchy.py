@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def closure(edges: DataFrame, depth: int = 10) -> DataFrame:
     """(child, ancestor, steps): every ancestor over edges (child, parent) in at most depth steps, each once.
 
-    Paths that come back to a node that they hold end there, so cycles terminate. The walk is a recursive query: a step is
-    a join of the newest ancestors with the edges.
+    Each step joins the newest pairs with the edges and keeps those that are new, so cycles terminate; a step is written
+    before the next one starts.
     """
-    name = "_edges_" + str(id(edges))
-    edges.select("child", "parent").distinct().createOrReplaceTempView(name)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up(child, ancestor, steps, path) AS (
-          SELECT child, parent, 1, array(child, parent) FROM {name} WHERE child <> parent
-          UNION ALL
-          SELECT up.child, e.parent, up.steps + 1, concat(up.path, array(e.parent)) FROM up JOIN {name} e ON e.child = up.ancestor
-          WHERE up.steps < {int(depth)} AND NOT array_contains(up.path, e.parent))
-        SELECT child, ancestor, min(steps) AS steps FROM up GROUP BY child, ancestor""")
+    up = edges.filter("child is not null and parent is not null").select("child", "parent").distinct()
+    known = newest = written(up.filter("child <> parent").select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")), "closure")
+    for steps in range(2, depth + 1):
+        ahead = newest.select("child", F.col("ancestor").alias("_at")).join(up.select(F.col("child").alias("_at"), F.col("parent").alias("ancestor")), "_at")
+        fresh = ahead.filter("child <> ancestor").select("child", "ancestor").distinct().join(known, ["child", "ancestor"], "left_anti")
+        newest = written(fresh.withColumn("steps", F.lit(steps)), "closure")
+        if newest.isEmpty():
+            break
+        known = known.unionByName(newest)
+    return known
 
 
 def dn_ancestors(dn: Column) -> Column:
@@ -44,20 +47,25 @@ def effective_tools(users: DataFrame, groups: DataFrame, roles: DataFrame, grant
     held = subjects.join(roles, "subject").select("user_id", "role").distinct()
     flags = held.groupBy("user_id").agg(F.bool_or(F.col("role") == "auditor").alias("auditor"), F.bool_or(F.col("role") == "admin").alias("admin"))
     free = held.join(flags, "user_id").filter(~F.col("auditor"))
-    everything = free.filter("admin").select("user_id").distinct().crossJoin(F.broadcast(tools.select("tool")))  # admins x tools
-    return everything.unionByName(free.filter(~F.col("admin")).join(grants, "role").select("user_id", "tool")).distinct()
+    rest = free.filter(~F.col("admin") | (F.col("role") == "admin")).select("user_id", "role")
+    every = grants.filter("role <> 'admin'").select("role", "tool").unionByName(tools.select(F.lit("admin").alias("role"), "tool"))
+    return rest.join(every, "role").select("user_id", "tool").distinct()
 
 
-def tree_order(nodes: DataFrame, depth: int = 10) -> DataFrame:
+def tree_order(nodes: DataFrame) -> DataFrame:
     """(id, name, depth, path): nodes (id, parent, name) parents first, siblings by name; ascending path is the order.
 
-    A node whose parent is missing is a root; nodes of a cycle without a root do not appear.
+    A node whose parent is missing is a root; nodes of a cycle without a root do not appear. A level is a join with the
+    one above, written before the next; there is no bound on the depth.
     """
-    name = "_nodes_" + str(id(nodes))
-    nodes.select("id", "parent", "name").createOrReplaceTempView(name)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE down(id, name, depth, path) AS (
-          SELECT n.id, n.name, 0, array(struct(n.name AS name, n.id AS id)) FROM {name} n LEFT ANTI JOIN {name} p ON p.id = n.parent
-          UNION ALL
-          SELECT n.id, n.name, d.depth + 1, concat(d.path, array(struct(n.name AS name, n.id AS id))) FROM down d JOIN {name} n ON n.parent = d.id WHERE d.depth < {int(depth)})
-        SELECT id, name, depth, path FROM down""")
+    nodes = nodes.select("id", "parent", "name")
+    own = F.struct(F.col("name").alias("name"), F.col("id").alias("id"))
+    ids = nodes.select(F.col("id").alias("parent")).distinct()
+    level = written(nodes.join(ids, "parent", "left_anti").select("id", "name", F.lit(0).alias("depth"), F.array(own).alias("path")), "tree")
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        below = nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("_up")), "parent")
+        level = written(below.select("id", "name", F.lit(depth).alias("depth"), F.concat("_up", F.array(own)).alias("path")), "tree")
+        out = out.unionByName(level)
+    return out

@@ -206,7 +206,7 @@ def spans(docs: DataFrame, kinds: Sequence[Kind] | None = None, id_col: str = "d
     """
     kinds = list(kinds or KINDS)
     ids = docs.schema[id_col].dataType.simpleString()
-    patterns = [(k.name, k.need, re.compile(k.pattern, re.IGNORECASE if k.ignore_case else 0)) for k in kinds]
+    patterns = [(k.name, k.need, re.compile(k.pattern, re.ASCII | (re.IGNORECASE if k.ignore_case else 0))) for k in kinds]
     may = F.col(text_col).isNotNull()
     if all(k.jvm for k in kinds):
         may = F.lit(False)

@@ -77,7 +77,8 @@ def typing_errors(values: DataFrame, names: DataFrame, most: int = 3) -> DataFra
     pieces = F.explode(F.array(*(F.struct(cut(F.col("name"), i).alias("piece"), (F.lit(i) * F.floor(F.length("name") / n)).cast("int").alias("at"), F.length("name").alias("n")) for i in range(n))))
     left = names.select("name", pieces.alias("p")).select("name", "p.*").filter("length(piece) > 0").distinct()
     shapes = left.select(F.length("piece").alias("size"), "at", "n").distinct()
-    near = values.select("value", F.length("value").alias("_n")).distinct().join(shapes, F.abs(F.col("_n") - F.col("n")) <= most)
+    shapes = shapes.withColumn("_n", F.explode(F.sequence(F.col("n") - most, F.col("n") + most)))
+    near = values.select("value", F.length("value").alias("_n")).distinct().join(shapes, "_n")
     cand = near.select("value", "n", "at", F.explode(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.substring("value", F.greatest(F.col("at") + d, F.lit(0)) + 1, F.col("size")))).alias("piece")).distinct()
     pairs = cand.join(left, ["piece", "at", "n"]).select("value", "name").distinct()
     d = F.levenshtein("value", "name")
@@ -104,13 +105,16 @@ def keyed_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-def nearest_right(cells: DataFrame, gap: float = 300.0) -> DataFrame:
-    """(page, id, other): for each cell the nearest one to its right on about the same line, within a gap.
+def nearest_right(cells: DataFrame, gap: float = 300.0, line: float = 24.0) -> DataFrame:
+    """(page, id, other): for each cell (page, id, x, y, width, height) the nearest one that begins to its right within a gap.
 
-    Lines are bands of the cells' height, and a cell is compared with the next ones of its band, in order of x.
+    Two cells are on a line if their y differ by less than half the left one's height, which is at most 2 * line. Cells
+    meet by equality of page, band of y and column of x, and only with neighbours of these.
     """
-    band = F.floor(F.col("y") / F.col("height")).cast("long")
-    w = Window.partitionBy("page", "band").orderBy("x", "id")
-    rows = cells.withColumn("band", band)
-    near = rows.withColumn("other", F.lead("id").over(w)).withColumn("_x", F.lead("x").over(w))
-    return near.filter(F.col("other").isNotNull() & (F.col("_x") - F.col("x") - F.col("width") <= gap)).select("page", "id", "other")
+    band, column = F.floor(F.col("y") / line), F.floor(F.col("x") / gap)
+    right = cells.select("page", F.col("id").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), band.alias("_band"), column.alias("_column"))
+    end = F.col("x") + F.col("width")
+    left = cells.withColumn("_end", end).withColumn("_band", F.explode(F.sequence(band - 1, band + 1)))
+    left = left.withColumn("_column", F.explode(F.sequence(F.floor(F.col("_end") / gap), F.floor(F.col("_end") / gap) + 1)))
+    pairs = left.join(right, ["page", "_band", "_column"]).filter((F.col("_x") >= F.col("_end")) & (F.col("_x") - F.col("_end") <= gap) & (2 * F.abs(F.col("y") - F.col("_y")) < F.col("height")))
+    return pairs.groupBy("page", "id").agg(F.min(F.struct("_x", "other"))["other"].alias("other"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +10,24 @@ from pyspark.sql import functions as F
 def packed(rows: DataFrame, key: str, order: str, size: Column, most_items: int, most_size: int) -> DataFrame:
     """(key, order, batch): rows of a key in order, a new batch when one more would pass most_items or most_size.
 
-    Only two numbers a row are gathered for a key, and folded by a JVM expression.
+    A key's rows meet as two columns of numbers; one pass over them keeps the state.
     """
-    items = F.sort_array(F.collect_list(F.struct(F.col(order), size.cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("items"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        full = (s["items"] > 0) & ((s["held"] + x["n"] > most_size) | (s["items"] >= most_items))
-        batch = s["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(
-            F.when(full, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), F.when(full, 1).otherwise(s["items"] + 1).alias("items"), batch.alias("batch"), F.concat(s["out"], F.array(batch)).alias("out")
-        )
-
-    folded = rows.groupBy(key).agg(items.alias("_items")).withColumn("_batches", F.aggregate("_items", start, add)["out"])
-    both = folded.select(key, F.explode(F.arrays_zip("_items", "_batches")).alias("_z"))
-    return both.select(key, F.col(f"_z._items.{order}").alias(order), F.col("_z._batches").alias("batch"))
-
 
-def islands(rows: DataFrame, keys: list[str], order: str, starts: Column, name: str = "island") -> DataFrame:
-    """Rows with the number of the island that they belong to: each row for which starts holds opens a new one."""
-    from pyspark.sql import Window
+    def fold(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_o")
+        held = items = batch = 0
+        out = []
+        for n in part.column("_n").to_pylist():
+            if items and (held + n > most_size or items >= most_items):
+                held, items, batch = 0, 0, batch + 1
+            held, items = held + n, items + 1
+            out.append(batch)
+        return pa.table({"_k": part.column("_k"), "_o": part.column("_o"), "batch": pa.array(out, pa.int32())})
 
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    named = rows.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.coalesce(size, F.lit(0)).cast("long").alias("_n"))
+    out = named.groupBy("_k").applyInArrow(fold, f"_k {kinds[key]}, _o {kinds[order]}, batch int")
+    return out.select(F.col("_k").alias(key), F.col("_o").alias(order), "batch")
 
 
 def merge_markers(paragraphs: Column, marker: str = r"^\s*(?:[-*•·]|\d+[.)、]|[(（]?[一二三四五六七八九十]+[)）、.])\s*$") -> Column:
@@ -64,7 +60,7 @@ def page_ranges(spec: Column, pages: Column) -> Column:
     parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda p: p.rlike(r"^\d+$|^\d*-\d*$") & (p != "-"))
 
     def one(p: Column) -> Column:
-        low = F.coalesce(F.expr("try_cast(null as int)"), F.nullif(F.regexp_extract(p, r"^(\d*)", 1), F.lit("")).cast("int"), F.lit(1))
+        low = F.coalesce(F.nullif(F.regexp_extract(p, r"^(\d*)", 1), F.lit("")).cast("int"), F.lit(1))
         high = F.when(p.contains("-"), F.coalesce(F.nullif(F.regexp_extract(p, r"-(\d*)$", 1), F.lit("")).cast("int"), pages)).otherwise(low)
         a, b = F.greatest(low, F.lit(1)), F.least(high, pages)
         return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))

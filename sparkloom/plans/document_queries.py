@@ -292,3 +292,42 @@ def registry_tokens(spark: SparkSession, sf: str) -> DataFrame:
     words = F.array(F.lit("Supplier"), F.lpad((F.col("p_partkey") % 40).cast("string"), 9, "0"))
     asked = table(spark, sf, "part").select("p_partkey", F.array_join(words, " ").alias("query"))
     return token_search(asked, table(spark, sf, "supplier").select("s_suppkey", F.replace("s_name", F.lit("#"), F.lit(" ")).alias("name")), "p_partkey", "s_suppkey", "name")
+
+
+@_query(
+    "cells_right",
+    """WITH c AS (SELECT user_id AS page, event_id AS id, CAST(floor(value * 37) % 600 AS BIGINT) AS x, event_id * 7 % 200 AS y, 20 + event_id % 30 AS width, 8 + event_id % 20 AS height FROM events)
+    SELECT a.page, a.id, arg_min(b.id, (b.x, b.id)) AS other FROM c a JOIN c b ON a.page = b.page AND b.x >= a.x + a.width AND b.x - a.x - a.width <= 120 AND 2 * abs(a.y - b.y) < a.height GROUP BY a.page, a.id""",
+)
+def cells_right(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.reconcile import nearest_right
+
+    cells = table(spark, sf, "events").select(
+        F.col("user_id").alias("page"), F.col("event_id").alias("id"), (F.floor(F.col("value") * 37) % 600).alias("x"), (F.col("event_id") * 7 % 200).alias("y"), (F.col("event_id") % 30 + 20).alias("width"), (F.col("event_id") % 20 + 8).alias("height")
+    )
+    return nearest_right(cells, 120.0)
+
+
+@_query(
+    "receipts",
+    """SELECT o_orderkey, ['thsrc', 'tra', 'uber_trip', 'unknown'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_orderkey % 3 <> 0 THEN 'S' || o_custkey END AS origin, CAST(floor(o_totalprice) AS BIGINT) AS fare, strftime(o_orderdate + INTERVAL 30 YEAR, '%Y-%m-%d') AS day FROM orders""",
+)
+def receipts(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts written from the orders and read back: kind, station, fare and day."""
+    from ..functions import invoices as I
+
+    head = F.element_at(F.array(*map(F.lit, ["高鐵 車票", "臺鐵 車票", "Uber", "note"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    origin = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("S"), F.col("o_custkey").cast("string"), F.lit("車站"))).otherwise("")
+    day = F.add_months(F.col("o_orderdate").cast("date"), 360)
+    text = F.concat(head, F.lit("\n 起站： "), origin, F.lit("\n票價: NT$ "), F.format_number(F.floor("o_totalprice").cast("long"), 0), F.lit(" 元\n日期："), F.date_format(day, "yyyy/MM/dd"), F.lit("\n"))
+    rows = table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+    t = F.col("text")
+    place = F.nullif(L.station(I.labelled(t, "起站")), F.lit(""))
+    return rows.select("o_orderkey", I.receipt_kind(t).alias("kind"), place.alias("origin"), I.first_integer(I.labelled(t, "票價")).alias("fare"), F.array_join(F.transform(L.dates(t), lambda d: d.cast("string")), ",").alias("day"))
+
+
+@_query("relative_times", "SELECT event_id, CASE WHEN s < 60 THEN '剛剛' WHEN s < 3600 THEN s // 60 || ' 分鐘前' WHEN s < 86400 THEN s // 3600 || ' 小時前' WHEN s < 604800 THEN s // 86400 || ' 天前' ELSE strftime(ts, '%Y-%m-%d') END AS ago FROM (SELECT event_id, ts, epoch(TIMESTAMP '2024-01-30')::BIGINT - epoch_us(ts) // 1000000 AS s FROM events)")
+def relative_times(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions import invoices as I
+
+    return table(spark, sf, "events").select("event_id", I.relative_time(F.col("ts").cast("timestamp"), F.lit("2024-01-30").cast("timestamp")).alias("ago"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import events as E
@@ -165,10 +165,10 @@ def events_json_field(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).withColumn("k", k).filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@_query("events_by_user_30d", f"SELECT user_id, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS bytes FROM events WHERE ts >= {_TS} - INTERVAL 20 DAY AND ts < {_TS} AND CAST(json_extract_string(props, '$.k') AS BIGINT) > 0 GROUP BY user_id")
+@_query("events_by_user_30d", f"SELECT user_id, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS bytes FROM events WHERE ts >= {_TS} - INTERVAL 30 DAY AND ts < {_TS} AND CAST(json_extract_string(props, '$.k') AS BIGINT) > 0 GROUP BY user_id")
 def events_by_user_30d(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    recent = E.audit(events(spark, sf), since=_now() - F.expr("INTERVAL 20 DAYS"), until=_now()).withColumn("k", k).filter("k > 0")
+    recent = E.audit(events(spark, sf), since=_now() - F.expr("INTERVAL 30 DAYS"), until=_now()).withColumn("k", k).filter("k > 0")
     return recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("bytes"))
 
 
@@ -182,26 +182,26 @@ _B = "CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 21600000000
 
 @_query(
     "events_bucket_gauge",
-    f"""WITH b AS (SELECT {_B} AS bucket, value FROM events), s AS (SELECT unnest(range(0, 140)) AS bucket)
+    f"""WITH b AS (SELECT {_B} AS bucket, value FROM events), s AS (SELECT unnest(range(min(bucket), max(bucket) + 1)) AS bucket FROM b)
     SELECT CAST(s.bucket AS BIGINT) AS bucket, count(b.bucket) AS samples, round(avg(value), 6) AS v_avg, max(value) AS v_max FROM s LEFT JOIN b ON b.bucket = s.bucket GROUP BY s.bucket""",
 )
 def events_bucket_gauge(spark: SparkSession, sf: str) -> DataFrame:
-    """Six-hour buckets, the empty ones after the last event included."""
-    out = E.gauge(events(spark, sf), F.lit("2024-01-01").cast("timestamp"), 21600, 140, {"v": "value"})
+    """Six-hour buckets, empty ones included."""
+    out = E.gauge(events(spark, sf), F.lit("2024-01-01").cast("timestamp"), 21600, {"v": "value"})
     return out.withColumn("v_avg", F.round("v_avg", 6))
 
 
 @_query(
     "jobs_overlap_load",
     """WITH j AS (SELECT o_orderkey, epoch_us(o_orderdate) AS a, greatest(epoch_us(max(l_shipdate)), epoch_us(o_orderdate)) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate),
-    k AS (SELECT CAST(floor((a - epoch_us(TIMESTAMP '1995-01-01')) / 2592000000000.0) AS BIGINT) AS x, CAST(floor((b - epoch_us(TIMESTAMP '1995-01-01')) / 2592000000000.0) AS BIGINT) AS y FROM j), s AS (SELECT CAST(unnest(range(0, 90)) AS BIGINT) AS bucket)
+    k AS (SELECT CAST(floor((a - epoch_us(TIMESTAMP '1995-01-01')) / 2592000000000.0) AS BIGINT) AS x, CAST(floor((b - epoch_us(TIMESTAMP '1995-01-01')) / 2592000000000.0) AS BIGINT) AS y FROM j), s AS (SELECT CAST(unnest(range(min(x), max(y) + 1)) AS BIGINT) AS bucket FROM k)
     SELECT bucket, count(*) FILTER (WHERE x = bucket) AS started, count(x) AS active FROM s LEFT JOIN k ON x <= bucket AND y >= bucket GROUP BY bucket""",
 )
 def jobs_overlap_load(spark: SparkSession, sf: str) -> DataFrame:
     """Orders that are open between their date and their last shipment, by thirty days."""
     ships = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").cast("timestamp").alias("end"))
     jobs = table(spark, sf, "orders").join(ships, "o_orderkey").withColumn("start", F.col("o_orderdate").cast("timestamp"))
-    return E.overlap(jobs, F.col("start"), F.greatest("start", "end"), F.lit("1995-01-01").cast("timestamp"), 30 * 86400, 90)
+    return E.overlap(jobs, F.col("start"), F.greatest("start", "end"), F.lit("1995-01-01").cast("timestamp"), 30 * 86400)
 
 
 @_query(
@@ -296,8 +296,10 @@ def effective_tools(spark: SparkSession, sf: str) -> DataFrame:
     return H.effective_tools(users, H.memberships(members, edges(spark, sf)), roles, grants, tools)
 
 
-@_query("tree_order", "SELECT n_name AS name, 1 AS depth FROM nation UNION ALL SELECT r_name, 0 FROM region")
+@_query("tree_order", "SELECT name, depth, row_number() OVER (ORDER BY r, depth, name) AS place FROM (SELECT n_name AS name, 1 AS depth, r_name AS r FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 0, r_name FROM region)")
 def tree_order(spark: SparkSession, sf: str) -> DataFrame:
     region = table(spark, sf, "region").select(F.col("r_name").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
     nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("id"), F.col("r_name").alias("parent"), F.col("n_name").alias("name"))
-    return H.tree_order(region.unionByName(nation)).select("name", "depth")
+    rows = H.tree_order(region.unionByName(nation))
+    place = F.row_number().over(Window.orderBy("path"))  # thirty rows
+    return rows.select("name", "depth", place.cast("long").alias("place"))

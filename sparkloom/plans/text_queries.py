@@ -253,13 +253,20 @@ def csv_neutralise(spark: SparkSession, sf: str) -> DataFrame:
 @_query(
     "page_markup",
     r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS BIGINT) AS tags, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_chars,
-    regexp_matches(lower(substr(html, 1, 4000)), '^\s*(<!doctype html|<html)') AS is_page FROM pages""",
+    regexp_matches(lower(html), '^\s*(<!doctype html|<html)') AS is_page FROM pages""",
 )
 def page_markup(spark: SparkSession, sf: str) -> DataFrame:
     html = F.col("html")
-    return table(spark, sf, "pages").select("page_id", T.matches(html, "<[a-zA-Z][^>]*>").cast("long").alias("tags"), F.length(F.regexp_replace(html, "<[^>]*>", "")).cast("long").alias("text_chars"), F.lower(F.substring(html, 1, 4000)).rlike(r"^\s*(<!doctype html|<html)").alias("is_page"))
+    return table(spark, sf, "pages").select("page_id", T.matches(html, "<[a-zA-Z][^>]*>").cast("long").alias("tags"), F.length(F.regexp_replace(html, "<[^>]*>", "")).cast("long").alias("text_chars"), F.lower(html).rlike(r"^\s*(<!doctype html|<html)").alias("is_page"))
 
 
-@_query("error_pages")
+@_query(
+    "error_pages",
+    r"""WITH h AS (SELECT page_id, lower(left(regexp_replace(html, '^\s+', ''), 500)) AS t FROM pages)
+    SELECT page_id, CASE WHEN NOT (regexp_matches(t, '^(<html|<!doctype|<head)') OR contains(left(t, 200), '<title>')) THEN ''
+      WHEN regexp_extract(t, '(\b50[02-4]\b|\b40[0-9]\b)\s*(gateway|server error|timeout|unavailable|bad|forbidden|too many)', 1) <> '' THEN regexp_extract(t, '(\b50[02-4]\b|\b40[0-9]\b)\s*(gateway|server error|timeout|unavailable|bad|forbidden|too many)', 1)
+      WHEN regexp_matches(t, 'gateway time-out|bad gateway|service unavailable') THEN coalesce(nullif(regexp_extract(t, '\b(50[02-4])\b', 1), ''), '5xx')
+      WHEN contains(t, 'cloudflare') AND regexp_matches(t, 'error|timeout') THEN 'cf-error' ELSE 'html-body' END AS status FROM h""",
+)
 def error_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", T.error_page(F.col("html")).alias("is_error"))
+    return table(spark, sf, "pages").select("page_id", T.error_page(F.col("html")).alias("status"))

@@ -44,7 +44,8 @@ def pii_ip_count(spark: SparkSession, sf: str) -> DataFrame:
 @_query("pii_network_count", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}\b')) AS BIGINT) AS mac, CAST(len(regexp_extract_all(text, '\b[A-Z][12]\d{8}\b')) AS BIGINT) AS ids FROM documents")
 def pii_network_count(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.size(F.regexp_extract_all("text", F.lit(pii.BY_NAME["tw_id"].pattern), F.lit(0))).cast("long")
-    return pii.counts(table(spark, sf, "documents"), ["mac"]).join(table(spark, sf, "documents").select("doc_id", ids.alias("ids")), "doc_id")
+    macs = F.size(F.regexp_extract_all("text", F.lit(pii.BY_NAME["mac"].pattern), F.lit(0))).cast("long")
+    return table(spark, sf, "documents").select("doc_id", macs.alias("mac"), ids.alias("ids"))
 
 
 @_query(
@@ -166,7 +167,7 @@ def typing_errors(spark: SparkSession, sf: str) -> DataFrame:
     return X.typing_errors(part.select(F.concat("p_name", tail).alias("value")), part.select(F.col("p_name").alias("name")).distinct())
 
 
-_FINDINGS = """f AS (SELECT l_orderkey % 500 AS case_id, l_orderkey || '-' || l_linenumber AS key, CASE WHEN l_discount > 0.08 THEN 'fail' WHEN l_discount > 0.06 THEN 'warn' ELSE 'info' END AS severity FROM lineitem WHERE l_orderkey < 3000)"""
+_FINDINGS = """f AS (SELECT l_orderkey AS case_id, l_orderkey || '-' || l_linenumber AS key, CASE WHEN l_discount > 0.08 THEN 'fail' WHEN l_discount > 0.06 THEN 'warn' ELSE 'info' END AS severity FROM lineitem)"""
 
 
 def _severity() -> Column:
@@ -174,7 +175,7 @@ def _severity() -> Column:
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").filter("l_orderkey < 3000").select((F.col("l_orderkey") % 500).alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), _severity().alias("severity"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), _severity().alias("severity"))
 
 
 @_query("case_score", f"WITH {_FINDINGS} SELECT case_id, count(*) FILTER (WHERE severity = 'fail') AS fail, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, greatest(0, 100 - 10 * count(*) FILTER (WHERE severity = 'fail') - 3 * count(*) FILTER (WHERE severity = 'warn')) AS score FROM f GROUP BY case_id")
@@ -188,23 +189,9 @@ def override_apply(spark: SparkSession, sf: str) -> DataFrame:
     return X.overridden(_findings(spark, sf), overrides)
 
 
-# The two above are what their SQL says: orders below 3,000. These take all of lineitem, an order as a case.
-_ALL_FINDINGS = _FINDINGS.replace("l_orderkey % 500 AS case_id", "l_orderkey AS case_id").replace(" WHERE l_orderkey < 3000", "")
-
-
-def _all_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), _severity().alias("severity"))
-
-
-@_query("case_score_all", SQL["case_score"].replace(_FINDINGS, _ALL_FINDINGS))
-def case_score_all(spark: SparkSession, sf: str) -> DataFrame:
-    return X.scores(_all_findings(spark, sf), "case_id")
-
-
-@_query("override_apply_all", SQL["override_apply"].replace(_FINDINGS, _ALL_FINDINGS))
-def override_apply_all(spark: SparkSession, sf: str) -> DataFrame:
-    overrides = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"))
-    return X.overridden(_all_findings(spark, sf), overrides)
+# Other names of the two above.
+for _name in ("case_score", "override_apply"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
 
 
 @_query("diff_keyed", "WITH a AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 3 <> 0) SELECT k, a.v AS before, b.v AS after FROM a FULL JOIN b USING (k) WHERE a.v IS DISTINCT FROM b.v")

@@ -70,7 +70,7 @@ def test_display_and_escapes(spark):
     assert one(spark, T.padded(F.lit("電話a"), 7)) == "電話a  "
     assert [one(spark, T.neutral_cell(F.lit(x))) for x in ("=1", "-", "a-b", "12", "'=1")] == ["'=1", "'-", "a-b", "12", "'=1"]
     assert one(spark, T.markdown_cell(F.lit("a|b\nc"))) == "a\\|b c" and one(spark, T.xml_text(F.lit('<a&"'))) == "&lt;a&amp;&quot;"
-    assert one(spark, T.error_page(F.lit("<html><title>502 Bad Gateway</title>"))) and not one(spark, T.error_page(F.lit("<html>fine")))
+    assert [one(spark, T.error_page(F.lit(x))) for x in ("<html><title>502 Bad Gateway</title>", "<html>fine", "  <!doctype html>service unavailable", "fine", "<head>cloudflare error", None, "x <title>y")] == ["502", "html-body", "5xx", "", "cf-error", "", "html-body"]
     assert [one(spark, T.no_translation(F.lit(x))) for x in ("```py", "---", "https://a.b/c", "<br>", "|---|", "....", "word")] == [True] * 6 + [False]
 
 
