@@ -13,7 +13,10 @@ however the anchors are dealt out to tasks.
    with a stack into the tree of common-prefix intervals. An interval whose suffixes differ in the byte to the left is a
    maximal repeat, with all its occurrences.
 
-Repeats longer than a segment come as the overlapping repeats of consecutive anchors, whose union they are.
+What is removed needs no more than these segments: a repeat longer than one is the union of those of consecutive anchors.
+groups() lists the maximal repeats themselves. It goes by levels: at level L a suffix is seen 2 * L bytes far, with the byte
+to its left, so every maximal repeat of L to 2 * L - 1 bytes comes out whole under the anchor of its first L bytes; longer
+ones have an anchor at a higher level. Levels double until nothing reaches the end of what is seen.
 """
 
 from __future__ import annotations
@@ -102,9 +105,9 @@ def _prefix(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def segments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, at: np.ndarray, length: int, most: int = RUN) -> tuple[np.ndarray, ...]:
     """Segments of texts: text number, first start, number of starts, anchor place, anchor hash, content hash."""
-    k = length - RUN + 1
+    k = length - most + 1
     out: list[tuple] = []
     # a few megabytes at a time; pieces of one long text overlap by a window, so that no start is lost or met twice
     for lo, hi in common.text_chunks(at, 1 << 18):
@@ -119,14 +122,15 @@ def segments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
             total = _prefix(piece)
             _, down = common._power(len(piece) + 1)
             grams = common.mix((total[k:] - total[:-k]) * down[: len(piece) - k + 1])
-            # the leftmost minimum of RUN grams: the place is in the low bits
-            order = (grams & ~U64(0x3F_FFFF)) | np.arange(len(grams), dtype=U64)
+            # the leftmost minimum of so many grams: the place is in the low bits
+            places = U64((1 << max(22, len(grams).bit_length())) - 1)
+            order = (grams & ~places) | np.arange(len(grams), dtype=U64)
             low, have = order, 1
-            while have < RUN:
-                step = min(have, RUN - have)
+            while have < most:
+                step = min(have, most - have)
                 low = np.minimum(low[: len(low) - step], low[step:])
                 have += step
-            place = (low & U64(0x3F_FFFF)).astype(np.int64)[:starts]
+            place = (low & places).astype(np.int64)[:starts]
             lens = np.diff(at[lo : hi + 1]) if hi - lo > 1 else [len(piece)]
             owner = np.repeat(np.arange(lo, hi), lens)[: len(place)]
             s = np.flatnonzero(np.repeat(at[lo + 1 : hi + 1], lens)[: len(place)] - np.arange(first, first + len(place)) >= length)
@@ -292,11 +296,8 @@ def _codes(blobs: list[bytes] | None) -> np.ndarray:
     return np.frombuffer(b"".join(zstandard.decompress(x) for x in blobs or []), np.uint8)
 
 
-def _asked(table: DataFrame, length: int, n: int, whole: bool = False) -> DataFrame:
-    """(bucket, chunk, h, doc, at, starts, pos, bytes): what the anchors ask for. at: name * 32, or name * 32 + 1 + window.
-
-    whole: whole segments of all contents, however many an anchor has, and their content hashes as one more column.
-    """
+def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
+    """(bucket, chunk, h, doc, at, starts, pos, bytes): what the anchors ask for. at: name * 32, or name * 32 + 1 + window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,8 +306,8 @@ def _asked(table: DataFrame, length: int, n: int, whole: bool = False) -> DataFr
                 owner, start, runs, anchor, h, g = segments(data, at, length)
                 _, first, doc = named(ids, owner, h, g)
                 code = _codes(codes)
-                x = np.flatnonzero((code % SHARED == ASKED) | (whole & (code % SHARED == WINDOWS)))
-                w = np.flatnonzero((code % SHARED == WINDOWS) & (not whole))
+                x = np.flatnonzero(code % SHARED == ASKED)
+                w = np.flatnonzero(code % SHARED == WINDOWS)
                 # of equal windows, only the smallest document's is sent
                 which, step, key, _, sent, _ = windows(data, start, runs, h, first, doc, w, length)
                 which, step, key = which[sent], step[sent], key[sent]
@@ -323,7 +324,7 @@ def _asked(table: DataFrame, length: int, n: int, whole: bool = False) -> DataFr
                 bucket = _buckets(rows["h"][order], n)
                 cut = np.searchsorted(bucket, np.arange(n + 1))
                 full = np.flatnonzero(np.diff(cut))
-                cols: list[list[bytes]] = [[] for _ in range(6 + whole)]
+                cols: list[list[bytes]] = [[] for _ in range(6)]
                 for i in full:
                     o = order[cut[i] : cut[i + 1]]
                     for c, v in zip(cols, (rows["h"][o], rows["doc"][o], rows["at"][o], rows["starts"][o].astype(np.uint8), pos[o])):
@@ -331,11 +332,9 @@ def _asked(table: DataFrame, length: int, n: int, whole: bool = False) -> DataFr
                     sz = size[o]
                     flat = np.repeat(rows["from"][o] - (np.cumsum(sz) - sz), sz) + np.arange(int(sz.sum()))
                     cols[5].append(data[flat].tobytes())
-                    if whole:
-                        cols[6].append(g[first[all_name[o]]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "h", "doc", "at", "starts", "pos", "bytes", *["content"] * whole])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "h", "doc", "at", "starts", "pos", "bytes"])
 
-    return table.mapInArrow(run, "bucket int, chunk long, h binary, doc binary, at binary, starts binary, pos binary, bytes binary" + ", content binary" * whole)
+    return table.mapInArrow(run, "bucket int, chunk long, h binary, doc binary, at binary, starts binary, pos binary, bytes binary")
 
 
 class SuffixArray:
@@ -365,28 +364,121 @@ class SuffixArray:
         self.before = before[o]
 
     def repeats(self, least: int) -> Iterator[tuple[int, int, int]]:
-        """(first, last, bytes) of the maximal repeats: intervals of the common-prefix tree that differ to the left.
+        """(first, last, bytes) of the maximal repeats."""
+        return intervals(self.lcp, self.before, least)
 
-        A stack holds the open intervals (bytes, first); runs of common prefixes under least are not entered.
-        """
-        deep = np.flatnonzero(self.lcp >= least)
-        if not len(deep):
-            return
-        changes = np.concatenate(([0], np.cumsum(self.before[1:] != self.before[:-1])))
-        gaps = np.flatnonzero(np.diff(deep) > 1)
-        for lo, hi in zip(np.append(0, gaps + 1).tolist(), np.append(gaps + 1, len(deep)).tolist()):
-            base, end = int(deep[lo]), int(deep[hi - 1]) + 1
-            lcp = self.lcp[base:end].tolist()
-            change = changes[base : end + 1].tolist()
-            stack = [(lcp[0], 0)]
-            for i, x in enumerate([*lcp[1:], 0], 1):
-                first = i
-                while stack and stack[-1][0] > x:
-                    size, first = stack.pop()
-                    if change[first] != change[i]:
-                        yield base + first, base + i, size
-                if x and (not stack or stack[-1][0] < x):
-                    stack.append((x, first))
+
+def intervals(lcp: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(first, last, bytes) of the intervals of the common-prefix tree of sorted suffixes that differ to the left.
+
+    lcp: common prefixes of neighbours; before: the letter left of each suffix. A stack holds the open intervals (bytes,
+    first); runs of common prefixes under least are not entered.
+    """
+    deep = np.flatnonzero(lcp >= least)
+    if not len(deep):
+        return
+    changes = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+    gaps = np.flatnonzero(np.diff(deep) > 1)
+    for lo, hi in zip(np.append(0, gaps + 1).tolist(), np.append(gaps + 1, len(deep)).tolist()):
+        base, end = int(deep[lo]), int(deep[hi - 1]) + 1
+        depth = lcp[base:end].tolist()
+        change = changes[base : end + 1].tolist()
+        stack = [(depth[0], 0)]
+        for i, x in enumerate([*depth[1:], 0], 1):
+            first = i
+            while stack and stack[-1][0] > x:
+                size, first = stack.pop()
+                if change[first] != change[i]:
+                    yield base + first, base + i, size
+            if x and (not stack or stack[-1][0] < x):
+                stack.append((x, first))
+
+
+#: The letter left of a text's first byte; it differs from itself.
+EDGE = 256
+
+
+def _wide(table: DataFrame, length: int, level: int) -> DataFrame:
+    """(h, c, doc, start, off, n, before, seen): segments at a level whose first windows may repeat, and what follows them.
+
+    h names the anchor, which stands `off` bytes from the start, c the whole row of equal segments. seen has the n window
+    starts and 2 * level bytes from the last of them, or up to the end of the text; before is the byte left of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, *blobs, codes in _rows(b):
+                ids, at, data = open_chunk(*blobs)
+                owner, start, runs, _, h, g = segments(data, at, length)
+                name, _, _ = named(ids, owner, h, g)
+                if not len(name):
+                    continue
+                # windows of the first level that occur again
+                again = (_codes(codes)[name] != NOTHING) | (np.bincount(name)[name] > 1)
+                edge = np.zeros(len(data) + 1, np.int64)
+                np.add.at(edge, start[again], 1)
+                np.add.at(edge, (start + runs)[again], -1)
+                sums = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
+                size = level - length + 1
+                whole = np.zeros(len(data) + 1, np.int64)
+                whole[1 : max(1, len(data) - size + 2)] = np.cumsum(sums[size:] - sums[:-size] == size) if len(data) >= size else 0
+                whole[max(1, len(data) - size + 2) :] = whole[max(0, len(data) - size + 1)]
+                owner, start, runs, anchor, h, _ = segments(data, at, level, level // 2 + 6)
+                keep = np.flatnonzero(whole[start + runs] > whole[start])
+                cols: list[list] = [[] for _ in range(8)]
+                for i in keep.tolist():
+                    x, doc = int(start[i]), int(owner[i])
+                    end = min(x + int(runs[i]) - 1 + 2 * level, int(at[doc + 1]))
+                    seen = data[x:end].tobytes()
+                    before = int(data[x - 1]) if x > at[doc] else EDGE
+                    off, n = int(anchor[i]) - x, int(runs[i])
+                    c = hashlib.blake2b(b"%d %d %d " % (off, n, before) + seen, digest_size=16).digest()
+                    for col, v in zip(cols, (h[i].view(np.int64), c, int(ids[doc]), x - int(at[doc]), off, n, before, seen)):
+                        col.append(v)
+                    if len(cols[0]) >= 500:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, _WIDE)], _WIDE_NAMES)
+                        cols = [[] for _ in range(8)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, _WIDE)], _WIDE_NAMES)
+
+    return table.mapInArrow(run, "h long, c binary, doc long, start long, off int, n int, before int, seen binary")
+
+
+_WIDE = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+_WIDE_NAMES = ["h", "c", "doc", "start", "off", "n", "before", "seen"]
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes of the common prefix."""
+    n = min(len(a), len(b))
+    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
+    differ = x != y
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _of_anchor(rows: list[tuple], level: int) -> Iterator[tuple[int, int, list[tuple[bytes, int]]]]:
+    """(nth, bytes, [(c, step)]) of the maximal repeats under one anchor; bytes of 2 * level stand for that and more.
+
+    rows: (h, c, off, n, before, seen, copies). Suffixes can only share their first bytes at one distance from the anchor,
+    and only distances at which the letters to the left differ have a maximal repeat.
+    """
+    at: dict[int, list[tuple[int, int]]] = {}
+    for i, (_, _, off, n, before, seen, copies) in enumerate(rows):
+        for step in range(n):
+            at.setdefault(off - step, []).append((i, step))
+    nth = 0
+    for places in at.values():
+        letter = lambda i, step: rows[i][4] if not step else rows[i][5][step - 1]
+        letters = [letter(i, step) for i, step in places]
+        if len(set(letters)) == 1 and letters[0] != EDGE:
+            continue
+        suffixes = sorted((rows[i][5][step : step + 2 * level], i, step, x) for (i, step), x in zip(places, letters) for _ in range(min(2, rows[i][6])))
+        if len(suffixes) < 2:
+            continue
+        lcp = np.array([_shared(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:])])
+        before = np.array([EDGE + k if x[3] == EDGE else x[3] for k, x in enumerate(suffixes)])
+        for a, b, size in intervals(lcp, before, level):
+            yield nth, size, sorted({(rows[i][1], step) for _, i, step, _ in suffixes[a : b + 1]})
+            nth += 1
 
 
 def _arrays(rows: list[tuple], length: int) -> Iterator[tuple]:
@@ -469,32 +561,58 @@ class Repeats:
     def groups(self) -> DataFrame:
         """(anchor, nth, n_bytes, n_occurrences, doc_id, start): a row for each occurrence of each maximal repeat.
 
-        anchor, nth and n_bytes name the repeat, start is a byte of the document. Whole segments that occur again are
-        in copies(). All contents of an anchor are compared in one task, however many there are.
+        anchor, nth and n_bytes name the repeat, start is a byte of the document. A repeat has at least `length` bytes, two
+        occurrences or more (in one document or in several), and letters to the left, and to the right, that are not all
+        the same; the edges of a text differ from every letter. Equal surroundings of an anchor are compared once, different
+        ones in one task. Texts that repeat a short word very often have very many maximal repeats, and all are listed.
         """
-        length = self.length
+        chunked, level, out = _with(self.table, self.codes, "codes"), self.length, []
+        while True:
+            found, more = self._level(chunked, level)
+            out.append(found)
+            if not more:
+                break
+            level *= 2
+        rows = out[0]
+        for x in out[1:]:
+            rows = rows.unionByName(x)
+        named = ["anchor", "nth", "n_bytes"]
+        counts = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n_occurrences"))
+        return rows.join(counts, named).select(*named, "n_occurrences", "doc_id", "start")
+
+    def _level(self, chunked: DataFrame, level: int) -> tuple[DataFrame, bool]:
+        """(anchor, nth, n_bytes, doc_id, start) of the repeats of under 2 * level bytes, and whether there are longer ones."""
+        rows = common.materialise(_wide(chunked, self.length, level), "wide")
+        classes = rows.groupBy("h", "c").agg(*(F.first(x).alias(x) for x in ("off", "n", "before", "seen")), F.count(F.lit(1)).alias("copies"))
+        shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > 1).select("h")
+        dealt = classes.join(shared, "h", "left_semi").repartition("h").sortWithinPartitions("h")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in _by_bucket(batches):
-                content = np.concatenate([np.frombuffer(r[8], np.int64) for r in rows])
-                key = np.concatenate([i << 40 | np.frombuffer(r[4], np.int64) for i, r in enumerate(rows)])  # (row, name) of a segment
-                order = np.argsort(key)
-                for sa, source, _, at, h, _ in _arrays(rows, length):
-                    mine = content[order[np.searchsorted(key[order], source.astype(np.int64) << 40 | at)]]
-                    cols: list[list] = [[], [], [], [], []]
-                    for a, b, size in sa.repeats(length):
-                        o = sa.order[a : b + 1]
-                        seg = sa.segment[o]
-                        for c, v in zip(cols, (h[seg].view(np.int64), mine[seg], [a] * len(o), [size] * len(o), sa.step[o])):
-                            c.extend(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "content", "nth", "n_bytes", "step"])
-
-        asked = self.dealt(common.materialise(_asked(_with(self.table, self.codes, "codes"), length, self.n, whole=True), "whole"))
-        found = asked.mapInArrow(run, "anchor long, content long, nth long, n_bytes long, step long")
-        every = found.join(self._segments(lambda code, name: code[name] % SHARED != NOTHING).drop("n_bytes"), ["anchor", "content"])
-        rows = common.materialise(every.select("anchor", "nth", "n_bytes", "doc_id", (F.col("start") + F.col("step")).alias("start")), "groups")
-        named = ["anchor", "nth", "n_bytes"]
-        return rows.join(rows.groupBy(*named).agg(F.count(F.lit(1)).alias("n_occurrences")), named).select(*named, "n_occurrences", "doc_id", "start")
+            def listed(held: list[tuple]) -> pa.RecordBatch:
+                cols: list[list] = [[], [], [], [], []]
+                for nth, size, places in _of_anchor(held, level):
+                    if size >= 2 * level:
+                        nth, places = -1, places[:1]  # only says that there is more
+                    for c, step in places:
+                        for col, v in zip(cols, (held[0][0], c, nth, size, step)):
+                            col.append(v)
+                return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["h", "c", "nth", "n_bytes", "step"])
+
+            held: list[tuple] = []
+            for b in batches:
+                for row in _rows(b):
+                    if held and held[0][0] != row[0]:
+                        yield listed(held)
+                        held = []
+                    held.append(row)
+            if held:
+                yield listed(held)
+
+        found = common.materialise(dealt.select("h", "c", "off", "n", "before", "seen", "copies").mapInArrow(run, "h long, c binary, nth long, n_bytes long, step long"), "found")
+        places = found.filter("nth >= 0").join(rows.select("h", "c", "doc", "start"), ["h", "c"])
+        doc = F.when(F.col("doc") != int(_LAST), F.col("doc"))
+        out = places.select(F.col("h").alias("anchor"), "nth", "n_bytes", doc.alias("doc_id"), (F.col("start") + F.col("step")).alias("start"))
+        return out, not found.filter("nth < 0").isEmpty()
 
     def copies(self) -> DataFrame:
         """(anchor, content, n_bytes, doc_id, start): a row for each occurrence of a whole segment that occurs again.

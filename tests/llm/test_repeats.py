@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import queries, repeats
@@ -121,3 +122,41 @@ def test_groups_have_all_occurrences(spark, monkeypatch, split):
         assert len(w) == n and count == len(at) > 1
         seen[w] = count
     assert max(map(len, seen)) > 50 and max(seen.values()) > 100
+
+
+def maximal(texts, length):
+    """Maximal repeats by brute force: text -> places, for texts in which the substrings of every length are few."""
+    places = {}
+    for d, t in texts:
+        for i in range(len(t)):
+            for n in range(length, len(t) - i + 1):
+                places.setdefault(t[i : i + n], set()).add((d, i))
+    by_id = dict(texts)
+    out = {}
+    for w, at in places.items():
+        left = [by_id[d][i - 1] if i else (d, i) for d, i in at]
+        right = [by_id[d][i + len(w)] if i + len(w) < len(by_id[d]) else (d, i) for d, i in at]
+        if len(at) > 1 and len(set(left)) > 1 and len(set(right)) > 1:
+            out[w] = at
+    return out
+
+
+def test_groups_are_all_maximal_repeats(spark, monkeypatch):
+    """Repeats within and far over a segment, nested ones, whole copies and repeats inside a document."""
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    rng = np.random.default_rng(8)
+    some = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    long, short = some(400), some(70)
+    texts = [(1, some(30) + long + some(20)), (2, some(25) + long + some(31)), (3, long[100:260] + b"." + short), (4, short + b"-" + short + some(9)), (5, some(64)), (7, long[:130] + some(40) + long[90:180])]
+    texts += [(6, texts[4][1]), (8, b"x" + texts[4][1])]
+    got = {}
+    for r in repeats.Repeats(spark.createDataFrame([(d, t.decode()) for d, t in texts], "doc_id long, text string")).groups().collect():
+        got.setdefault((r["anchor"], r["nth"], r["n_bytes"]), []).append((r["doc_id"], r["start"], r["n_occurrences"]))
+    by_id = dict(texts)
+    found = {}
+    for (_, _, n), at in got.items():
+        w = by_id[at[0][0]][at[0][1] : at[0][1] + n]
+        assert w not in found and all(k == len(at) for _, _, k in at)
+        found[w] = {(d, i) for d, i, _ in at}
+    assert found == maximal(texts, 50)
+    assert max(map(len, found)) == 400
