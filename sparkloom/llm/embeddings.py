@@ -110,7 +110,7 @@ def units(vecs: list[bytes]) -> np.ndarray:
 
 
 def _coded(classes: DataFrame, shape: dict[int, tuple[int, int]]) -> DataFrame:
-    """(cid, n, vec, code, factor, marks, keys): marks has 32 bits of the key in each table."""
+    """(cid, n, vec, code, factor, marks, keys): marks has the keys as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, np.ndarray] = {}
@@ -131,7 +131,7 @@ def _coded(classes: DataFrame, shape: dict[int, tuple[int, int]]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([cid[i] for i in at], pa.int64()), pa.array([n[i] for i in at], pa.int64()), pa.array([vecs[i] for i in at], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary()),
-                        pa.array(factor, pa.float64()), pa.array([(x >> U64(32)).astype("<u4").tobytes() for x in key], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
+                        pa.array(factor, pa.float64()), pa.array([x.astype("<u8").tobytes() for x in key], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
                     ],
                     ["cid", "n", "vec", "code", "factor", "marks", "keys"],
                 )
@@ -145,7 +145,7 @@ def _compare(rows: list[tuple], cosine: float, table_of: np.ndarray) -> tuple[np
     unit, block = units(vecs), np.array([r[3] for r in rows])
     bits = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
     factor = np.array([r[7] for r in rows])
-    marks = np.frombuffer(b"".join(r[8] for r in rows), "<u4").reshape(len(rows), -1)
+    marks = np.frombuffer(b"".join(r[8] for r in rows), "<u8").reshape(len(rows), -1)
     cross = rows[0][1] != rows[0][2]
     left, right = (np.flatnonzero(block == rows[0][1]), np.flatnonzero(block == rows[0][2])) if cross else (np.arange(len(rows)),) * 2
     guess, error = estimates(bits[left], factor[left], turned(unit[right]))
