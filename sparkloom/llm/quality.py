@@ -215,39 +215,54 @@ def _lexicon(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in counts.filter(z >= SURE).orderBy(z.desc(), "word").limit(LEXICON).select("word").collect()], np.int64).view(np.uint64))
 
 
-def _collected(docs: DataFrame, ids: DataFrame, lexicon: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(ids, text view, metadata view) of the documents with a bounded list of ids, one text of each id."""
-    rows = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    rows = rows.select("doc_id", F.struct(*_read(rows)).alias("r")).groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*")
+def _vectors(rows: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """(doc_id, t, m): both views of each row, as half-size floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.parts(batches):
             views = ([x.tobytes() for x in v.astype(np.float16)] for v in _views(b, 1, lexicon))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.binary()) for v in views)], ["doc_id", "t", "m"])
 
-    got = rows.mapInArrow(run, "doc_id long, t binary, m binary").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # one row for each of the ids
+    return rows.mapInArrow(run, "doc_id long, t binary, m binary")
+
+
+def _halves(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch of _vectors."""
+    return tuple(np.frombuffer(b"".join(b.column(i).to_pylist()), np.float16).reshape(b.num_rows, -1).astype(np.float32) for i in (1, 2))
+
+
+def _collected(vectors: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(ids, text view, metadata view) of a bounded number of documents, whose ids are distinct."""
+    got = vectors.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # LABELLED, or what a round teaches
     text, meta = np.empty((len(got), TEXT), np.float32), np.empty((len(got), META), np.float32)
     for i, r in enumerate(got):
         text[i], meta[i] = np.frombuffer(r[1], np.float16), np.frombuffer(r[2], np.float16)
     return [r[0] for r in got], text, meta
 
 
-def _surest(docs: DataFrame, marks: DataFrame, models: list[Model], most: float, share: float, taught: list[set[int]], lexicon: np.ndarray) -> list[tuple[int, int, int]]:
+def _labelled(docs: DataFrame, ids: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """_vectors of the documents with a bounded list of ids, one text of each id."""
+    rows = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = rows.select("doc_id", F.struct(*_read(rows)).alias("r")).groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*")
+    return _vectors(rows, lexicon)
+
+
+def _surest(vectors: DataFrame, marks: DataFrame, models: list[Model], most: float, share: float, taught: list[set[int]]) -> list[tuple[int, int, int]]:
     """(view, doc_id, label): of all unlabelled documents those that each view is most certain of, `most` of a view.
 
     All of them are scored in tasks; four top-k reports of numbers come to the driver.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # two weight vectors
+    sent = vectors.sparkSession.sparkContext.broadcast(models)  # two weight vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.parts(batches):
-            odds = (m.odds(v) for m, v in zip(sent.value, _views(b, 1, lexicon)))
+            odds = (m.odds(v) for m, v in zip(sent.value, _halves(b)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in odds)], ["doc_id", "o0", "o1"])
 
-    scored = docs.filter("doc_id is not null").select("doc_id", *_read(docs)).mapInArrow(run, "doc_id long, o0 double, o1 double")
+    scored = vectors.mapInArrow(run, "doc_id long, o0 double, o1 double")
     free = common.materialise(scored.join(marks.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.min("o0").alias("o0"), F.min("o1").alias("o1")), "odds")
     sure, out = math.log(CERTAIN / (1 - CERTAIN)), []
-    spark = docs.sparkSession
+    spark = vectors.sparkSession
     for view in (0, 1):
         known = spark.createDataFrame([(x,) for x in taught[1 - view]], "doc_id long")
         new = free.join(F.broadcast(known), "doc_id", "left_anti")  # ROUNDS x TEACH x LABELLED ids at most
@@ -271,23 +286,27 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     # words are chosen by labels that neither calibrate nor set the threshold
     fifth = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5))
     lexicon = _lexicon(docs, sample.filter(fifth > 1))
-    ids, text, meta = _collected(docs, sample, lexicon)
+    ids, text, meta = _collected(_labelled(docs, sample, lexicon))
     rest = {r[0]: r[1] for r in sample.select("doc_id", fifth).collect()}
     label, views = np.array([label_of[i] for i in ids], np.int64), (text, meta)
     parts = [np.flatnonzero(np.isin([rest[i] for i in ids], x)) for x in ([2, 3, 4], [0], [1])]  # train, calibrate, set the threshold
     if any(len(np.unique(label[x])) < 2 for x in parts[:2]):
         return None
     own = parts[0]
+    # texts are read once for all rounds
+    vectors = common.materialise(_vectors(docs.filter("doc_id is not null").select("doc_id", *_read(docs)), lexicon), "views")
     models = [fit(v[own], label[own]) for v in views]
     taught: list[set[int]] = [set(), set()]
     more: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
     for _ in range(ROUNDS):
         for v, m in zip(views, models):  # a view's certainty is that of its calibrated odds
             m.slope, m.offset = _line(m.odds(v[parts[1]])[:, None], label[parts[1]])
-        new = _surest(docs, marks, models, TEACH * len(own), float(label[own].mean()), taught, lexicon)
+        new = _surest(vectors, marks, models, TEACH * len(own), float(label[own].mean()), taught)
         if not new:
             break
-        got, t, m = _collected(docs, docs.sparkSession.createDataFrame([(d,) for d in {d for _, d, _ in new}], "doc_id long"), lexicon)
+        told = docs.sparkSession.createDataFrame([(d,) for d in {d for _, d, _ in new}], "doc_id long")
+        one = vectors.join(F.broadcast(told), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("t", "m")).alias("v"))
+        got, t, m = _collected(one.select("doc_id", "v.*"))
         place = {d: i for i, d in enumerate(got)}
         for view in (0, 1):
             lesson = [(place[d], y) for v, d, y in new if v == view]
@@ -297,6 +316,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
         for i in (0, 1):
             x, y = np.concatenate([views[i][own], *(a for a, _ in more[i])]), np.concatenate([label[own], *(b for _, b in more[i])])
             models[i] = fit(x, y, models[i].weights, 100)
+    common.drop_scratch(vectors)
     return calibrated(models, views, label, *parts[1:], lexicon)
 
 
