@@ -35,6 +35,8 @@ ERRORS = 6.0
 MISS = 1e-5
 #: Vectors of a block of a bucket.
 BLOCK = 1024
+#: Buckets of so many vectors at most are compared side by side, about TOGETHER vectors and PAIRS pairs at a time.
+SMALL, TOGETHER, PAIRS = 64, 4096, 1 << 14
 U64 = np.uint64
 
 
@@ -175,6 +177,47 @@ def _compare(rows: list[tuple], cosine: float, table_of: np.ndarray) -> tuple[np
     return links, root, np.flatnonzero(adjacent.any(axis=1))
 
 
+def _compare_small(rows: list[tuple], cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _compare, for many small whole buckets of one length of vectors side by side."""
+    vecs, n, table = [r[5] for r in rows], np.array([r[4] for r in rows], np.int64), np.array([r[10] for r in rows])
+    key = np.array([r[0] for r in rows], np.int64)
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+    end = ends[np.searchsorted(ends, np.arange(len(rows)))]  # last row of each row's bucket
+    unit = units(vecs)
+    other = turned(unit).astype(np.float32)
+    d = other.shape[1]
+    signs = np.unpackbits(np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1), axis=1, count=d).astype(np.float32) * 2 - 1
+    factor = np.array([r[7] for r in rows])
+    error = np.sqrt(np.maximum(0, 1 - factor**2) / (factor**2 * max(1, d - 1)))
+    marks = np.frombuffer(b"".join(r[8] for r in rows), "<u8").reshape(len(rows), -1)
+    after = end - np.arange(len(rows))
+    at = np.concatenate(([0], np.cumsum(after)))
+    links, some_a, some_b = np.zeros(len(rows), np.int64), [], []
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PAIRS, side="right")) - 1)
+        a = np.repeat(np.arange(lo, hi), after[lo:hi])
+        b = a + 1 + np.arange(at[lo], at[hi]) - at[a]
+        lo = hi
+        guess = np.einsum("ij,ij->i", signs[a], other[b]) / (math.sqrt(d) * factor[a])
+        close = guess + ERRORS * error[a] >= cosine
+        a, b = a[close], b[close]
+        linked = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+        a, b = a[linked], b[linked]
+        first = (marks[a] == marks[b]).argmax(axis=1) == table[a]
+        np.add.at(links, a[first], n[b[first]])
+        np.add.at(links, b[first], n[a[first]])
+        some_a.append(a)
+        some_b.append(b)
+    a, b = np.concatenate(some_a), np.concatenate(some_b)
+    root, last = np.arange(len(rows)), None
+    while last is None or (root != last).any():  # the smallest row reachable, SMALL steps at most
+        last = root.copy()
+        np.minimum.at(root, a, last[b])
+        np.minimum.at(root, b, last[a])
+    return links, root, np.unique(np.concatenate((a, b)))
+
+
 def _buckets(coded: DataFrame, cosine: float) -> DataFrame:
     """(cid, links, root): link counts of each bucket's vectors, and an edge to its component's first vector there."""
     exploded = coded.select(F.posexplode("keys").alias("t", "key"), "cid")
@@ -182,26 +225,36 @@ def _buckets(coded: DataFrame, cosine: float) -> DataFrame:
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     members = exploded.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("cid", "key", "t", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    rows = members.join(coded.drop("keys"), "cid").select("key", "x", "y", "block", "n", "vec", "code", "factor", "marks", "cid", "t")
+    members = members.select("cid", "key", "t", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "blocks")
+    rows = members.join(coded.drop("keys"), "cid").select("key", "x", "y", "block", "n", "vec", "code", "factor", "marks", "cid", "t", "blocks")
     dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        waiting: dict[int, list[tuple]] = {}
+
+        def told(rows: list[tuple], links: np.ndarray, root: np.ndarray, some: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][9] for i in some], pa.int64()), pa.array(links[some], pa.int64()), pa.array([rows[root[i]][9] for i in some], pa.int64())], ["cid", "links", "root"])
 
-        def done() -> pa.RecordBatch:
-            links, root, some = _compare(held, cosine, held[0][10])
-            return pa.RecordBatch.from_arrays([pa.array([held[i][9] for i in some], pa.int64()), pa.array(links[some], pa.int64()), pa.array([held[root[i]][9] for i in some], pa.int64())], ["cid", "links", "root"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) > SMALL or (held and held[0][11] > 1):
+                yield told(held, *_compare(held, cosine, held[0][10]))
+            elif len(held) > 1:
+                small = waiting.setdefault(len(held[0][5]), [])
+                small += held
+                if len(small) >= TOGETHER:
+                    yield told(small, *_compare_small(small, cosine))
+                    small.clear()
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if held and held[0][:3] != row[:3]:
-                    if len(held) > 1:
-                        yield done()
+                    yield from done()
                     held = []
                 held.append(row)
-        if len(held) > 1:
-            yield done()
+        yield from done()
+        for small in filter(None, waiting.values()):
+            yield told(small, *_compare_small(small, cosine))
 
     return dealt.mapInArrow(run, "cid long, links long, root long")
 
