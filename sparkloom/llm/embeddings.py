@@ -37,6 +37,8 @@ MISS = 1e-5
 BLOCK = 1024
 #: Buckets of so many vectors at most are compared side by side, about TOGETHER vectors and PAIRS pairs at a time.
 SMALL, TOGETHER, PAIRS = 64, 4096, 1 << 14
+#: Bytes of the rotated vectors that a task holds at a time (a single wider one is alone).
+TURNED_BYTES = 16 << 20
 U64 = np.uint64
 
 
@@ -119,8 +121,11 @@ def _coded(classes: DataFrame, shape: dict[int, tuple[int, int]]) -> DataFrame:
         for b in batches:
             cid, n, vecs = (b.column(i).to_pylist() for i in range(3))
             dims = np.array([len(v) // 8 for v in vecs])
+            runs = []
             for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
+                at, step = np.flatnonzero(dims == dim), max(1, TURNED_BYTES // (8 * dim * math.prod(shape[dim])))
+                runs += [(dim, at[lo : lo + step]) for lo in range(0, len(at), step)]
+            for dim, at in runs:
                 hashes, tables = shape[dim]
                 if dim not in turn:
                     turn[dim] = rotations(dim, hashes * tables, 1)
