@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, embeddings, minhash, mixing, quality, repeats, sharding, sketch, tokenfile, urls
+from . import bpe, centroids, common, embeddings, minhash, mixing, quality, repeats, sharding, sketch, tokenfile, urls
 
 VOCAB = "word_bpe_49k.json"
 #: Parts of a period for the named sources; sources that are not named share the rest.
@@ -70,10 +70,32 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op7_quality, op8_mixing, op9_sharding, op10_minhash)
+    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op7_quality, op8_mixing, op9_sharding, op10_minhash, op13_centroids)
 }
 
+
+def _lloyd_sql() -> str:
+    """The rounds written out one after the other."""
+    best = lambda i: f"a{i} AS MATERIALIZED (SELECT v.r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.r, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i} c) v GROUP BY v.r)"
+    move = lambda i: f"""c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT c, list(x ORDER BY p) AS v FROM (
+      SELECT c, p, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT a.c, unnest(v.v) AS x, unnest(range(1, {centroids.DIM} + 1)) AS p FROM v JOIN a{i} a ON a.r = v.r) GROUP BY c, p)) GROUP BY c) m ON m.c = c.c)"""
+    steps = [x for i in range(centroids.ROUNDS) for x in (best(i), move(i))] + [best(centroids.ROUNDS)]
+    return f"""
+WITH e AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {centroids.DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIM}),
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM e),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM v ORDER BY sha256('3:' || vec_id) LIMIT {centroids.CLUSTERS}),
+{", ".join(steps)},
+t AS (SELECT c, sum(d) AS cluster_inertia FROM a{centroids.ROUNDS} GROUP BY c)
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM a{centroids.ROUNDS}) AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN v ON v.r = a.r JOIN t ON t.c = a.c JOIN c{centroids.ROUNDS} c ON c.c = a.c
+"""
+
+
 _RULES = ", ".join(f"('{verdict}', '{rule}', '{rule.split('/')[0]}', '{rule[rule.index('/'):]}')" for verdict, rule in URL_RULES)
 _NAMES = [k for k, w in SOURCE_WEIGHTS.items() if w > 0]
 _WEIGHTS = [SOURCE_WEIGHTS[k] for k in _NAMES]
@@ -135,4 +157,5 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, ways.
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """,
+    "op13_centroids": _lloyd_sql(),
 }
