@@ -71,6 +71,19 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with over 1 / HOT of a table's rows is a hot one; there are fewer than HOT of them.
+HOT = 10_000
+
+
+def meet(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a table that has each key once: the hot keys of rows meet their rows by broadcast (fewer than HOT rows of named), all others by shuffle."""
+    total = rows.count()
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialise(sizes.filter(F.col("_n") * HOT > total).select(key), "hot")
+    large = rows.join(F.broadcast(named.join(F.broadcast(hot), key, "left_semi")), key)
+    return large.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(named, key))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; any other column is left out."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

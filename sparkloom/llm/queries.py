@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, common, embeddings, minhash, mixing, quality, repeats, sharding, sketch, tokenfile, urls
+from . import bpe, centroids, common, embeddings, minhash, mixing, neighbours, quality, repeats, sharding, sketch, tokenfile, urls
 
 VOCAB = "word_bpe_49k.json"
 #: Parts of a period for the named sources; sources that are not named share the rest.
@@ -70,12 +70,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op7_quality, op8_mixing, op9_sharding, op10_minhash, op13_centroids)
+    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op7_quality, op8_mixing, op9_sharding, op10_minhash, op12_neighbours, op13_centroids)
 }
 
 
