@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, common, embeddings, minhash, mixing, neighbours, quality, repeats, sharding, sketch, tokenfile, urls
+from . import bpe, centroids, common, embeddings, minhash, mixing, neighbours, quality, repeats, sharding, sketch, tokenfile, trie, urls
 
 VOCAB = "word_bpe_49k.json"
 #: Parts of a period for the named sources; sources that are not named share the rest.
@@ -70,6 +70,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +83,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op7_quality, op8_mixing, op9_sharding, op10_minhash, op12_neighbours, op13_centroids)
+    f.__name__: f for f in (op1_suffix_array, op2_url_rules, op3_embedding_links, op4_token_files, op5_sketches, op6_bpe, op7_quality, op8_mixing, op9_sharding, op10_minhash, op11_trie, op12_neighbours, op13_centroids)
 }
 
 
@@ -160,6 +164,20 @@ ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, ways.y FROM reach JOIN ways ON ways.x = reach.y)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op11_trie": f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, struct_pack(role := coalesce(role, ''), body := coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(x ORDER BY p) AS xs, CAST(c AS VARCHAR) AS name FROM t GROUP BY c),
+h AS (SELECT c, xs, xor(4294967295, list_reduce(list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT)),
+      lambda acc, b: list_reduce(range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)), xor(acc, b)), CAST(4294967295 AS BIGINT))) % {trie.SHARED} AS h FROM own),
+r AS MATERIALIZED (SELECT h.c, coalesce(b.xs[1:h], []) || h.xs[h + 1:] AS path FROM h LEFT JOIN own b ON b.c = h.c - h.c % {trie.GROUP}),
+nodes AS MATERIALIZED (SELECT path[1:d] AS node, d AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN len(path) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM r) GROUP BY 1, 2),
+kids AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+facts AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node[depth].body) ELSE 0 END AS saved FROM nodes n LEFT JOIN kids USING (node)),
+above AS (SELECT node[1:d] AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT node, n_children, saved, unnest(range(0, depth + 1)) AS d FROM facts) GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM facts f JOIN above USING (node) LEFT JOIN nodes p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.node = f.node[1:f.depth - 1]
 """,
     "op13_centroids": _lloyd_sql(),
 }
