@@ -10,7 +10,8 @@
 4. How many keys a query probes is measured: the true neighbours of SAMPLE queries, found by a pass over all classes, must
    be met in TARGET of all cases. Every class is in the tables; only the number of probes rests on the sample.
 5. Buckets and their queries meet in one task, a block of them at most; queries stand first, classes stream by. Only the k + 1
-   best of each query leave it. Scores are products of the original vectors in double precision, added up in one order.
+   best of each query leave it. The nearest FIRST of a query's probes go before the others, which then send only what is as good
+   as the k + 1 found so far. Scores are products of the original vectors in double precision, added up in one order.
 6. Queries that met too few classes are searched against all of them, in blocks.
 """
 
@@ -35,6 +36,8 @@ TABLES = 4
 BUCKET = 4096
 #: Queries whose true neighbours tell how many keys are probed, and the part of these that the probes must meet.
 SAMPLE, TARGET = 256, 0.96
+#: Part of a query's probes that go first.
+FIRST = 1 / 8
 #: Classes and queries of a bucket that meet in one task (a larger bucket has at most PARTS blocks of classes).
 ROWS, QUERIES, PARTS = 4096, 1024, 64
 #: Scores that one pass computes at a time, and those that a task keeps before it takes the best.
@@ -110,13 +113,14 @@ def _costs(unit: np.ndarray, dim: int, table: int, hashes: int) -> np.ndarray:
 
 
 def probes_of(unit: np.ndarray, dim: int, hashes: int, probes: int) -> np.ndarray:
-    """(n, TABLES * probes): the nearest keys of each query in each table."""
+    """(n, probes * TABLES): the nearest keys of each query in each table, nearer ones first."""
     n_keys, out = (2 * width(dim)) ** hashes, []
     for table in range(TABLES):
         cost = _costs(unit, dim, table, hashes)
         near = np.argpartition(cost, probes - 1, axis=1)[:, :probes] if probes < n_keys else np.broadcast_to(np.arange(n_keys), cost.shape)
+        near = np.take_along_axis(near, np.take_along_axis(cost, near, 1).argsort(axis=1, kind="stable"), 1)
         out.append(near + table * n_keys)
-    return np.concatenate(out, axis=1)
+    return np.stack(out, axis=2).reshape(len(unit), -1)
 
 
 def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -198,11 +202,11 @@ _FOUND_TYPE = "query binary, key binary, score double, low long, ids binary"
 def _scan(rows: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query, key, score, low, ids): the n best classes of each query in each cell (rows and queries of equal c), repeats between cells included.
 
-    rows: (c, key, vec, low, ids), queries: (c, key, vec); all vectors of a cell have one length. A cell's queries stand first
-    and are held, its classes stream by.
+    rows: (c, key, vec, low, ids), queries: (c, key, vec, floor); all vectors of a cell have one length. A cell's queries stand
+    first and are held, its classes stream by. A class under a query's floor is left out (null: none is).
     """
-    left = queries.select("c", F.lit(0).alias("side"), "key", "vec", F.lit(0).cast("long").alias("low"), F.lit(None).cast("binary").alias("ids"))
-    dealt = left.unionByName(rows.select("c", F.lit(1).alias("side"), "key", "vec", "low", "ids")).repartition("c").sortWithinPartitions("c", "side")
+    left = queries.select("c", F.lit(0).alias("side"), "key", "vec", F.lit(0).cast("long").alias("low"), F.lit(None).cast("binary").alias("ids"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    dealt = left.unionByName(rows.select("c", F.lit(1).alias("side"), "key", "vec", "low", "ids", F.lit(0.0).alias("floor"))).repartition("c").sortWithinPartitions("c", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, cell, held, queries = _Best(n), None, [], None
@@ -215,11 +219,10 @@ def _scan(rows: DataFrame, queries: DataFrame, n: int) -> DataFrame:
                         cell, held, queries = cells[lo], [], None
                     part = b.slice(lo, hi - lo)
                     if side[lo] == 0:
-                        held.append((_names(part.column(2)), _matrix(part.column(3))))
+                        held.append((_names(part.column(2)), _matrix(part.column(3)), part.column(6).to_numpy()))
                     elif held:
                         if queries is None:
-                            q = tuple(np.concatenate(x) for x in zip(*held))
-                            queries = (*q, np.full(len(q[0]), -np.inf))
+                            queries = tuple(np.concatenate(x) for x in zip(*held))
                         best.add(queries, _names(part.column(2)), part.column(4).to_numpy(), np.array(part.column(5).to_pylist(), object), _matrix(part.column(3)))
                         if best.size > POOL:
                             yield best.taken()
@@ -292,9 +295,10 @@ def _keyed(classes: DataFrame, shape: dict[int, tuple[int, float, int]], asks: b
                         part = b.take(pa.array(at[lo : lo + some]))
                         unit = on_sphere(_matrix(part.column(1)), None if asks else largest)
                         keys = probes_of(unit, dim, hashes, probes) if asks else keys_of(unit, dim, hashes)
-                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([dim] * part.num_rows, pa.int32()), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["key", "vec", "low", "ids", "dim", "keys"])
+                        first = math.ceil(probes * FIRST) * TABLES
+                        yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x] * part.num_rows, pa.int32()) for x in (dim, first)), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["key", "vec", "low", "ids", "dim", "first", "keys"])
 
-    return source.select("key", "vec", "low", "ids").mapInArrow(run, "key binary, vec binary, low long, ids binary, dim int, keys array<long>")
+    return source.select("key", "vec", "low", "ids").mapInArrow(run, "key binary, vec binary, low long, ids binary, dim int, first int, keys array<long>")
 
 
 def _cells(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -336,6 +340,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     whole = ids.groupBy("key").agg(F.first("vec").alias("vec"), F.first("norm").alias("norm"), F.max("asks").alias("asks"))
     classes = common.materialise(whole.join(members.select("key", F.col("l")[0].alias("low"), packed.alias("ids")), "key"), "classes")
 
+    none = F.lit(None).cast("double")
     shape: dict[int, tuple[int, float, int]] = {}
     size = (F.length("vec") / 8).cast("int")
     for r in classes.groupBy(size.alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("largest"), F.max("asks").alias("asks")).collect():  # a row for each length of vectors
@@ -343,9 +348,12 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
         if count > n and r["asks"]:
             hashes = 1 if count <= BUCKET * 2 * width(dim) else 2
             shape[dim] = hashes, largest, fit(classes.filter(F.length("vec") == 8 * dim), dim, hashes, largest, n)
-    keyed = _keyed(classes, shape, False).select("dim", F.explode("keys").alias("bucket"), "key", "vec", "low", "ids")
-    probing = _keyed(classes, shape, True).select("dim", F.explode("keys").alias("bucket"), "key", "vec")
-    found = common.materialise(_top(_scan(*_cells(keyed, probing), n), n), "found")
+    keyed = common.materialise(_keyed(classes, shape, False), "keyed").select("dim", F.explode("keys").alias("bucket"), "key", "vec", "low", "ids")
+    probing = common.materialise(_keyed(classes, shape, True), "probing").select("dim", "key", "vec", "first", F.posexplode("keys").alias("pos", "bucket"))
+    before = common.materialise(_top(_scan(*_cells(keyed, probing.filter("pos < first").withColumn("floor", none)), n), n), "before")
+    floors = before.filter(F.col("nth") == n).select(F.col("query").alias("key"), F.col("score").alias("floor"))
+    later = _scan(*_cells(keyed, probing.filter("pos >= first").join(floors, "key", "left")), n)
+    found = common.materialise(_top(before.drop("nth").unionByName(later), n), "found")
 
     # queries that met too few classes, of lengths without tables too
     counts = classes.groupBy(size.alias("dim")).agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("enough"))
@@ -354,7 +362,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     wanting = common.materialise(wanting.filter(F.coalesce("met", F.lit(0)) < F.col("enough")).select("dim", F.lit(-1).cast("long").alias("bucket"), "key", "vec"), "wanting")
     if not wanting.isEmpty():
         all_rows = classes.select(size.alias("dim"), F.lit(-1).cast("long").alias("bucket"), "key", "vec", "low", "ids")
-        more = _top(_scan(*_cells(all_rows.join(F.broadcast(wanting.select("dim").distinct()), "dim"), wanting), n), n)
+        more = _top(_scan(*_cells(all_rows.join(F.broadcast(wanting.select("dim").distinct()), "dim"), wanting.withColumn("floor", none)), n), n)
         found = found.join(wanting.select(F.col("key").alias("query")), "query", "left_anti").unionByName(more)
 
     each = F.transform(F.sequence(F.lit(0), F.expr("length(ids) DIV 8 - 1").cast("int")), lambda i: F.conv(F.hex(F.substring("ids", 1 + 8 * i, 8)), 16, -10).cast("long"))
