@@ -5,8 +5,9 @@ anchors at equal places. A text is cut into segments: an anchor's run of at most
 windows. Strings that repeat can only meet under one anchor, so a suffix array for each anchor finds every repeat,
 however the anchors are dealt out to tasks.
 
-1. Chunks of documents name their segments by (anchor hash, content hash); a chunk names a segment once, for its
-   smallest document. These names are dealt out by anchor: a hot passage sends one name a chunk, not one a document.
+1. Chunks of documents name their segments by (anchor hash, digest of the content); a chunk names a segment once, for its
+   smallest document, and settles by their bytes which of its segments are equal. These names are dealt out by anchor: a
+   hot passage sends one name a chunk, not one a document.
 2. Anchors that have several segments ask for the bytes of one segment of each content (the class representative, of
    the smallest doc_id); its other members are copies of it. Anchors with very many contents are split by window.
 3. Each task sorts the suffixes of its segments into an enhanced suffix array (order and common prefixes) and scans it
@@ -44,8 +45,10 @@ SPLIT = 4096
 #: Suffixes that one suffix array sorts together; anchors are not divided.
 SLICE = 100_000
 _LAST = np.int64((1 << 63) - 1)
-#: Bytes of a hash in a name: anchors may fall together, as suffix arrays tell them apart; contents are told apart by both.
+#: Bytes of an anchor's hash in a name: anchors may fall together, as suffix arrays tell them apart.
 NAME = 6
+#: Bytes of the blake2b digest by which chunks tell contents; inside a chunk they are compared byte by byte.
+DIGEST = 12
 U64 = np.uint64
 
 
@@ -106,7 +109,7 @@ def _prefix(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, at: np.ndarray, length: int, most: int = RUN) -> tuple[np.ndarray, ...]:
-    """Segments of texts: text number, first start, number of starts, anchor place, anchor hash, content hash."""
+    """Segments of texts: text number, first start, number of starts, anchor place, anchor hash, content hash (no proof of equality)."""
     k = length - most + 1
     out: list[tuple] = []
     # a few megabytes at a time; pieces of one long text overlap by a window, so that no start is lost or met twice
@@ -150,8 +153,40 @@ def segments(data: np.ndarray, at: np.ndarray, length: int, most: int = RUN) ->
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def named(ids: np.ndarray, owner: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of equal (h, g) as one name: the name of each segment, the first segment and the smallest id of each name.
+_EIGHT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def apart(data: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the different contents of its group each range of bytes has: 0 for all of a group whose bytes are equal.
+
+    of: number of the group (equal hashes), from 0 on.
+    """
+    sub = np.zeros(len(of), np.int64)
+    if not len(of):
+        return sub
+    first = np.zeros(int(of.max()) + 1, np.int64)
+    first[of[::-1]] = np.arange(len(of))[::-1]
+    x = np.flatnonzero(first[of] != np.arange(len(of)))
+    y = first[of[x]]
+    differ = size[x] != size[y]
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    for lo in range(0, int(size[x].max(initial=0)), 8):
+        more = np.flatnonzero(~differ & (size[x] > lo))
+        i, j = x[more], y[more]
+        differ[more] = ((wide[start[i] + lo].view("<u8").ravel() ^ wide[start[j] + lo].view("<u8").ravel()) & _EIGHT[np.minimum(size[i] - lo, 8)]) != 0
+    if differ.any():  # hashes that fell together
+        seen: dict[tuple[int, bytes], int] = {}
+        count: dict[int, int] = {}
+        for i in np.flatnonzero(np.isin(of, of[x[differ]])).tolist():
+            key = int(of[i]), data[start[i] : start[i] + size[i]].tobytes()
+            if key not in seen:
+                seen[key] = count[key[0]] = count.get(key[0], -1) + 1
+            sub[i] = seen[key]
+    return sub
+
+
+def named(ids: np.ndarray, data: np.ndarray, owner: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of equal anchors and bytes as one name: the name of each segment, the first segment and the smallest id of each name.
 
     Names ascend with the upper half of h: every pass over a chunk numbers them alike.
     """
@@ -159,10 +194,20 @@ def named(ids: np.ndarray, owner: np.ndarray, h: np.ndarray, g: np.ndarray) -> t
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     upper = U64(0xFFFFFFFF_00000000)
     order = np.argsort((h & upper) | (common.mix(g + h) >> U64(32)), kind="stable")
-    hs, gs, doc = h[order], g[order], ids[owner[order]]
-    new = np.ones(len(order), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])
-    of = np.cumsum(new) - 1
+
+    def starts(order: np.ndarray, *by: np.ndarray) -> np.ndarray:
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in by])
+        return new
+
+    new = starts(order, h, g)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    sub = apart(data, start, size, of)
+    if sub.any():
+        order = np.lexsort((sub, of))
+        new = starts(order, of, sub)
+    of, doc = np.cumsum(new) - 1, ids[owner[order]]
     least = np.minimum.reduceat(doc, np.flatnonzero(new))
     name = np.empty(len(order), np.int64)
     name[order] = of
@@ -171,8 +216,15 @@ def named(ids: np.ndarray, owner: np.ndarray, h: np.ndarray, g: np.ndarray) -> t
     return name, order[at], least
 
 
+def digests(data: np.ndarray, start: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """(n, DIGEST) bytes: blake2b of ranges of bytes and of how many of them stand before the anchor."""
+    view = memoryview(np.ascontiguousarray(data))
+    out = [hashlib.blake2b(view[a:b], digest_size=DIGEST, salt=b"%d" % c).digest() for a, b, c in zip(start.tolist(), (start + size).tolist(), before.tolist())]
+    return np.frombuffer(b"".join(out), np.uint8).reshape(-1, DIGEST)
+
+
 def windows(data: np.ndarray, start: np.ndarray, runs: np.ndarray, h: np.ndarray, first: np.ndarray, doc: np.ndarray, w: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The windows of the names w: name, step, key (of the whole window), number of the distinct window, and for each
+    """The windows of the names w: name, step, key (a hash of the whole window), number of the distinct window, and for each
     distinct window its representative (a place in these arrays) and its smallest id."""
     many = runs[first[w]]
     which = np.repeat(w, many)
@@ -183,9 +235,11 @@ def windows(data: np.ndarray, start: np.ndarray, runs: np.ndarray, h: np.ndarray
     total, down = _prefix(data), common._power(len(data) + 1)[1]
     s = start[first[which]] + step
     key = common.mix(h[first[which]] ^ (total[s + length] - total[s]) * down[s])
-    order = np.lexsort((doc[which], key))
+    _, of = np.unique(key, return_inverse=True)
+    sub = apart(data, s, np.full(len(s), length), of)
+    order = np.lexsort((doc[which], sub, of))
     new = np.ones(len(order), bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
+    new[1:] = (of[order[1:]] != of[order[:-1]]) | (sub[order[1:]] != sub[order[:-1]])
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     return which, step, key, number, order[new], doc[which[order[new]]]
@@ -219,8 +273,10 @@ def _names(table: DataFrame, length: int, n: int) -> DataFrame:
         for b in batches:
             for chunk, *blobs in _rows(b):
                 ids, at, data = open_chunk(*blobs)
-                owner, _, _, _, h, g = segments(data, at, length)
-                _, first, doc = named(ids, owner, h, g)
+                owner, start, runs, anchor, h, g = segments(data, at, length)
+                size = runs + length - 1
+                _, first, doc = named(ids, data, owner, start, size, h, g)
+                content = digests(data, start[first], size[first], (anchor - start)[first])
                 cut = np.searchsorted(_buckets(h[first], n), np.arange(n + 1))  # names ascend with h, and so do buckets
                 full = np.flatnonzero(np.diff(cut))
                 press = zstandard.ZstdCompressor(1)
@@ -228,7 +284,7 @@ def _names(table: DataFrame, length: int, n: int) -> DataFrame:
                 for i in full:
                     x = slice(cut[i], cut[i + 1])
                     cols[0].append(_short(h[first[x]]))
-                    cols[1].append(_short(g[first[x]]))
+                    cols[1].append(content[x].tobytes())
                     cols[2].append(press.compress(np.diff(doc[x], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "chunk", "h", "g", "docs"])
 
@@ -260,16 +316,18 @@ def _judge(names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1)
         for rows in _by_bucket(batches):
-            h, g = (_long(b"".join(r[i] for r in rows)) for i in (2, 3))
+            h = _long(b"".join(r[2] for r in rows))
+            whole = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, DIGEST)
+            g, rest = (whole[:, x].copy().view(t).ravel() for x, t in ((slice(8), "<u8"), (slice(8, DIGEST), "<u4")))
             docs = [np.cumsum(np.frombuffer(zstandard.decompress(r[4]), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()) for r in rows]
             sizes = [len(d) for d in docs]
             doc = np.concatenate(docs)
-            order = np.lexsort((doc, g, h))
-            hs, gs, ds = h[order], g[order], doc[order]
+            order = np.lexsort((doc, rest, g, h))
+            hs, gs, ts, ds = h[order], g[order], rest[order], doc[order]
             new_h = np.ones(len(order), bool)
             new_h[1:] = hs[1:] != hs[:-1]
             new = new_h.copy()
-            new[1:] |= gs[1:] != gs[:-1]
+            new[1:] |= (gs[1:] != gs[:-1]) | (ts[1:] != ts[:-1])
             of = np.cumsum(new) - 1
             least = ds[new][of]
             group = np.cumsum(new_h) - 1
@@ -304,7 +362,7 @@ def _asked(table: DataFrame, length: int, n: int) -> DataFrame:
             for chunk, *blobs, codes in _rows(b):
                 ids, at, data = open_chunk(*blobs)
                 owner, start, runs, anchor, h, g = segments(data, at, length)
-                _, first, doc = named(ids, owner, h, g)
+                _, first, doc = named(ids, data, owner, start, runs + length - 1, h, g)
                 code = _codes(codes)
                 x = np.flatnonzero(code % SHARED == ASKED)
                 w = np.flatnonzero(code % SHARED == WINDOWS)
@@ -410,7 +468,7 @@ def _wide(table: DataFrame, length: int, level: int) -> DataFrame:
             for _, *blobs, codes in _rows(b):
                 ids, at, data = open_chunk(*blobs)
                 owner, start, runs, _, h, g = segments(data, at, length)
-                name, _, _ = named(ids, owner, h, g)
+                name, _, _ = named(ids, data, owner, start, runs + length - 1, h, g)
                 if not len(name):
                     continue
                 # windows of the first level that occur again
@@ -630,13 +688,14 @@ class Repeats:
             for b in batches:
                 for _, *blobs, codes in _rows(b):
                     ids, at, data = open_chunk(*blobs)
-                    owner, start, runs, _, h, g = segments(data, at, length)
-                    name, first, _ = named(ids, owner, h, g)
+                    owner, start, runs, anchor, h, g = segments(data, at, length)
+                    name, first, _ = named(ids, data, owner, start, runs + length - 1, h, g)
                     if not len(name):
                         continue
                     again = np.flatnonzero(which(_codes(codes), name))
                     doc = ids[owner[again]]
-                    cols = (h[again].view(np.int64), g[again].view(np.int64), runs[again] + length - 1, doc, start[again] - at[owner[again]])
+                    content = digests(data, start[again], runs[again] + length - 1, (anchor - start)[again])[:, :8].copy().view("<i8").ravel()
+                    cols = (h[again].view(np.int64), content, runs[again] + length - 1, doc, start[again] - at[owner[again]])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=(doc == _LAST) if i == 3 else None) for i, c in enumerate(cols)], ["anchor", "content", "n_bytes", "doc_id", "start"])
 
         return _with(self.table, self.codes, "codes").mapInArrow(run, "anchor long, content long, n_bytes long, doc_id long, start long")
@@ -671,7 +730,7 @@ class Repeats:
 def covered(ids: np.ndarray, at: np.ndarray, data: np.ndarray, code: np.ndarray, names: list[bytes] | None, bits: list[bytes] | None, length: int) -> np.ndarray:
     """Bytes that go."""
     owner, start, runs, _, h, g = segments(data, at, length)
-    name, first, least = named(ids, owner, h, g)
+    name, first, least = named(ids, data, owner, start, runs + length - 1, h, g)
     if not len(name):
         return np.zeros(len(data), bool)
     # copies of a segment that a smaller document has, in another chunk or in this one

@@ -49,6 +49,31 @@ def test_kept_against_brute_force(spark, monkeypatch, split):
             assert got == brute(rows, length)
 
 
+#: Different strings whose polynomial sums of the segment hash are equal.
+FALL_TOGETHER = ("LRLRWWIKNQVKQ", "SMTNHIVTRNJUO")
+
+
+def test_contents_whose_hashes_fall_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    ends = [(word(60), word(60)) for _ in range(40)]
+    rows = [(2 * i + k, a + FALL_TOGETHER[k] + b) for i, (a, b) in enumerate(ends) for k in (0, 1)]
+    rows += [(100 + 2 * i + k, a + FALL_TOGETHER[1 - k] + b) for i, (a, b) in enumerate(ends[:20]) for k in (0, 1)]
+    want = brute(rows, 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk, split in ((2 << 20, 4096), (150, 4096), (2 << 20, 1), (150, 1)):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        monkeypatch.setattr(repeats, "SPLIT", split)
+        assert Counter(tuple(r)[:5] for r in repeats.without_repeats(docs, 50).collect()) == want
+
+
+def test_apart_compares_bytes():
+    data = np.frombuffer(b"abcdefghijabcdefghijabcdefghiXabc", np.uint8)
+    start, size = np.array([0, 10, 20, 0, 30]), np.array([10, 10, 10, 3, 3])
+    assert repeats.apart(data, start, size, np.array([0, 0, 0, 1, 1])).tolist() == [0, 0, 1, 0, 0]
+    assert repeats.apart(data, start, size, np.zeros(5, np.int64)).tolist() == [0, 0, 1, 2, 2]
+
+
 def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert Counter(tuple(r) for r in queries.op1_suffix_array(spark, SF).collect()) == brute(rows, 50)
