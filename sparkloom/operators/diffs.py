@@ -1,39 +1,23 @@
-"""Line differences of pairs of texts. Sequence alignment is no relational operation: each pair is one call of difflib."""
+"""Line differences of pairs of texts."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_COLUMNS = "op string, a_line int, b_line int, a string, b string, ratio double"
-
-
-def lines_of(text: str | None) -> list[str]:
-    return [x.rstrip() for x in (text or "").splitlines()]
+from .alignment import compared_lines
 
 
 def line_diff(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, op, a_line, b_line, a, b, ratio): equal, delete, insert or change of each line, changes pair line by line.
 
-    Null texts have no lines; line numbers start from 0 and are null on the side that has none.
+    Null texts have no lines; line numbers start from 0 and are null on the side that has none. ratio is twice the matched
+    characters by all of both lines. Rows of equal key and texts count once; a null key is a key.
     """
-    kind = pairs.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, x, y in f.itertuples(index=False):
-                left, right = lines_of(x), lines_of(y)
-                for op, a0, a1, b0, b1 in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-                    for i in range(max(a1 - a0, b1 - b0)):
-                        p, q = (a0 + i if a0 + i < a1 else None), (b0 + i if b0 + i < b1 else None)
-                        name = "equal" if op == "equal" else "delete" if q is None else "insert" if p is None else "change"
-                        s, t = (None if p is None else left[p]), (None if q is None else right[q])
-                        rows.append((k, name, p, q, s, t, 1.0 if name == "equal" else difflib.SequenceMatcher(None, s, t, autojunk=False).ratio() if name == "change" else 0.0))
-            out = pd.DataFrame(rows, columns=[key, "op", "a_line", "b_line", "a", "b", "ratio"])
-            yield out.astype({"a_line": "Int32", "b_line": "Int32"})
-
-    return pairs.select(key, a, b).mapInPandas(run, f"`{key}` {kind}, {_COLUMNS}")
+    name = F.sha2(F.to_json(F.struct(F.col(key), F.col("_a"), F.col("_b"))), 256)
+    given = pairs.select(F.col(key), F.col(a).alias("_a"), F.col(b).alias("_b")).withColumn("_k", name).dropDuplicates(["_k"])
+    found = compared_lines(given, "_k", "_a", "_b")
+    matched = 2.0 * F.col("matched") / (F.length("a") + F.length("b"))
+    ratio = F.when(F.col("tag") == "equal", 1.0).when(F.col("tag") == "change", F.when(F.length("a") + F.length("b") == 0, 1.0).otherwise(matched)).otherwise(0.0)
+    out = found.withColumn("ratio", ratio).join(given.select("_k", key), "_k")
+    return out.select(key, F.col("tag").alias("op"), F.col("a_line").cast("int").alias("a_line"), F.col("b_line").cast("int").alias("b_line"), "a", "b", "ratio")
