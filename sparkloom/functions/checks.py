@@ -119,11 +119,11 @@ def mask_ip(s: Column) -> Column:
 
 def mask_digits(s: Column, head: int, tail: int) -> Column:
     """Stars for the digits between the first and the last ones; other characters stay where they are."""
-    n = F.size(F.regexp_extract_all(s, F.lit(r"\d"), F.lit(0)))
+    n = F.size(F.regexp_extract_all(s, F.lit(r"\p{Nd}"), F.lit(0)))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
 
     def step(a: Column, c: Column) -> Column:
-        number = c.rlike(r"\d")
+        number = c.rlike(r"\p{Nd}")
         hide = number & (a["i"] >= head) & (a["i"] < n - tail)
         return F.struct(F.concat(a["out"], F.when(hide, "*").otherwise(c)).alias("out"), (a["i"] + number.cast("int")).alias("i"))
 
@@ -131,7 +131,7 @@ def mask_digits(s: Column, head: int, tail: int) -> Column:
 
 
 def mask_card(s: Column) -> Column:
-    return F.when(F.size(F.regexp_extract_all(s, F.lit(r"\d"), F.lit(0))) < 8, keep_edges(s, 2, 2)).otherwise(mask_digits(s, 4, 4))
+    return F.when(F.size(F.regexp_extract_all(s, F.lit(r"\p{Nd}"), F.lit(0))) < 8, keep_edges(s, 2, 2)).otherwise(mask_digits(s, 4, 4))
 
 
 def mask_name(s: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import alignment
+from ..operators import alignment, pii
+from ..operators import cells as C
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -48,3 +49,43 @@ def page_pairing(spark: SparkSession, sf: str) -> DataFrame:
 @_query("document_compare")
 def document_compare(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.document_totals(*versions(spark, sf), "doc_id")
+
+
+# cells of a form: a label and its value side by side, or one under the other, in columns and rows that customers share
+_LABELS = ["Date of Birth:", "Account No:", "Contact Person:", "Passport No.", "Remarks"]
+_CELL_SQL = """c AS (SELECT c_custkey % 3000 AS page, c_custkey * 10 + k AS id, CAST((c_custkey // 3000 % 4) * 150 + CASE WHEN c_custkey % 2 = 0 THEN k % 2 * 90 ELSE 0 END + c_custkey % 7 AS DOUBLE) AS x0,
+  CAST((c_custkey // 12000) * 60 + k // 2 * 40 + CASE WHEN c_custkey % 2 = 1 THEN k % 2 * 14 ELSE 0 END + c_custkey % 3 AS DOUBLE) AS y0, 40.0 + c_custkey % 40 AS w, 9.0 + c_custkey % 5 AS h FROM customer, unnest(range(6)) AS t(k))"""
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as three pairs of cells each, many customers to a page."""
+    key, k = F.col("c_custkey"), F.col("k")
+    rows = table(spark, sf, "customer").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    x0 = F.floor(key / 3000) % 4 * 150 + F.when(key % 2 == 0, k % 2 * 90).otherwise(0) + key % 7
+    y0 = F.floor(key / 12000) * 60 + F.floor(k / 2) * 40 + F.when(key % 2 == 1, k % 2 * 14).otherwise(0) + key % 3
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), ((key + F.floor(k / 2)) % 5 + 1).cast("int"))
+    kind = (key + F.floor(k / 2)) % 5
+    value = (
+        F.when(kind == 0, F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (key % 9000).cast("int")), "yyyy-MM-dd")).when(kind == 1, F.concat(F.lit("12-"), F.lpad(key.cast("string"), 8, "0")))
+        .when(kind == 2, F.concat(F.lit("Ann Customer"), F.translate((key % 1000).cast("string"), "0123456789", "abcdefghij"))).when(kind == 3, F.concat(F.lit("AB"), F.lpad(key.cast("string"), 7, "0"))).otherwise(F.lit("銀行帳號"))
+    )
+    text = F.when(k % 2 == 0, label).otherwise(value)
+    x0, y0 = x0.cast("double"), y0.cast("double")
+    return rows.select((key % 3000).alias("page"), (key * 10 + k).alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 40 + key % 40).alias("x1"), (y0 + 9 + key % 5).alias("y1"), text.alias("text"))
+
+
+@_query(
+    "cell_neighbours",
+    f"""WITH {_CELL_SQL}, b AS (SELECT page, id, x0, y0, x0 + w AS x1, y0 + h AS y1, w, h FROM c)
+    SELECT a.page, a.id, 'right' AS side, arg_min(o.id, (o.x0 - a.x1, o.id)) AS other FROM b a JOIN b o ON o.page = a.page AND o.id <> a.id
+    WHERE least(a.y1, o.y1) - greatest(a.y0, o.y0) > 0.5 * least(a.h, o.h) AND o.x0 >= a.x1 - 2 AND o.x0 - a.x1 <= 300 GROUP BY a.page, a.id
+    UNION ALL SELECT a.page, a.id, 'below', arg_min(o.id, (o.y0 - a.y1, o.id)) FROM b a JOIN b o ON o.page = a.page AND o.id <> a.id
+    WHERE least(a.x1, o.x1) - greatest(a.x0, o.x0) > 0.3 * least(a.w, o.w) AND o.y0 - a.y1 BETWEEN 0 AND 1.6 * a.h GROUP BY a.page, a.id""",
+)
+def cell_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return C.neighbours(cells(spark, sf))
+
+
+@_query("cell_findings")
+def cell_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return C.findings(cells(spark, sf), pii.defaults() + pii.chosen(["person_name"]))
