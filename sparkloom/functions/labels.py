@@ -7,18 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+from .unicode import folded, nfkc
+
 #: Numerals of one digit.
 NUMERALS = "一二三四五六七八九"
 
 
+# Fixed value: marks that are a hyphen to a reader.
+_DASHES = r"[\-－–—−‐‑‒―﹣]"
+
+
 def label(s: Column) -> Column:
-    """A form label's bare text: full-width forms narrowed, no white space, marks, numbering, trailing colon or bracket; lower case."""
-    out = F.regexp_replace(F.translate(s, _WIDE, _PLAIN), r"(?U)[\s*]+", "")
-    out = F.regexp_replace(out, r"^(?:\(?[0-9]{1,2}[.)、]|[(（]?[一二三四五六七八九十]+[)）、.])", "")
-    out = F.regexp_replace(F.regexp_replace(out, r":+$", ""), r"\([^()]*\)$", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(out, r":+$", ""), r"[-‐-―_]", ""))
+    """A form label's bare text: in NFKC form and one script, without white space, stars or numbering in front, colon or a bracket of ten characters behind, hyphens; lower case.
+
+    A bracket that is all of the label stays.
+    """
+    out = F.regexp_replace(F.regexp_replace(nfkc(s), r"(?U)\s+", ""), r"^[*＊]+", "")
+    out = F.regexp_replace(out, r"^(?:[(（]?[0-9]+[)）]?[.、．。)]|[(（]?[一二三四五六七八九十]+[)）、.])", "")
+    out = F.regexp_replace(out, r"[:：]+$", "")
+    bare = F.regexp_replace(out, r"[(（][^(（)）]{1,10}[)）]$", "")
+    out = F.regexp_replace(F.when(bare != "", bare).otherwise(out), _DASHES, "")
+    return folded(F.translate(out, "／", "/"))
 
 
 def chinese_number(n: Column) -> Column:
@@ -83,10 +92,18 @@ def batch_reply(reply: Column, count: Column) -> Column:
     return F.when(same, F.transform(wanted, lambda i: F.element_at(F.filter(found, lambda x: x["n"] == i), -1)["text"]))
 
 
+def _is_json(s: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: parsing stops after a value, so it must also be one inside of a list and of an object."""
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))), "$", "array<variant>")
+    return F.coalesce((F.size(alone) == 1) & F.try_parse_json(F.concat(F.lit('{"k":'), s, F.lit("}"))).isNotNull(), F.lit(False))
+
+
 def json_object(s: Column) -> Column:
-    """The first {...} of a free text if it is JSON, else null."""
-    found = F.regexp_extract(s, r"(?s)(\{.*\})", 1)
-    return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
+    """The JSON of a free text: what is fenced if something is, as a whole, else from its first to its last brace; null if that is no JSON."""
+    fenced = F.regexp_extract(s, r"```(?:json)?\s*([\s\S]+?)\s*```", 1)
+    text = F.regexp_replace(F.when(fenced != "", fenced).otherwise(s), r"(?U)^\s+|\s+$", "")
+    braces = F.regexp_extract(text, r"(\{[\s\S]+\})", 1)
+    return F.when((text != "") & _is_json(text), text).when((braces != "") & _is_json(braces), braces)
 
 
 def page_numbers(spec: Column) -> Column:

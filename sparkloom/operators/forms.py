@@ -117,9 +117,9 @@ def same_as(rows: DataFrame, synonyms: DataFrame) -> DataFrame:
     a field for which DITTO has another. It is followed one step: a field whose value is a reference itself, that is blank, missing or
     the same field gives nothing, and then the value stays as it is. A record has a key once (of repeated ones the smallest value counts). Null values stay.
     """
-    index = synonyms.select(F.col("key").alias("_target"), L.label(nfkc(F.col("label"))).alias("_label")).filter("_label <> ''").groupBy("_label").agg(F.min("_target").alias("_target"))
+    index = synonyms.select(F.col("key").alias("_target"), L.label(F.col("label")).alias("_label")).filter("_label <> ''").groupBy("_label").agg(F.min("_target").alias("_target"))
     given = rows.withColumn("_c", _clean(F.col("value"))).withColumn("_n", _named(F.col("_c")))
-    given = given.withColumn("_label", L.label(nfkc(F.col("_n")))).join(index, "_label", "left")
+    given = given.withColumn("_label", L.label(F.col("_n"))).join(index, "_label", "left")
     refers = (F.col("_c") != "") & (F.length("_c") <= 20) & (F.col("_c").isin(*BARE) | F.col("_target").isNotNull())
     ditto = F.create_map(*(F.lit(x) for kv in DITTO.items() for x in kv))
     bare = F.col("_c").isin(*BARE)

@@ -168,9 +168,12 @@ def batch_replies(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(L.batch_reply(reply, F.lit(2)), "|").alias("texts"))
 
 
-@_query("json_salvage", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN props END AS found FROM events")
+@_query("json_salvage", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN props END AS found FROM events")
 def json_salvage(spark: SparkSession, sf: str) -> DataFrame:
-    reply = F.concat(F.lit("Here it is: "), F.when(F.col("event_id") % 3 != 0, F.col("props")).otherwise(F.concat(F.lit("{"), "props")), F.lit(" - done"))
+    """Replies that are fenced, plain, in running text, broken, or end in another brace."""
+    props, kind = F.col("props"), F.col("event_id") % 5
+    reply = F.when(kind == 0, F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n```\nor use {x}"))).when(kind == 1, F.concat(F.lit(" \n"), props, F.lit("\n"))).when(kind == 2, F.concat(F.lit("Here it is: "), props, F.lit(" - done")))
+    reply = reply.when(kind == 3, F.concat(F.lit("{"), props)).otherwise(F.concat(props, F.lit(" or use {x}")))
     return table(spark, sf, "events").select("event_id", L.json_object(reply).alias("found"))
 
 

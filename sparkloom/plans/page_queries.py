@@ -164,3 +164,47 @@ def same_as_fields(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").select(key.alias("record"), F.explode(F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))).alias("key", "value"))
     labels = spark.createDataFrame([("address", "登記地址"), ("address", "公司地址："), ("company_name", "公司名稱(全名)")], "key string, label string")
     return O.same_as(rows, labels)
+
+
+# lines of lists, an order's key as the number of each; every eleventh line is a fence
+_LINES = """o AS (SELECT o_custkey AS doc, o_orderkey AS n, o_orderkey % 220 + 1 AS v, o_orderkey % 11 = 0 AS fence FROM orders),
+m AS (SELECT *, CASE WHEN v >= 100 THEN '零一二三四五六七八九'[v // 100 + 1] || '百' ELSE '' END || CASE WHEN v % 100 >= 10 THEN '零一二三四五六七八九'[v % 100 // 10 + 1] || '十' WHEN v >= 100 AND v % 10 > 0 THEN '零' ELSE '' END
+  || CASE WHEN v % 10 > 0 THEN '零一二三四五六七八九'[v % 10 + 1] ELSE '' END AS numeral FROM o),
+l AS (SELECT *, CASE WHEN fence THEN '```' WHEN n % 3 = 0 THEN numeral || '、 item' WHEN n % 3 = 1 THEN '（' || numeral || ') part' ELSE '  ' || translate(CAST(n % 10 AS VARCHAR), '0123456789', '０１２３４５６７８９') || '. wide' END AS line,
+  count_if(fence) OVER (PARTITION BY doc ORDER BY n) % 2 = 1 AS code FROM m)"""
+
+
+def list_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc, at, n, line) with markers of three forms."""
+    from pyspark.sql import Window
+
+    from ..functions import labels as L
+
+    n = F.col("o_orderkey")
+    numeral = L.chinese_number(n % 220 + 1)
+    line = F.when(n % 11 == 0, "```").when(n % 3 == 0, F.concat(numeral, F.lit("、 item"))).when(n % 3 == 1, F.concat(F.lit("（"), numeral, F.lit(") part"))).otherwise(F.concat(F.lit("  "), F.translate((n % 10).cast("string"), "0123456789", "０１２３４５６７８９"), F.lit(". wide")))
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), at.alias("at"), n.alias("n"), line.alias("line"))
+
+
+@_query(
+    "list_markers",
+    f"""WITH {_LINES} SELECT doc, n, CASE WHEN fence OR code OR n % 3 < 2 AND v > 200 THEN line WHEN n % 3 = 0 THEN v || '. item' WHEN n % 3 = 1 THEN '   ' || v || '. part' ELSE '  ' || n % 10 || '. wide' END AS markdown FROM l""",
+)
+def list_markers(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import markdown
+
+    return markdown.converted(list_lines(spark, sf), "doc").select("doc", "n", "markdown")
+
+
+@_query("page_paragraphs")
+def page_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents as spans on pages of forty lines, and read back as paragraphs."""
+    from ..operators import blocks
+
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("at", "text"))
+    size = F.when(F.col("at") % 13 == 0, 16.0).otherwise(10.0)
+    y0 = (F.col("at") % 40 * 14 + F.floor(F.col("at") / 5) * 20).cast("double")
+    page = F.concat_ws("/", F.col("doc_id").cast("string"), F.floor(F.col("at") / 40).cast("string"))
+    spans = lines.select(page.alias("page"), F.col("at").alias("id"), F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(400.0).alias("x1"), (y0 + size).alias("y1"), "text", size.alias("size"), (F.col("at") % 13 == 0).alias("bold"))
+    return blocks.paragraphs(blocks.blocks_of(blocks.lines_of(spans)), 10.0)

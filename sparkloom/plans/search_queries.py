@@ -173,3 +173,15 @@ def consistency_findings(spark: SparkSession, sf: str) -> DataFrame:
 @_query("consistency_counts", f'WITH {_ENTITIES} SELECT "case", category, severity, count(*) AS n FROM f GROUP BY ALL')
 def consistency_counts(spark: SparkSession, sf: str) -> DataFrame:
     return K.counts(_findings(spark, sf))
+
+
+@_query("close_matches")
+def close_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts as they were read, with errors, against the names themselves."""
+    from ..operators import close
+
+    name, key = F.col("p_name"), F.col("p_partkey")
+    at = (key % 7 + 2).cast("int")
+    read = F.when(key % 4 == 0, F.concat(name, F.lit("  box"))).when(key % 4 == 1, F.concat(F.substring(name, F.lit(1), at), F.lit("x"), F.substring(name, at + 2, F.lit(1000)))).when(key % 4 == 2, F.upper(F.regexp_replace(name, " ", "  "))).otherwise(F.concat(F.lit("a "), name))
+    part = table(spark, sf, "part")
+    return close.close_pairs(part.select(name.alias("expected")), part.select(read.alias("read")))

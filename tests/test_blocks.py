@@ -110,3 +110,25 @@ def test_close_pairs(spark):
     want = {(e, r): nearly(e, r) for e in set(expected) for r in set(read) if e and r and nearly(e, r)}
     assert got == want and {"equal", "begins", "part", "near"} <= set(want.values())
     assert close.close_pairs(a.limit(0), b).count() == 0
+
+
+def test_queries_against_plain_python(spark):
+    from sparkloom.plans import page_queries, search_queries
+
+    sf = "/root/testdata/sf0.001"
+    names = [r["p_name"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    got = {(r["expected"], r["read"]): r["how"] for r in search_queries.close_matches(spark, sf).collect()}
+    read = {r for _, r in got}
+    assert got == {(e, r): nearly(e, r) for e in set(names) for r in read if nearly(e, r)}
+    pages = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for at, t in enumerate(re.sub("\n$", "", r["text"]).split("\n") if r["text"] else []):
+            pages.setdefault(f"{r['doc_id']}/{at // 40}", []).append((at, t.strip(" ")))
+    for page, lines in pages.items():
+        lines[:] = [x for x in lines if x[1]]
+    got = {}
+    for r in page_queries.page_paragraphs(spark, sf).collect():
+        got.setdefault(r["page"], []).append((r["nth"], r["text"]))
+    for page, lines in pages.items():
+        letters = lambda t: sorted(t.replace(" ", "").replace("\n", ""))
+        assert letters("".join(t for _, t in sorted(got.get(page, [])))) == letters("".join(t for _, t in lines))
