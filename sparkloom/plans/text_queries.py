@@ -178,18 +178,19 @@ def wc_top_words_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("place", place).filter("place <= 10")
 
 
-_CJK_ROWS = "(VALUES (1, '電話簿與電話號碼，臺北市'), (2, 'mixed 中文 and English 文字文字'), (3, 'no such letters'))"
+_CJK_TEXT = "'電話簿與' || translate(CAST(c_custkey AS VARCHAR), '0123456789', '零一二三四五六七八九') || '，' || c_name || '臺北市'"
 
 
 @_query(
     "wc_cjk_bigrams",
-    f"""WITH t(id, s) AS {_CJK_ROWS}, c AS (SELECT id, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS i FROM t),
+    f"""WITH t AS (SELECT c_custkey AS id, {_CJK_TEXT} AS s FROM customer), c AS (SELECT id, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS i FROM t),
     p AS (SELECT id, ch || lead(ch) OVER (PARTITION BY id ORDER BY i) AS term FROM c)
     SELECT term, count(*) AS n FROM p WHERE regexp_full_match(term, '{_CJK}{{2}}') GROUP BY term""",
 )
 def wc_cjk_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "電話簿與電話號碼，臺北市"), (2, "mixed 中文 and English 文字文字"), (3, "no such letters")], "id int, s string")
-    return rows.select(F.explode(T.cjk_bigrams(F.col("s"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    digits = F.translate(F.col("c_custkey").cast("string"), "0123456789", "零一二三四五六七八九")
+    text = F.concat(F.lit("電話簿與"), digits, F.lit("，"), F.col("c_name"), F.lit("臺北市"))
+    return table(spark, sf, "customer").select(F.explode(T.cjk_bigrams(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(

@@ -259,31 +259,40 @@ def invoice_qr_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_orderkey", f["invoice_number"].alias("invoice_number"), F.date_format(f["date"], "yyyy-MM-dd").alias("day"), *(f[k].alias(k) for k in ("amount_untaxed", "amount_total", "buyer_vat", "seller_vat")))
 
 
-_ITEMS = ["**1:0:0:5:5:Big5:pencil:rubber::**x", "**:D4ES04-4G:1:7875.000", "**:a:1:2:b:x:3", "**1:0:1:5:5:Big5:secret", "no code", "**:a:1:2:b:3:4"]
-
-
 @_query(
     "invoice_qr_items",
-    "SELECT * FROM (VALUES ('**1:0:0:5:5:Big5:pencil:rubber::**x', 'pencil|rubber'), ('**:D4ES04-4G:1:7875.000', 'D4ES04-4G'), ('**:a:1:2:b:x:3', NULL), ('**1:0:1:5:5:Big5:secret', NULL), ('no code', NULL), ('**:a:1:2:b:3:4', 'a|b')) t(code, items)",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'item ' || o_orderkey || '|box ' || o_custkey WHEN 1 THEN o_orderpriority || '|' || o_clerk END AS items
+    FROM (SELECT o_orderkey, o_custkey, o_orderpriority, 'c' || o_custkey % 9 AS o_clerk FROM orders)""",
 )
 def invoice_qr_items(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in _ITEMS], "code string")
-    items = I.qr_items(F.col("code"))
-    return rows.select("code", F.when(items.isNotNull(), F.array_join(items, "|")).alias("items"))
+    """Second codes written from orders: counted lists, triples, triples without a number, and encrypted lists."""
+    key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    code = F.when(F.col("o_orderkey") % 4 == 0, text("**1:0:0:2:2:UTF8:item ", key, ": box ", who, "::**x")).when(F.col("o_orderkey") % 4 == 1, text("**:", F.col("o_orderpriority"), ":2:7.50:c", (F.col("o_custkey") % 9).cast("string"), ":1:", key))
+    code = code.when(F.col("o_orderkey") % 4 == 2, text("**:a:1:2:b:x:", key)).otherwise(text("**1:0:1:5:5:Big5:", key))
+    items = I.qr_items(code)
+    return table(spark, sf, "orders").select("o_orderkey", F.when(items.isNotNull(), F.array_join(items, "|")).alias("items"))
 
 
-_NUMBERS = ["A123456789", "A123456788", "12345675", "04595257", "4111 1111 1111 1111", "4111111111111112", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765433", "123456789018", None]
+_SUM = "list_sum(list_transform(range(1, len({w}) + 1), lambda i: CAST(({s})[i] AS BIGINT) * ({w})[i]))"
+_BUSINESS = "list_sum(list_transform(range(1, 9), lambda i: CAST(biz[i] AS BIGINT) * [1, 2, 1, 2, 1, 2, 4, 1][i] // 10 + CAST(biz[i] AS BIGINT) * [1, 2, 1, 2, 1, 2, 4, 1][i] % 10))"
 
 
 @_query(
     "checksums",
-    """SELECT * FROM (VALUES ('A123456789', true, false, false, false, false), ('A123456788', false, false, false, false, false), ('12345675', false, true, false, false, false), ('04595257', false, true, false, false, false),
-    ('4111 1111 1111 1111', false, false, true, false, false), ('4111111111111112', false, false, false, false, false), ('GB82 WEST 1234 5698 7654 32', false, false, false, true, false), ('GB82WEST12345698765433', false, false, false, false, false),
-    ('123456789018', false, false, false, false, true), (NULL, false, false, false, false, false)) t(s, tw_id, tw_business, card, iban, jp_number)""",
+    f"""WITH n AS (SELECT c_custkey, lpad(CAST(c_custkey * 10 + c_nationkey % 10 AS VARCHAR), 8, '0') AS num, lpad(CAST(c_custkey * 7919 % 100000000 AS VARCHAR), 8, '0') AS biz FROM customer)
+    SELECT c_custkey, {_SUM.format(s="'101' || num", w="[1, 9, 8, 7, 6, 5, 4, 3, 2, 1, 1]")} % 10 = 0 AS tw_id, {_BUSINESS} % 10 = 0 OR biz[7] = '7' AND ({_BUSINESS} + 1) % 10 = 0 AS tw_business,
+    list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CAST(('41110000' || num)[i] AS BIGINT) * 2 // 10 + CAST(('41110000' || num)[i] AS BIGINT) * 2 % 10 ELSE CAST(('41110000' || num)[i] AS BIGINT) END)) % 10 = 0 AS card,
+    CAST('32142829' || num || biz || '1611' || right(num, 2) AS HUGEINT) % 97 = 1 AS iban,
+    CAST(right(num, 1) AS BIGINT) = CASE WHEN {_SUM.format(s="'1234' || num", w="[6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2]")} % 11 <= 1 THEN 0 ELSE 11 - {_SUM.format(s="'1234' || num", w="[6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2]")} % 11 END AS jp_number FROM n""",
 )
 def checksums(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in _NUMBERS], "s string")
-    return rows.select("s", *(f(F.col("s")).alias(f.__name__) for f in (C.tw_id, C.tw_business, C.card, C.iban, C.jp_number)))
+    """Numbers of five kinds written from customers, most of which fail their check."""
+    key = F.col("c_custkey")
+    num, biz = F.lpad((key * 10 + F.col("c_nationkey") % 10).cast("string"), 8, "0"), F.lpad((key * 7919 % 100000000).cast("string"), 8, "0")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    values = {"tw_id": C.tw_id(text("A1", num)), "tw_business": C.tw_business(biz), "card": C.card(text("4111 0000 ", F.left(num, F.lit(4)), "-", F.right(num, F.lit(4)))), "iban": C.iban(text("GB", F.right(num, F.lit(2)), " WEST", num, " ", biz)), "jp_number": C.jp_number(text("1234", num))}
+    return table(spark, sf, "customer").select("c_custkey", *(v.alias(k) for k, v in values.items()))
 
 
 @_query("masks", "SELECT p_partkey, substr(p_brand, 1, 2) || repeat('*', length(p_brand) - 3) || substr(p_brand, length(p_brand), 1) AS plate, substr(p_name, 1, 1) || repeat('O', length(p_name) - 2) || substr(p_name, length(p_name), 1) AS name, regexp_replace(p_name, '[^\\s,.#/-]', '*', 'g') AS address FROM part")
@@ -294,8 +303,13 @@ def masks(spark: SparkSession, sf: str) -> DataFrame:
 SQL["masks"] = SQL["masks"].replace("\\\\s", "\\s")
 
 
-@_query("page_ranges", "SELECT * FROM (VALUES ('1-3,5,7-', 10, '1,2,3|5|7,8,9,10'), ('2', 1, ''), ('-2, 4', 4, '1,2|4'), ('x,3-1', 5, '')) t(spec, pages, parts)")
+@_query(
+    "page_ranges",
+    """SELECT p_partkey, array_to_string(list_filter([array_to_string(list_filter(range(p_size, p_size + 4), lambda x: x <= 50), ','), CASE WHEN p_partkey % 60 BETWEEN 1 AND 50 THEN CAST(p_partkey % 60 AS VARCHAR) ELSE '' END, '48,49,50', '1,2'], lambda x: x <> ''), '|') AS parts FROM part""",
+)
 def page_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("1-3,5,7-", 10), ("2", 1), ("-2, 4", 4), ("x,3-1", 5)], "spec string, pages int")
-    parts = ranges_of(F.col("spec"), F.col("pages"))
-    return rows.select("spec", "pages", F.array_join(F.transform(parts, lambda r: F.array_join(r.cast("array<string>"), ",")), "|").alias("parts"))
+    """Page lists written from parts: a range, a page that may be none, open ends and a part that is no range."""
+    size, page = F.col("p_size").cast("int"), (F.col("p_partkey") % 60).cast("string")
+    spec = F.concat(size.cast("string"), F.lit("-"), (size + 3).cast("string"), F.lit(", "), page, F.lit(",48-,x,-2"))
+    parts = ranges_of(spec, F.lit(50))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(parts, lambda r: F.array_join(r.cast("array<string>"), ",")), "|").alias("parts"))
