@@ -73,6 +73,19 @@ def period_of(day: Column) -> tuple[Column, Column, Column]:
     return start, F.last_day(F.add_months(start, 1)), number
 
 
+def recent_periods(today: Column, n: int) -> Column:
+    """The last n periods that have begun, newest first: (start, end, number, running), of this year and the two before."""
+    every = F.flatten(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda back: F.transform(F.array(*map(F.lit, range(6, 0, -1))), lambda p: F.make_date(F.year(today) - back, p * 2 - 1, F.lit(1)))))
+    begun = F.slice(F.filter(every, lambda d: d <= today), 1, n)
+    end = lambda d: F.last_day(F.add_months(d, 1))
+    return F.transform(begun, lambda d: F.struct(d.alias("start"), end(d).alias("end"), F.ceil(F.month(d) / 2).cast("int").alias("number"), (end(d) >= today).alias("running")))
+
+
+def tax(total: Column, untaxed: Column) -> Column:
+    """What of an amount is tax; null if either part is not known."""
+    return total - untaxed
+
+
 def date_format(day: Column, how: str) -> Column:
     """iso, slash, chinese, roc or roc_chinese."""
     y, m, d = F.date_format(day, "yyyy"), F.date_format(day, "MM"), F.date_format(day, "dd")

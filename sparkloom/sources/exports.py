@@ -51,3 +51,45 @@ def text_lines(df: DataFrame, widths: Mapping[str, int]) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.text(path)
+
+
+def bilingual_lines(pairs: DataFrame, form: str = "txt") -> DataFrame:
+    """(doc, pos, line) of pairs (doc, pos, source, target): both texts and an empty line (txt), or a row of a Markdown table (md), whose head is markdown_head."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    if form == "md":
+        cell = lambda c: F.replace(F.replace(text(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+        return pairs.select("doc", "pos", F.concat(F.lit("| "), cell("source"), F.lit(" | "), cell("target"), F.lit(" |")).alias("line"))
+    tidy = lambda c: F.regexp_replace(text(c), r"(?U)\s+$", "")
+    return pairs.select("doc", "pos", F.concat(tidy("source"), F.lit("\n"), tidy("target"), F.lit("\n")).alias("line"))
+
+
+def block_lines(blocks: DataFrame, form: str = "txt") -> DataFrame:
+    """(page, nth, line) of blocks (page, nth, kind, text; see operators.blocks.paragraphs): each with an empty line, headings with their marks in Markdown (md)."""
+    marks = F.when(F.col("kind") > 0, F.concat(F.repeat(F.lit("#"), F.least(F.col("kind"), F.lit(6))), F.lit(" "))).otherwise("") if form == "md" else F.lit("")
+    return blocks.select("page", "nth", F.concat(marks, "text", F.lit("\n")).alias("line"))
+
+
+def annotation_lines(annots: DataFrame, form: str) -> DataFrame:
+    """(doc, page, id, line) of annotations (doc, id, page, kind, author, subject, content): a review, a task, or JSON; csv rows are annotation_cells.
+
+    A review quotes each line of the content; a task says the content, else the subject, else the kind.
+    """
+    has = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other if not isinstance(other, str) else F.lit(other))
+    page = F.concat(F.lit("**第 "), F.col("page").cast("string"), F.lit(" 頁**"))
+    if form == "json":
+        line = F.to_json(F.struct("page", "kind", "author", "subject", "content"))
+    elif form == "review":
+        quoted = F.transform(T.split_lines(has("content", "(無內容)")), lambda x: F.concat(F.lit("  > "), x))
+        line = F.concat(F.lit("- "), page, F.lit(" · "), F.col("kind"), F.lit(" · "), has("author", "(未署名)"), F.lit("\n"), F.array_join(quoted, "\n"), F.lit("\n"))
+    else:
+        body = has("content", has("subject", F.col("kind")))
+        line = F.concat(F.lit("- [ ] "), page, F.lit(": "), body, F.lit(" _(來源:"), has("author", "?"), F.lit(" · "), F.col("kind"), F.lit(")_"))
+    return annots.select("doc", "page", "id", line.alias("line"))
+
+
+def annotation_cells(annots: DataFrame, tasks: bool = False) -> DataFrame:
+    """Annotations, or the tasks that they are, as cells for write_csv."""
+    has = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    if tasks:
+        return annots.select(F.lit("[ ]").alias("status"), "page", has("content", has("subject", F.col("kind"))).alias("todo"), F.col("author").alias("assignee"), F.lit("").alias("priority"), F.col("kind").alias("type"), F.lit("").alias("notes"))
+    return annots.select("page", F.col("kind").alias("type"), "author", "subject", "content")

@@ -41,3 +41,16 @@ def csv_records(spark: SparkSession, path: str | Sequence[str], encoding: str =
 def json_records(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """Objects of JSON arrays or lines."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def listing(spark: SparkSession, path: str | Sequence[str], pattern: str = "*") -> DataFrame:
+    """(path, size, modified) of all files under a folder, whose contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def usage_by_folder(files: DataFrame, root: str) -> DataFrame:
+    """(owner, files, bytes, oldest) of a listing: the owner is the folder right under root, '' for files that lie in root itself."""
+    inner = F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), "^/+", "")
+    owner = F.when(inner.contains("/"), F.substring_index(inner, "/", 1)).otherwise("")
+    return files.groupBy(owner.alias("owner")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.min("modified").alias("oldest"))
