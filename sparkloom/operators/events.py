@@ -76,27 +76,62 @@ def live_sessions(sessions: DataFrame, now: Column, idle_seconds: int) -> DataFr
     return sessions.filter((F.col("expires_at") > now) & (F.col("last_seen_at") >= now - F.lit(float(idle_seconds))))
 
 
+#: Gaps, or windows, in a range of times whose rows of one key are ordered in one task.
+STRETCH = 64
+
+
+def _stretch(seconds: int) -> Column:
+    """The range of times that a row is in: a key with very many rows is shared by as many tasks as it has ranges."""
+    return F.floor(F.unix_micros("ts") / (max(1, seconds) * 1_000_000 * STRETCH))
+
+
 def sessions_of(events: DataFrame, key: str, gap_seconds: int) -> DataFrame:
-    """(key, session, start, end, n): events with less than a gap between neighbours are one session."""
-    before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    opens = before.isNull() | (F.unix_micros("ts") - F.unix_micros(before) > gap_seconds * 1_000_000)
-    run = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = events.withColumn("_open", opens.cast("int")).withColumn("session", F.sum("_open").over(run))
-    return numbered.groupBy(key, "session").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
+    """(key, session, start, end, n): events with less than a gap between neighbours are one session, numbered from 1 in order of time.
+
+    Sessions are first told inside of ranges of times; then one row for each range of a key says whether its first session goes on from the range before, and how
+    many have begun so far.
+    """
+    gap = gap_seconds * 1_000_000
+    apart = lambda a, b: F.unix_micros(a) - F.unix_micros(b) > gap
+    inside = Window.partitionBy(key, "_r").orderBy("ts", "event_id")
+    before = F.lag("ts").over(inside)
+    rows = events.select(key, "ts", "event_id", _stretch(gap_seconds).alias("_r")).withColumn("_open", (before.isNull() | apart("ts", before)).cast("int"))
+    parts = rows.withColumn("_i", F.sum("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "_r", "_i").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy(key).orderBy("_r")
+    ranges = parts.groupBy(key, "_r").agg(F.max("_i").alias("_m"), F.min("start").alias("_first"), F.max("end").alias("_last"))
+    goes_on = F.coalesce(~apart("_first", F.lag("_last").over(along)), F.lit(False)).cast("int")
+    ranges = ranges.withColumn("_on", goes_on).withColumn("_sum", F.sum(F.col("_m") - F.col("_on")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = ranges.select(F.col(key).alias("_k"), F.col("_r").alias("_q"), (F.col("_sum") - F.col("_m")).alias("_base"))
+    numbered = parts.join(ranges, F.col(key).eqNullSafe(F.col("_k")) & F.col("_r").eqNullSafe(F.col("_q"))).withColumn("session", F.col("_base") + F.col("_i"))
+    return numbered.groupBy(key, "session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
 def lockouts(attempts: DataFrame, key: str, failed: Column, reset: Column, threshold: int, window_seconds: int) -> DataFrame:
     """Attempts with the number of failures so far and whether the key is locked by them.
 
-    The count starts anew after a success and when the failure before is older than the window.
+    The count starts anew after a success and when the failure before is older than the window. Failures are counted inside of
+    ranges of times; one row for each range of a key says what the range before it hands on.
     """
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    rows = attempts.filter(failed | reset).withColumn("_fail", failed)
-    stale = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > window_seconds * 1_000_000
-    anew = F.lag("_fail").over(w).isNull() | ~F.col("_fail") | ~F.lag("_fail").over(w) | stale
-    rows = rows.withColumn("_anew", anew.cast("int")).withColumn("_run", F.sum("_anew").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    count = F.sum(F.col("_fail").cast("int")).over(Window.partitionBy(key, "_run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("failures", count).withColumn("locked", F.col("failures") >= threshold).drop("_fail", "_anew", "_run")
+    stale = lambda a, b: F.coalesce(F.unix_micros(a) - F.unix_micros(b) > window_seconds * 1_000_000, F.lit(False))
+    inside = Window.partitionBy(key, "_r").orderBy("ts", "event_id")
+    rows = attempts.filter(failed | reset).withColumn("_fail", failed).withColumn("_r", _stretch(window_seconds))
+    before, before_fail = F.lag("ts").over(inside), F.lag("_fail").over(inside)
+    anew = before_fail.isNull() | ~F.col("_fail") | ~before_fail | stale("ts", before)
+    rows = rows.withColumn("_anew", anew.cast("int")).withColumn("_run", F.sum("_anew").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_n", F.sum(F.col("_fail").cast("int")).over(Window.partitionBy(key, "_r", "_run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    end = lambda pick, *cols: pick(F.struct(*cols), F.struct("ts", "event_id"))
+    ranges = rows.groupBy(key, "_r").agg(end(F.min_by, "ts", "_fail").alias("_a"), end(F.max_by, "ts", "_fail", "_n", "_run").alias("_z"))
+    along = Window.partitionBy(key).orderBy("_r")
+    last = F.lag("_z").over(along)
+    ranges = ranges.withColumn("_before", last).withColumn("_on", F.coalesce(F.col("_a._fail") & F.col("_before._fail") & ~stale("_a.ts", "_before.ts"), F.lit(False)))
+    # a chain of ranges that are one run each hands its sum on; a range with a further run inside begins a new chain
+    ranges = ranges.withColumn("_chain", F.sum((~F.col("_on") | (F.col("_before._run") > 1)).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    handed = F.when(F.col("_on"), F.col("_before._n")).otherwise(0)
+    ranges = ranges.withColumn("_given", F.sum(handed).over(Window.partitionBy(key, "_chain").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = ranges.select(F.col(key).alias("_k"), F.col("_r").alias("_q"), "_given")
+    joined = rows.join(ranges, F.col(key).eqNullSafe(F.col("_k")) & F.col("_r").eqNullSafe(F.col("_q")))
+    count = F.col("_n") + F.when(F.col("_run") == 1, F.col("_given")).otherwise(0)
+    return joined.withColumn("failures", count).withColumn("locked", F.col("failures") >= threshold).select(*attempts.columns, "failures", "locked")
 
 
 def retained(rows: DataFrame, ts: str, now: Column, days: int, keep: Column | None = None) -> DataFrame:

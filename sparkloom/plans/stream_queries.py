@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from ..streaming import events as S
 from .tables import table
 
@@ -25,8 +23,7 @@ def _query(name: str, sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/sparkloom-scratch"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch.folder(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:

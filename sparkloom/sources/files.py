@@ -44,7 +44,7 @@ def json_records(spark: SparkSession, path: str | Sequence[str], schema: str) ->
 
 
 def listing(spark: SparkSession, path: str | Sequence[str], pattern: str = "*") -> DataFrame:
-    """(path, size, modified) of all files under a folder, whose contents are not read."""
+    """(path, size, modified) of all files under a folder, whose contents are not read; Spark leaves out files without a byte."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -76,11 +77,11 @@ def run_now(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
     return spark.read.schema(stream.schema).parquet(out if mode == "complete" else f"{out}/batch=*")
 
 
-def forward(stream: DataFrame, checkpoint: str, send: Callable[[Iterator[str]], None], form: Column, key: str = "event_id", tries: int = 3):
+def forward(stream: DataFrame, checkpoint: str, send: Callable[[Iterator[str]], None], form: Column, key: str = "event_id", tries: int = 3, wait: float = 0.5, most: float = 60.0):
     """Sends the formatted rows of each batch in order of key to a destination; the checkpoint is its cursor.
 
-    send gets the lines of one partition of the ordered batch. A batch that fails tries times stops the query, and the
-    next start sends it again: delivery is at least once and in order.
+    send gets the lines of the ordered batch, a partition at a time. After a failure it is called again, after wait seconds at first and twice as long each time, `most` at most; a
+    batch that fails tries times stops the query, and the next start sends it again: delivery is at least once and in order.
     """
 
     def deliver(batch: DataFrame, n: int) -> None:
@@ -92,6 +93,7 @@ def forward(stream: DataFrame, checkpoint: str, send: Callable[[Iterator[str]],
             except OSError:
                 if i + 1 == tries:
                     raise
+                time.sleep(min(most, wait * 2**i))
 
     return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
