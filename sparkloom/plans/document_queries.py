@@ -259,11 +259,11 @@ def trips_booked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.col("event_type").alias("transport"), key.alias("key")).groupBy("transport", "key").agg(F.min("event_id").alias("event_id"))
 
 
-@_query("line_prefixes", "SELECT p_partkey, p_name AS body FROM part")
+@_query("line_prefixes", "SELECT p_partkey, ['- ', '  * ', '12. ', '> ', '### ', ''][p_partkey % 6 + 1] AS prefix, p_name AS body FROM part")
 def line_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     marks = F.array(*map(F.lit, ["- ", "  * ", "12. ", "> ", "### ", ""]))
-    _, body = L.line_prefix(F.concat(F.element_at(marks, (F.col("p_partkey") % 6 + 1).cast("int")), "p_name"))
-    return table(spark, sf, "part").select("p_partkey", body.alias("body"))
+    prefix, body = L.line_prefix(F.concat(F.element_at(marks, (F.col("p_partkey") % 6 + 1).cast("int")), "p_name"))
+    return table(spark, sf, "part").select("p_partkey", prefix.alias("prefix"), body.alias("body"))
 
 
 @_query(

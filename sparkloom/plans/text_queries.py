@@ -213,11 +213,12 @@ def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(
     "sentence_split",
-    r"""SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '([.!?。！？])([A-Z])', '\1' || chr(1) || '\2', 'g'), '[\n\x01]+'),
-    lambda x: regexp_matches(x, '\S'))) AS BIGINT) AS sentences FROM conversations""",
+    r"""SELECT conv_id, turn, len(s) AS sentences, array_to_string(s, '¦') AS texts FROM (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '([.!?。！？])([A-Z])', '\1' || chr(1) || '\2', 'g'), '[\n\x01]+'),
+    lambda x: regexp_matches(x, '\S')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS s FROM conversations)""",
 )
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
+    found = T.sentences(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(found).cast("long").alias("sentences"), F.array_join(found, "¦").alias("texts"))
 
 
 @_query("fragment_merge")
