@@ -73,7 +73,7 @@ def active_users(events: DataFrame, now: Column, seconds: int) -> DataFrame:
 
 def live_sessions(sessions: DataFrame, now: Column, idle_seconds: int) -> DataFrame:
     """Sessions that are neither expired nor idle."""
-    return sessions.filter((F.col("expires_at") > now) & (F.col("last_seen_at") >= now - F.lit(float(idle_seconds))))
+    return sessions.filter((F.col("expires_at") > now) & (F.col("last_seen_at") >= now - F.make_dt_interval(secs=F.lit(idle_seconds))))
 
 
 #: Gaps, or windows, in a range of times whose rows of one key are ordered in one task.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accounts as A
 from ..operators import registry as R
+from ..operators import summaries as Y
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -43,7 +44,7 @@ def group_listing(spark: SparkSession, sf: str) -> DataFrame:
 @_query("group_page", "SELECT r_name, n_name FROM nation JOIN region ON r_regionkey = n_regionkey ORDER BY r_name, n_name LIMIT 10 OFFSET 5")
 def group_page(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select("r_name", "n_name").orderBy("r_name", "n_name").offset(5).limit(10)
+    return Y.group_page(rows, "r_name", "n_name", 5, 10)
 
 
 @_query("role_listing", "SELECT o_orderpriority AS role, o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' AS builtin, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS tools FROM orders GROUP BY o_orderpriority")
@@ -155,13 +156,12 @@ def visible_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("case_stats", f"WITH {_CASES} SELECT owner, o_orderstatus AS status, count(*) AS n, count(*) FILTER (WHERE deleted_at IS NOT NULL) AS gone, round(avg(o_totalprice) FILTER (WHERE deleted_at IS NULL), 2) AS score FROM c GROUP BY owner, o_orderstatus")
 def case_stats(spark: SparkSession, sf: str) -> DataFrame:
-    live = F.avg(F.when(F.col("deleted_at").isNull(), F.col("o_totalprice")))
-    return _cases(spark, sf).groupBy("owner", F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count("deleted_at").alias("gone"), F.round(live, 2).alias("score"))
+    return Y.case_statistics(_cases(spark, sf).withColumnRenamed("o_orderstatus", "status").withColumnRenamed("o_totalprice", "score"), ["owner", "status"])
 
 
 @_query("versions", "SELECT o_custkey, count(*) + 1 AS next_version, max(o_orderdate) AS latest FROM orders GROUP BY o_custkey")
 def versions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey").agg((F.count(F.lit(1)) + 1).alias("next_version"), F.max("o_orderdate").alias("latest"))
+    return Y.next_versions(table(spark, sf, "orders"), "o_custkey", "o_orderdate")
 
 
 @_query(

@@ -9,6 +9,7 @@ from ..functions import checks as C
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators import annotations as N
+from ..operators import summaries as Y
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -82,8 +83,7 @@ def glossary_protect(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("glossary_pairs", "SELECT lang, source, count(*) AS n FROM documents WHERE n_chars >= 20 GROUP BY lang, source")
 def glossary_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    terms = table(spark, sf, "documents").withColumn("enabled", F.col("n_chars") >= 20)
-    return terms.filter("enabled").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return Y.pair_counts(table(spark, sf, "documents"), "lang", "source", F.col("n_chars") >= 20)
 
 
 @_query("chinese_numbers", "SELECT p_partkey, CAST(p_partkey % 9999 + 1 AS INTEGER) AS n FROM part")
@@ -147,17 +147,12 @@ def toc_entries(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pages_merged(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as documents, twenty to a volume, turns as pages numbered through the volume, four to a sheet."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page"))
-    counts = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumn("volume", F.floor(F.col("conv_id") / 20))
-    before = F.sum("n").over(Window.partitionBy("volume").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1))  # twenty rows
-    starts = counts.select("conv_id", "volume", F.coalesce(before, F.lit(0)).alias("before"))
-    page = (F.col("before") + F.col("page")).cast("long")
-    return rows.join(starts, "conv_id").select("volume", "conv_id", "turn", page.alias("page"), (F.floor((page - 1) / 4) + 1).alias("sheet"))
+    return Y.volumes(table(spark, sf, "conversations").withColumn("volume", F.floor(F.col("conv_id") / 20)), "volume", "conv_id", "turn", 4)
 
 
 @_query("page_sizes", "SELECT length(text) // 500 AS size, count(*) AS pages FROM conversations GROUP BY 1")
 def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy(F.floor(F.length("text") / 500).alias("size")).agg(F.count(F.lit(1)).alias("pages"))
+    return Y.size_histogram(table(spark, sf, "conversations"), F.length("text"), 500)
 
 
 @_query("batch_replies", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderpriority || ' more|' || o_orderstatus END AS texts FROM orders")
@@ -232,8 +227,7 @@ def dates_expiring(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("attachment_counts", "SELECT l_orderkey, max(CAST(l_quantity AS INTEGER)) % 9 AS declared, count(*) AS files FROM lineitem GROUP BY l_orderkey HAVING abs(max(CAST(l_quantity AS INTEGER)) % 9 - count(*)) > 1")
 def attachment_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counts = table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.max(F.col("l_quantity").cast("int")) % 9).alias("declared"), F.count(F.lit(1)).alias("files"))
-    return counts.filter(F.abs(F.col("declared") - F.col("files")) > 1)
+    return Y.attachments_off(table(spark, sf, "lineitem"), "l_orderkey", F.max(F.col("l_quantity").cast("int")) % 9)
 
 
 @_query(

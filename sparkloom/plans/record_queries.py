@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import hierarchy as H
 from ..operators import registry as R
+from ..operators import summaries as Y
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -106,7 +107,7 @@ def registry_enrich(spark: SparkSession, sf: str) -> DataFrame:
 @_query("registry_anti_unmatched", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def registry_anti_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return Y.orphans(table(spark, sf, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
 @_query(
@@ -156,7 +157,7 @@ def events_filter_page(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("events_distinct_values", "SELECT DISTINCT event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def events_distinct_values(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct()
+    return Y.distinct_values(events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["event_type", "day"])
 
 
 @_query("events_json_field", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
@@ -257,9 +258,7 @@ def inbox_unread(spark: SparkSession, sf: str) -> DataFrame:
     SELECT coalesce(a.k, b.k) AS k, coalesce(orders, 0) AS orders, coalesce(events, 0) AS events FROM a FULL JOIN b ON a.k = b.k""",
 )
 def usage_full_outer(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"))
-    b = events(spark, sf).groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("events"))
-    return a.join(b, "k", "full_outer").fillna(0, ["orders", "events"])
+    return Y.usage([(table(spark, sf, "orders").withColumnRenamed("o_custkey", "k"), "orders"), (events(spark, sf).withColumnRenamed("user_id", "k"), "events")], "k")
 
 
 _EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("e", "d"), ("f", "f")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import invoices as I
 from ..operators import records as R
+from ..operators import summaries as Y
 from ..sources import exports as X
 from .tables import table
 
@@ -137,3 +138,38 @@ def annotation_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
     both = X.annotation_lines(annots, "review").select("id", F.col("line").alias("review")).join(X.annotation_lines(annots, "task").select("id", F.col("line").alias("task")), "id")
     return both
+
+
+@_query(
+    "text_dates_expiring",
+    """SELECT o_orderkey, count(DISTINCT d) AS n, strftime(min(d), '%Y-%m-%d') AS first FROM (SELECT o_orderkey, unnest([day, day + 400, day]) AS d FROM (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 30 YEAR AS DATE) AS day FROM orders)) WHERE d > DATE '2026-01-01' AND d < DATE '2027-01-01' GROUP BY o_orderkey""",
+)
+def text_dates_expiring(spark: SparkSession, sf: str) -> DataFrame:
+    """Days in texts that lie between two days."""
+    day = F.add_months(F.col("o_orderdate").cast("date"), 360)
+    text = F.concat(F.lit("valid from "), F.date_format(day, "yyyy-MM-dd"), F.lit(" to "), F.date_format(F.date_add(day, 400), "yyyy/MM/dd"), F.lit(" ("), F.date_format(day, "yyyy-MM-dd"), F.lit(")"))
+    found = Y.expiring(table(spark, sf, "orders"), "o_orderkey", text, F.lit("2026-01-01").cast("date"), F.lit("2027-01-01").cast("date"))
+    return found.withColumn("first", F.date_format("first", "yyyy-MM-dd"))
+
+
+@_query(
+    "cases_deleted",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN '1999-01-01' WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.09) THEN '2024-01-30' END AS deleted_at FROM orders",
+)
+def cases_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 == 0, "1999-01-01").alias("deleted_at"))
+    return Y.soft_deleted(rows, table(spark, sf, "lineitem").filter("l_discount > 0.09").select(F.col("l_orderkey").alias("id")), F.lit("2024-01-30"))
+
+
+@_query(
+    "users_online",
+    """WITH s AS (SELECT user_id, ts, event_id % 3 > 0 AS open FROM events) SELECT c_custkey AS user_id, c_name, count(*) AS n, max(epoch_us(ts)) AS last_us FROM s JOIN customer ON c_custkey = user_id
+    WHERE open AND ts >= TIMESTAMP '2024-01-20' - INTERVAL 2 DAY GROUP BY c_custkey, c_name""",
+)
+def users_online(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as sessions, two of three of which have not expired, met with their users."""
+    now = F.lit("2024-01-20").cast("timestamp")
+    at = F.col("ts").cast("timestamp")
+    sessions = table(spark, sf, "events").select("user_id", at.alias("last_seen_at"), F.when(F.col("event_id") % 3 > 0, F.lit("2030-01-01").cast("timestamp")).otherwise(F.lit("2000-01-01").cast("timestamp")).alias("expires_at"))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return Y.online(sessions, users, now, 2 * 86400).select("user_id", "c_name", "n", F.unix_micros("last_seen_at").alias("last_us"))

@@ -57,3 +57,17 @@ def test_lines(spark):
     annots = spark.createDataFrame([(1, 1, 2, "Note", None, None, None)], "doc int, id int, page int, kind string, author string, subject string, content string")
     assert exports.annotation_lines(annots, "json").first()["line"] == '{"page":2,"kind":"Note"}'
     assert exports.annotation_cells(annots, True).first()["todo"] == "Note" and exports.annotation_cells(annots).columns == ["page", "type", "author", "subject", "content"]
+
+
+def test_summaries(spark):
+    from sparkloom.operators import summaries as Y
+
+    a, b = spark.createDataFrame([(1,), (1,), (None,)], "k int"), spark.createDataFrame([(2,)], "k int")
+    assert {tuple(r) for r in Y.usage([(a, "x"), (b, "y")], "k").collect()} == {(1, 2, 0), (2, 0, 1)}
+    assert [r["k"] for r in Y.orphans(a, b.withColumn("k", F.lit(1)), "k").collect()] == [None]
+    rows = spark.createDataFrame([(1, None), (2, "old"), (3, None)], "id int, deleted_at string")
+    assert {tuple(r) for r in Y.soft_deleted(rows, spark.createDataFrame([(1,), (1,), (2,)], "id int"), F.lit("now")).collect()} == {(1, "now"), (2, "old"), (3, None)}
+    text = spark.createDataFrame([(1, "2024-01-05, 2024/01/05 and 113年2月1日"), (2, None), (3, "2024-01-01")], "id int, t string")
+    day = lambda s: F.lit(s).cast("date")
+    assert [(r["id"], r["n"], r["first"].isoformat()) for r in Y.expiring(text, "id", F.col("t"), day("2024-01-01"), day("2025-01-01")).collect()] == [(1, 2, "2024-01-05")]
+    assert Y.group_page(rows.limit(0), "id", "deleted_at", -1, 5).count() == 0
