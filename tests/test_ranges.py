@@ -50,3 +50,29 @@ def test_against_loops(spark, monkeypatch, stretch):
     assert locked.columns == ["event_id", "user_id", "ts", "fail", "failures", "locked"]
     assert {r["event_id"]: (r["failures"], r["locked"]) for r in locked.collect()} == {i: (n, n >= 3) for i, n in failures.items()}
     assert events.sessions_of(df.limit(0), "user_id", gap).count() == events.lockouts(df.limit(0), "user_id", F.col("fail"), ~F.col("fail"), 3, gap).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_packing_against_a_loop(spark, parts):
+    from sparkloom.operators import sequences
+
+    rng = np.random.default_rng(11)
+    data = [(int(rng.integers(0, 3)) if i % 50 else None, i, None if i % 31 == 0 else int(rng.choice([0, 1, 3, 9, 40, -2]))) for i in range(900)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for most_items, most_size in ((5, 20), (1, 100), (1000, 7), (300, 1000)):
+            want = {}
+            for key in {r[0] for r in data}:
+                held = items = batch = 0
+                for _, i, n in sorted((r for r in data if r[0] == key), key=lambda r: r[1]):
+                    n = max(0, n or 0)
+                    if items and (held + n > most_size or items >= most_items):
+                        held, items, batch = 0, 0, batch + 1
+                    held, items = held + n, items + 1
+                    want[key, i] = batch
+            df = spark.createDataFrame(data, "k int, i int, n int").repartition(5)
+            assert {(r["k"], r["i"]): r["batch"] for r in sequences.packed(df, "k", "i", F.col("n"), most_items, most_size).collect()} == want
+        assert sequences.packed(df.limit(0), "k", "i", F.col("n"), 3, 3).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
