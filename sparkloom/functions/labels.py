@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .checks import tw_business
 from .unicode import folded, nfkc
 
 #: Numerals of one digit.
@@ -131,6 +132,12 @@ def toc_entry(line: Column) -> tuple[Column, Column, Column]:
     return F.when(page.isNotNull(), title), F.when(page.isNotNull(), F.floor(F.length(F.regexp_extract(line, shape, 1)) / 2).cast("int") + 1), page
 
 
+def tax_ids(text: Column) -> Column:
+    """(value, valid) of the different numbers of eight digits in a text, and whether each passes the check of a business number."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![0-9])([0-9]{8})(?![0-9])"), F.lit(1)))
+    return F.transform(found, lambda v: F.struct(v.alias("value"), tw_business(v).alias("valid")))
+
+
 def amounts(text: Column, least: int = 10_000) -> Column:
     """Distinct whole numbers of at least so much, with or without thousands separators, in order of the text."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![\d,.])(\d{1,3}(?:,\d{3})+|\d{5,15})(?![\d,])"), F.lit(1))

@@ -22,6 +22,16 @@ def renamed(df: DataFrame, aliases: Mapping[str, Sequence[str]], required: Seque
     return df.select(*((F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in found.items()))
 
 
+# Headers of an industry's code and of its name.
+CODE, NAME = "行業代號", "名稱"
+
+
+def industry_columns(columns: Sequence[str]) -> list[str]:
+    """The columns that name industries: each stands right after its code, and both have the same ending, which may be empty."""
+    names = [c.strip().lstrip("\ufeff") for c in columns]
+    return [columns[i + 1] for i, c in enumerate(names[:-1]) if c.startswith(CODE) and names[i + 1] == NAME + c[len(CODE) :]]
+
+
 def valid_records(df: DataFrame, industries: Sequence[str] = ()) -> DataFrame:
     """Rows of an eight-digit vat and a name; the distinct industries joined by ' / '."""
     rows = df.withColumn("vat", F.trim("vat")).withColumn("name", F.trim("name")).filter(F.col("vat").rlike("^[0-9]{8}$") & (F.length("name") > 0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import invoices as I
+from ..functions import labels as L
 from ..operators import records as R
 from ..operators import summaries as Y
 from ..sources import exports as X
@@ -173,3 +174,16 @@ def users_online(spark: SparkSession, sf: str) -> DataFrame:
     sessions = table(spark, sf, "events").select("user_id", at.alias("last_seen_at"), F.when(F.col("event_id") % 3 > 0, F.lit("2030-01-01").cast("timestamp")).otherwise(F.lit("2000-01-01").cast("timestamp")).alias("expires_at"))
     users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
     return Y.online(sessions, users, now, 2 * 86400).select("user_id", "c_name", "n", F.unix_micros("last_seen_at").alias("last_us"))
+
+
+@_query(
+    "tax_ids_found",
+    """WITH t AS (SELECT o_orderkey, unnest(list_distinct([lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), lpad(CAST(o_custkey * 7 AS VARCHAR), 8, '0')])) AS value FROM orders),
+    d AS (SELECT *, list_sum(list_transform(range(1, 9), lambda i: CAST(value[i] AS BIGINT) * [1, 2, 1, 2, 1, 2, 4, 1][i] // 10 + CAST(value[i] AS BIGINT) * [1, 2, 1, 2, 1, 2, 4, 1][i] % 10)) AS s FROM t)
+    SELECT o_orderkey, value, s % 10 = 0 OR value[7] = '7' AND (s + 1) % 10 = 0 AS valid FROM d""",
+)
+def tax_ids_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of eight digits in texts written from orders, beside longer and repeated ones."""
+    a, b = F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lpad((F.col("o_custkey") * 7).cast("string"), 8, "0")
+    text = F.concat(F.lit("no. "), a, F.lit("，統編"), b, F.lit(" 123456789 "), a, F.lit("1"), F.lit(" ("), a, F.lit(")"))
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(L.tax_ids(text)).alias("x")).select("o_orderkey", "x.value", "x.valid")

@@ -71,3 +71,14 @@ def test_summaries(spark):
     day = lambda s: F.lit(s).cast("date")
     assert [(r["id"], r["n"], r["first"].isoformat()) for r in Y.expiring(text, "id", F.col("t"), day("2024-01-01"), day("2025-01-01")).collect()] == [(1, 2, "2024-01-05")]
     assert Y.group_page(rows.limit(0), "id", "deleted_at", -1, 5).count() == 0
+
+
+def test_csv_of_any_encoding(spark, tmp_path):
+    from sparkloom.operators import registry
+
+    head = "統一編號,名稱,行業代號,名稱1,行業代號1,名稱1,x\n"
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + (head + "12345675,甲,1,零售,2,批發,y\n").encode())
+    (tmp_path / "b.csv").write_bytes(("統一編號,名稱\n04595257,乙\n").encode("big5"))
+    got = files.csv_of_any(spark, str(tmp_path))
+    assert {r["統一編號"] for r in got.collect()} == {"12345675", "04595257"}
+    assert registry.industry_columns(["﻿統一編號", "行業代號", "名稱", "行業代號1", "名稱1", "行業代號2", "名稱3", "行業代號3"]) == ["名稱", "名稱1"]
