@@ -138,12 +138,17 @@ def paired(codes: DataFrame) -> DataFrame:
     return each.select(*keys, tag.alias("tag"), a_at.alias("a_at"), b_at.alias("b_at"), (F.col("i1") + F.col("j1") + F.col("k")).alias("nth"))
 
 
+def _digest(text: Column) -> Column:
+    """What stands for a page or a line in an alignment: its SHA-256, so that texts themselves are not shuffled for it."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def page_pairs(a: DataFrame, b: DataFrame, key: str, page: str = "page", text: str = "text") -> DataFrame:
     """(key, a_page, b_page, tag): the pages of two versions of each document, paired; an inserted page leaves all others paired.
 
     Pages count from 0 without gaps; null texts are empty pages.
     """
-    pages = [df.select(key, F.col(page).cast("long").alias("at"), F.coalesce(F.col(text), F.lit("")).alias("item")) for df in (a, b)]
+    pages = [df.select(key, F.col(page).cast("long").alias("at"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("item")) for df in (a, b)]
     return paired(opcodes(*pages, key)).select(key, F.col("a_at").alias("a_page"), F.col("b_at").alias("b_page"), "tag")
 
 
@@ -158,7 +163,7 @@ def compared_lines(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     were changed); a changed line counts the characters of the steps inside it, one that is on one side only all of its.
     """
     lines = [pairs.select(key, F.posexplode(_lines(F.col(c))).alias("at", "item")).withColumn("at", F.col("at").cast("long")) for c in (a, b)]
-    found = paired(opcodes(*lines, key))
+    found = paired(opcodes(*(df.select(key, "at", _digest(F.col("item")).alias("item")) for df in lines), key))
     with_a = found.join(lines[0].select(key, F.col("at").alias("a_at"), F.col("item").alias("a")), [key, "a_at"], "left")
     both = with_a.join(lines[1].select(key, F.col("at").alias("b_at"), F.col("item").alias("b")), [key, "b_at"], "left")
     kept = both.select(key, "tag", F.col("a_at").alias("a_line"), F.col("b_at").alias("b_line"), "a", "b")
