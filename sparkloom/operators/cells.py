@@ -39,7 +39,8 @@ def neighbours(cells: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) ->
 
     def met(asks: DataFrame, stands: DataFrame) -> DataFrame:
         other = stands.select("page", "gx", "gy", F.col("id").alias("other"), *(F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")))
-        return asks.join(other, ["page", "gx", "gy"]).filter("id <> other").withColumn("oh", F.greatest(F.lit(1.0), F.col("oy1") - F.col("oy0")))
+        # cells come out of an explode, so the size of their file says little of them: a broadcast of one side would not fit the driver
+        return asks.join(other.hint("merge"), ["page", "gx", "gy"]).filter("id <> other").withColumn("oh", F.greatest(F.lit(1.0), F.col("oy1") - F.col("oy0")))
 
     # to the right the other begins in one column of squares, and shares a row of squares; below it is the other way round
     begins_x = given.withColumn("gx", square(F.col("x0"))).withColumn("gy", span(F.col("y0"), F.col("y1")))
