@@ -69,7 +69,8 @@ def findings(cells: DataFrame, kinds: Sequence[pii.Kind] | None = None, labels:
     alone = pii.hits(given.select("cell", "text"), kinds, "cell").select("cell", "kind", "start", "end", "value", "masked", F.lit(None).cast(cells.schema["id"].dataType).alias("label_id"))
     labelled = [k for k in kinds if re.compile(k.pattern).groups]
     texts = given.select("page", "id", "text")
-    pairs = neighbours(given).join(texts, ["page", "id"]).join(texts.select("page", F.col("id").alias("other"), F.col("text").alias("second")), ["page", "other"])
+    second = texts.select("page", F.col("id").alias("other"), F.col("text").alias("second"))
+    pairs = neighbours(given).join(texts.hint("merge"), ["page", "id"]).join(second.hint("merge"), ["page", "other"])
     pairs = pairs.withColumn("cell", F.struct("page", "id", "other", F.length("text").alias("n"))).select("cell", F.concat_ws(" ", "text", "second").alias("text"))
     over = pii.hits(pairs, labelled, "cell") if labelled else None
     if over is not None:

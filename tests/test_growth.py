@@ -14,3 +14,7 @@ def broadcasts(df):
 
 def test_cells_meet_by_shuffles(spark):
     assert broadcasts(page_queries.cell_neighbours(spark, SF)) == []
+
+
+def test_texts_of_neighbours_meet_by_shuffles(spark):
+    assert broadcasts(page_queries.cell_findings(spark, SF)) == []
