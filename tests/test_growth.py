@@ -1,6 +1,7 @@
 """Steps whose rows are far more than their files say: no side of a join over them is sent to the driver."""
 
-from sparkloom.plans import page_queries
+from sparkloom.operators import token_index
+from sparkloom.plans import page_queries, search_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,14 @@ def test_cells_meet_by_shuffles(spark):
 
 def test_texts_of_neighbours_meet_by_shuffles(spark):
     assert broadcasts(page_queries.cell_findings(spark, SF)) == []
+
+
+def test_postings_and_questions_meet_by_shuffles(spark):
+    assert broadcasts(search_queries.registry_phrases(spark, SF)) == []
+
+
+def test_phrases_longer_than_a_gram(spark):
+    rows = spark.createDataFrame([(1, "a b c d e a b"), (2, "b c d e"), (3, "a b c e d"), (4, "d e a b c d")], "key long, name string")
+    asked = spark.createDataFrame([(1, "a-b-c-d e-a"), (2, "b-c-d-e"), (3, "c-d-e-a-b b"), (4, "a-b-c-d-e-f"), (5, "a-b b-c"), (6, "d")], "q long, query string")
+    found = token_index.search(asked, token_index.postings(rows, "key", ["name"]), "q", "key").collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (1, 4), (2, 1), (2, 2), (3, 1), (5, 1), (5, 3), (5, 4), (6, 1), (6, 2), (6, 3), (6, 4)]
