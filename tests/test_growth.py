@@ -30,3 +30,7 @@ def test_phrases_longer_than_a_gram(spark):
     asked = spark.createDataFrame([(1, "a-b-c-d e-a"), (2, "b-c-d-e"), (3, "c-d-e-a-b b"), (4, "a-b-c-d-e-f"), (5, "a-b b-c"), (6, "d")], "q long, query string")
     found = token_index.search(asked, token_index.postings(rows, "key", ["name"]), "q", "key").collect()
     assert sorted(map(tuple, found)) == [(1, 1), (1, 4), (2, 1), (2, 2), (3, 1), (5, 1), (5, 3), (5, 4), (6, 1), (6, 2), (6, 3), (6, 4)]
+
+
+def test_facets_of_hits_meet_by_shuffles(spark):
+    assert broadcasts(search_queries.registry_phrase_counts(spark, SF)) == []
