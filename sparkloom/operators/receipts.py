@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,14 @@ def _trim(s: Column) -> Column:
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value); a variable of a lambda is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _some(s: Column) -> Column:
     """Null for what is empty."""
-    return F.nullif(_trim(s), F.lit(""))
+    return _once(_trim(s), lambda t: F.nullif(t, F.lit("")))
 
 
 def _first(s: Column, pattern: str, group: int = 1) -> Column:
@@ -49,19 +56,20 @@ def clean_address(s: Column) -> Column:
 
     out = F.aggregate(F.array(*map(F.lit, range(4))), _trim(F.coalesce(s, F.lit(""))), strip)
     both = rf"^([台臺])({_HAN}{{1,2}}[市縣])[台臺]\2"  # two ways to write one character
-    return _trim(F.when(out.rlike(rf"^[台臺]{_HAN}{{1,2}}[市縣]"), F.regexp_replace(out, both, "$1$2")).otherwise(F.regexp_replace(out, rf"^({_HAN}{{2,3}}[市縣])\1", "$1")))
+    one = lambda a: F.when(a.rlike(rf"^[台臺]{_HAN}{{1,2}}[市縣]"), F.regexp_replace(a, both, "$1$2")).otherwise(F.regexp_replace(a, rf"^({_HAN}{{2,3}}[市縣])\1", "$1"))
+    return _trim(_once(out, one))
 
 
 def is_place(line: Column) -> Column:
     """A line of a trip that can be a place, or the name of one: not an amount, a label, a distance or a time."""
-    return (F.length(_trim(line)) >= 3) & ~_trim(line).rlike(NO_PLACE)
+    return _once(_trim(line), lambda t: (F.length(t) >= 3) & ~t.rlike(NO_PLACE))
 
 
 def _day(s: Column, first: str, second: str | None = None, last: str = "") -> Column:
     """The first date in figures, with these marks after year, month and day, as yyyy-MM-dd."""
     p = f"([0-9]{{4}}){first}([0-9]{{1,2}}){second or first}([0-9]{{1,2}}){last}"
-    y, m, d = (_first(s, p, i) for i in (1, 2, 3))
-    return F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+    part = lambda hit, i: _first(hit, p, i)
+    return _once(_first(s, p, 0), lambda hit: F.when(hit != "", F.concat_ws("-", part(hit, 1), F.lpad(part(hit, 2), 2, "0"), F.lpad(part(hit, 3), 2, "0"))))
 
 
 def _fields(**given: Column) -> Column:
@@ -99,22 +107,28 @@ def train(text: Column) -> Column:
 
 def ride(text: Column) -> Column:
     lines = F.transform(F.split(text, r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"), _trim)
-    head = F.transform(lines, lambda x: x.contains("行程詳細資訊") | x.contains("Trip details"))
-    part = F.slice(lines, F.coalesce(F.nullif(F.array_position(head, True), F.lit(0)), F.lit(0)).cast("int") + 1, F.size(lines))
     follows = lambda ls: F.zip_with(ls, F.slice(ls, 2, F.size(ls)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     # a time is one of a stop if the line after it is a place; a time of ordering or payment stands before other lines
     clock = lambda a: F.when(F.replace(a, F.lit(" ")).rlike(CLOCK), F.replace(a, F.lit(" "))).otherwise(a)
-    stops = F.filter(follows(part), lambda x: clock(x["a"]).rlike(CLOCK) & F.coalesce(is_place(x["b"]), F.lit(False)))
     hour = lambda a: I.to_24h(F.regexp_extract(clock(a), CLOCK, 1), F.regexp_extract(clock(a), CLOCK, 2), F.regexp_extract(clock(a), CLOCK, 3))
-    stops = F.transform(stops, lambda x: F.struct(hour(x["a"]).alias("t"), clean_address(x["b"]).alias("p")))
-    total = F.try_element_at(F.filter(follows(lines), lambda x: x["a"].isin("總計", "Total") & x["b"].isNotNull()), F.lit(1))["b"]
-    fare = F.coalesce(I.first_integer(total), I.first_integer(_first(text, r"\$\s*([0-9,]+(?:\.[0-9]+)?)")))
-    first, last = F.try_element_at(stops, F.lit(1)), F.when(F.size(stops) > 1, F.element_at(stops, -1))
-    return _fields(
-        transport=F.lit("Uber"), trip_id=_some(_first(text, r"riders\.uber\.com/trips/([0-9a-fA-F-]{16,40})")), day=F.coalesce(_day(text, r"\s*年\s*", r"\s*月\s*", r"\s*日"), _day(text, "[/-]")),
-        depart_time=first["t"], origin=_some(first["p"]), arrive_time=last["t"], destination=_some(last["p"]), fare=fare, vehicle=_some(_first(text, r"車牌號碼[：:]\s*\n?\s*([A-Z0-9-]{5,10})")),
-        distance=_some(_first(text, r"([0-9.]+)\s*公里")), note=_some(_first(text, r"車行／車隊[：:]?\s*\n?\s*(.+)")),
-    )
+
+    def stops(ls: Column) -> Column:
+        head = F.transform(ls, lambda x: x.contains("行程詳細資訊") | x.contains("Trip details"))
+        part = F.slice(ls, F.coalesce(F.nullif(F.array_position(head, True), F.lit(0)), F.lit(0)).cast("int") + 1, F.size(ls))
+        found = F.filter(follows(part), lambda x: clock(x["a"]).rlike(CLOCK) & F.coalesce(is_place(x["b"]), F.lit(False)))
+        return F.transform(found, lambda x: F.struct(hour(x["a"]).alias("t"), clean_address(x["b"]).alias("p")))
+
+    def fields(ls: Column, at: Column) -> Column:
+        total = F.try_element_at(F.filter(follows(ls), lambda x: x["a"].isin("總計", "Total") & x["b"].isNotNull()), F.lit(1))["b"]
+        fare = F.coalesce(I.first_integer(total), I.first_integer(_first(text, r"\$\s*([0-9,]+(?:\.[0-9]+)?)")))
+        first, last = F.try_element_at(at, F.lit(1)), F.when(F.size(at) > 1, F.element_at(at, -1))
+        return _fields(
+            transport=F.lit("Uber"), trip_id=_some(_first(text, r"riders\.uber\.com/trips/([0-9a-fA-F-]{16,40})")), day=F.coalesce(_day(text, r"\s*年\s*", r"\s*月\s*", r"\s*日"), _day(text, "[/-]")),
+            depart_time=first["t"], origin=_some(first["p"]), arrive_time=last["t"], destination=_some(last["p"]), fare=fare, vehicle=_some(_first(text, r"車牌號碼[：:]\s*\n?\s*([A-Z0-9-]{5,10})")),
+            distance=_some(_first(text, r"([0-9.]+)\s*公里")), note=_some(_first(text, r"車行／車隊[：:]?\s*\n?\s*(.+)")),
+        )
+
+    return _once(lines, lambda ls: _once(stops(ls), lambda at: fields(ls, at)))
 
 
 def fee(text: Column) -> Column:
