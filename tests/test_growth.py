@@ -40,3 +40,7 @@ def test_receipts_are_dealt_out_and_parsed_once(spark):
     df = page_queries.receipts_parsed(spark, SF)
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Taiwan|TWN") == 1  # the addresses of a ride's stops, which four fields are read from
+
+
+def test_numbers_are_dealt_out_for_their_pseudonyms(spark):
+    assert search_queries.fake_numbers(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
