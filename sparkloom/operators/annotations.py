@@ -82,8 +82,13 @@ def protected(text: Column, terms: Sequence[str]) -> tuple[Column, Column]:
 
 def restored(text: Column, hits: Column) -> Column:
     """A text with its marks filled again; null unless each mark is there exactly once."""
-    marks = F.transform(F.regexp_extract_all(text, F.lit("⟪(\\d+)⟫"), F.lit(1)), lambda x: x.cast("int"))
+    found = F.transform(F.regexp_extract_all(text, F.lit("⟪(\\d+)⟫"), F.lit(1)), lambda x: x.cast("int"))
     wanted = F.when(F.size(hits) > 0, F.sequence(F.lit(1), F.size(hits))).otherwise(F.array().cast("array<int>"))
     between = F.split(text, "⟪\\d+⟫", -1)
-    filled = F.array_join(F.transform(between, lambda part, i: F.concat(F.when(i > 0, F.element_at(hits, F.element_at(marks, i))).otherwise(""), part)), "")
-    return F.when(F.size(hits) == 0, text).when(F.array_sort(marks) == wanted, filled)
+
+    def filled(marks: Column) -> Column:
+        parts = F.transform(between, lambda part, i: F.concat(F.when(i > 0, F.element_at(hits, F.element_at(marks, i))).otherwise(""), part))
+        return F.when(F.array_sort(marks) == wanted, F.array_join(parts, ""))
+
+    # a variable of a lambda is computed once: else every part would look for all marks of the text again
+    return F.when(F.size(hits) == 0, text).otherwise(F.element_at(F.transform(F.array(found), filled), 1))

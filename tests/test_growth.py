@@ -1,6 +1,10 @@
 """Steps whose rows are far more than their files say: no side of a join over them is sent to the driver."""
 
-from sparkloom.operators import token_index
+import time
+
+from pyspark.sql import functions as F
+
+from sparkloom.operators import annotations, token_index
 from sparkloom.plans import page_queries, search_queries
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +48,12 @@ def test_receipts_are_dealt_out_and_parsed_once(spark):
 
 def test_numbers_are_dealt_out_for_their_pseudonyms(spark):
     assert search_queries.fake_numbers(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+
+
+def test_marks_of_a_text_are_looked_for_once(spark):
+    text, hits = annotations.protected(F.col("text"), ["the"])
+    rows = spark.createDataFrame([("the " * 20000,), ("no term",), (None,), ("⟪1⟫ the",)], "text string").select("text", text.alias("m"), hits.alias("h"))
+    began = time.monotonic()
+    got = rows.select("text", annotations.restored(F.col("m"), F.col("h")).alias("back")).collect()
+    assert all(r["back"] == r["text"] for r in got)
+    assert time.monotonic() - began < 30  # all marks were looked for at every part: not done after 60 s
