@@ -1,65 +1,31 @@
 """Alignment of two sequences: pages of two versions of a document, lines of two pages, characters of two lines.
 
 The longest run of equal items (of equal ones the first in a, then the first in b) is an anchor; what stands before it and
-after it is aligned in the same way. Runs come from an equi-join of the items and islands on their diagonals; a
-fold over the runs of one pair of sequences picks the anchors.
+after it is aligned in the same way. Pages of a document meet by a shuffle of their digests; lines and characters are in the row of their
+pair of texts. Many pairs of sequences are aligned side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
 
-#: Cells of the table of equal characters that is looked at as a whole; larger ones go by row.
+#: Pairs of equal k-grams of two sequences that are listed; with more of them the table of equal items goes by row.
 CELLS = 1 << 22
-_TAGS = np.array(["equal", "replace", "delete", "insert"])
-
-
-def runs(a: DataFrame, b: DataFrame, key: str, at: str = "at", item: str = "item") -> DataFrame:
-    """(key, i, j, n): the maximal runs of equal items. All pairs of equal items of one pair of sequences are looked at."""
-    pairs = a.select(key, F.col(at).alias("i"), item).join(b.select(key, F.col(at).alias("j"), item), [key, item])
-    diagonal = pairs.select(key, "i", "j", (F.col("i") - F.col("j")).alias("d"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(key, "d").orderBy("i"))
-    return diagonal.withColumn("g", island).groupBy(key, "d", "g").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count(F.lit(1)).alias("n")).select(key, "i", "j", "n")
-
-
-def anchors(i: np.ndarray, j: np.ndarray, n: np.ndarray, size_a: int, size_b: int) -> list[tuple[int, int, int]]:
-    """Anchors (i, j, n) of maximal runs, in order."""
-    out, todo = [], [(0, size_a, 0, size_b, i, i + n, i - j)]
-    while todo:
-        a0, a1, b0, b1, lo, hi, d = todo.pop()
-        lo, hi = np.maximum(lo, np.maximum(a0, b0 + d)), np.minimum(hi, np.minimum(a1, b1 + d))
-        some = hi > lo
-        if not some.any():
-            continue
-        lo, hi, d = lo[some], hi[some], d[some]
-        best = np.flatnonzero(hi - lo == (hi - lo).max())
-        best = best[np.lexsort((lo[best] - d[best], lo[best]))[0]]
-        x, y, m = int(lo[best]), int(lo[best] - d[best]), int(hi[best] - lo[best])
-        out.append((x, y, m))
-        todo += [(a0, x, b0, y, lo, hi, d), (x + m, a1, y + m, b1, lo, hi, d)]
-    return sorted(out)
-
-
-def steps(found: list[tuple[int, int, int]], size_a: int, size_b: int) -> list[tuple[str, int, int, int, int]]:
-    """(tag, i1, i2, j1, j2): anchors as equal stretches, what is between them as replace, delete or insert."""
-    out: list[tuple[str, int, int, int, int]] = []
-    i = j = 0
-    for x, y, n in [*found, (size_a, size_b, 0)]:
-        if x > i or y > j:
-            out.append(("insert" if x == i else "delete" if y == j else "replace", i, x, j, y))
-        if n and out and out[-1][0] == "equal":  # two anchors without anything between them
-            out[-1] = ("equal", out[-1][1], x + n, out[-1][3], y + n)
-        elif n:
-            out.append(("equal", x, x + n, y, y + n))
-        i, j = x + n, y + n
-    return out
+#: Pairs of equal k-grams, and items, that are looked at together.
+PAIRS = 1 << 19
+#: Lengths of the k-grams by which runs are found, down to single items.
+GRAMS = (16, 4, 1)
+TAGS = ("equal", "replace", "delete", "insert")
 
 
 def _rows_longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -77,53 +43,188 @@ def _rows_longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def text_steps(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
-    """The steps of the characters of two texts; time goes with the product of their lengths, memory with the sum."""
-    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
-    if len(x) * len(y) <= CELLS:
-        i, j = np.nonzero(x[:, None] == y)
-        d = i - j
-        order = np.lexsort((i, d))
-        i, j, d = i[order], j[order], d[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)
-        head = np.flatnonzero(new)
-        return steps(anchors(i[head], j[head], np.diff(np.append(head, len(i))), len(x), len(y)), len(x), len(y))
-    found, todo = [], [(0, len(x), 0, len(y))]
+def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of them, one after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _matches(x: np.ndarray, y: np.ndarray, segs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs (seg, lo, hi, d) of k equal items or more inside of segments, by segment, and the segments that have more than CELLS pairs of equal k-grams, which give no runs."""
+    grams = []
+    with np.errstate(over="ignore"):
+        for items, first, end in ((x, 0, 1), (y, 2, 3)):
+            n = np.maximum(segs[:, end] - segs[:, first] - k + 1, 0)
+            at, seg = _places(segs[:, first], n), np.repeat(np.arange(len(segs)), n)
+            name = seg.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for t in range(k):
+                name = (name ^ items[at + t].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+                name ^= name >> np.uint64(32)
+            grams.append((at, seg, name))
+    (i, seg, name), (j, seg_b, name_b) = grams
+    order = np.argsort(name_b)
+    j, seg_b, name_b = j[order], seg_b[order], name_b[order]
+    left = np.searchsorted(name_b, name)
+    n = np.searchsorted(name_b, name, "right") - left
+    large = np.bincount(seg, n, len(segs)) > CELLS
+    some = (n > 0) & ~large[seg]
+    i, seg, left, n = i[some], seg[some], left[some], n[some]
+    ends: list[list[np.ndarray]] = [[], []]
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(i)]):
+        u, s, v = np.repeat(i[lo:hi], n[lo:hi]), np.repeat(seg[lo:hi], n[lo:hi]), _places(left[lo:hi], n[lo:hi])
+        same = seg_b[v] == s
+        v = j[v]
+        for t in range(k):  # names of different k-grams may be the same
+            same &= x[u + t] == y[v + t]
+        u, s, v = u[same], s[same], v[same]
+        a0, a1, b0, b1 = segs[s].T
+        first = (u == a0) | (v == b0) | (x[u - 1] != y[v - 1])
+        last = (u + k == a1) | (v + k == b1) | (x[np.minimum(u + k, len(x) - 1)] != y[np.minimum(v + k, len(y) - 1)])
+        for out, at in zip(ends, (first, last)):
+            out.append(np.stack([s[at], u[at] - v[at], u[at]]))
+    starts, stops = (np.concatenate(e, axis=1) for e in ends)
+    starts, stops = (e[:, np.lexsort(e[::-1])] for e in (starts, stops))
+    return np.stack([starts[0], starts[2], stops[2] + k, starts[1]]), large
+
+
+def _by_rows(x: np.ndarray, y: np.ndarray, seg: np.ndarray) -> list[tuple[int, int, int]]:
+    """Anchors of a segment with too many equal items for a list of them; time goes with the product of its sides, memory with their sum."""
+    found, todo = [], [tuple(seg)]
     while todo:
         a0, a1, b0, b1 = todo.pop()
         i, j, n = _rows_longest(x[a0:a1], y[b0:b1])
         if n:
             found.append((a0 + i, b0 + j, n))
             todo += [(a0, a0 + i, b0, b0 + j), (a0 + i + n, a1, b0 + j + n, b1)]
-    return steps(sorted(found), len(x), len(y))
+    return found
+
+
+def anchors(x: np.ndarray, y: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """(pair, i, j, n): the anchors of pairs of sequences, by pair and in order; x and y hold all sequences of a side one after the other.
+
+    Anchors of at least k items come from the runs of at least k, found as equal k-grams; what then is left between them is looked at with a smaller k.
+    """
+    begin_a, begin_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    segs = np.stack([begin_a, begin_a + size_a, begin_b, begin_b + size_b], axis=1)
+    found = [np.zeros((0, 3), np.int64)]
+    for k in GRAMS:
+        fit = np.minimum(segs[:, 1] - segs[:, 0], segs[:, 3] - segs[:, 2])
+        segs, fit = segs[fit > 0], fit[fit > 0]
+        now = fit >= k * k  # in shorter ones runs of k are not worth looking for
+        rest, segs = [segs[~now]], segs[now]
+        if not len(segs):
+            segs = rest[0]
+            continue
+        (s, lo, hi, d), large = _matches(x, y, segs, k)
+        found += [np.array(_by_rows(x, y, seg), np.int64).reshape(-1, 3) for seg in segs[large].tolist()]
+        open_ = ~large
+        while len(s):
+            heads = np.flatnonzero(np.diff(s, prepend=-1))
+            mine = s[heads]  # segments that have runs
+            nth = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(s))))
+            n = hi - lo
+            most = np.maximum.reduceat(n, heads)
+            i = np.minimum.reduceat(np.where(n == most[nth], lo, 1 << 62), heads)
+            j = np.minimum.reduceat(np.where((n == most[nth]) & (lo == i[nth]), lo - d, 1 << 62), heads)
+            found.append(np.stack([i, j, most], axis=1))
+            open_[mine] = False
+            rest.append(segs[open_])
+            a0, a1, b0, b1 = segs[mine].T
+            segs = np.stack([np.stack([a0, i, b0, j], axis=1), np.stack([i + most, a1, j + most, b1], axis=1)], axis=1).reshape(-1, 4)
+            open_ = np.ones(len(segs), bool)
+            after, before = np.maximum(lo, np.maximum((i + most)[nth], (j + most)[nth] + d)), np.minimum(hi, np.minimum(i[nth], j[nth] + d))
+            s, lo, hi, d = np.concatenate([2 * nth, 2 * nth + 1]), np.concatenate([lo, after]), np.concatenate([before, hi]), np.concatenate([d, d])
+            some = np.flatnonzero(hi - lo >= k)
+            some = some[np.argsort(s[some], kind="stable")]
+            s, lo, hi, d = s[some], lo[some], hi[some], d[some]
+        segs = np.concatenate([*rest, segs[open_]])
+    i, j, n = np.concatenate(found).T
+    order = np.argsort(i)
+    i, j, n = i[order], j[order], n[order]
+    pair = np.searchsorted(begin_a + size_a, i, "right")
+    return np.stack([pair, i - begin_a[pair], j - begin_b[pair], n])
+
+
+def many_steps(x: np.ndarray, y: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair, tag, i1, i2, j1, j2): the steps of pairs of sequences as arrays, tags as places in TAGS; anchors without anything between them are one stretch."""
+    pair, i, j, n = anchors(x, y, size_a, size_b)
+    every = np.arange(len(size_a))
+    pair, i, j, n = np.concatenate([pair, every]), np.concatenate([i, size_a]), np.concatenate([j, size_b]), np.concatenate([n, np.zeros_like(every)])
+    order = np.argsort(pair, kind="stable")  # the end of both as an empty anchor after the others
+    pair, i, j, n = pair[order], i[order], j[order], n[order]
+    new = np.diff(pair, prepend=-1) != 0
+    u, v = (np.where(new, 0, np.roll(z + n, 1)) for z in (i, j))  # what is before an anchor begins here
+    gap = np.where(u == i, np.where(v == j, -1, 3), np.where(v == j, 2, 1))
+    out = np.stack([np.stack([pair, gap, u, i, v, j]), np.stack([pair, np.where(n > 0, 0, -1), i, i + n, j, j + n])], axis=2).reshape(6, -1)
+    out = out[:, out[1] >= 0]
+    head = np.flatnonzero((np.diff(out[0], prepend=-1) != 0) | (out[1] != 0) | (np.roll(out[1], 1) != 0))
+    last = np.append(head[1:], out.shape[1])[: len(head)] - 1
+    return out[0, head], out[1, head], out[2, head], out[3, last], out[4, head], out[5, last]
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts one after the other, and how many each has."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+def text_steps(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
+    """The steps of the characters of two texts."""
+    (x, n), (y, m) = _codes([a]), _codes([b])
+    _, tags, *places = many_steps(x, y, n, m)
+    return list(zip((TAGS[t] for t in tags), *(p.tolist() for p in places)))
+
+
+def _groups(sizes: np.ndarray) -> Iterator[slice]:
+    """Pairs of sequences in groups of about PAIRS items."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1
+    yield from (slice(int(lo), int(hi)) for lo, hi in zip([0, *cuts], [*cuts, len(sizes)]) if hi > lo)
+
+
+def _changes(a: list[str], b: list[str]) -> np.ndarray:
+    """(matched, added, removed, changed) characters of each pair of texts."""
+    out = np.zeros((4, len(a)), np.int64)
+    for part in _groups(np.array([len(u) + len(v) for u, v in zip(a, b)], np.int64)):
+        (x, n), (y, m) = _codes(a[part]), _codes(b[part])
+        pair, tag, i1, i2, j1, j2 = many_steps(x, y, n, m)
+        for row, (t, chars) in enumerate(((0, i2 - i1), (3, j2 - j1), (2, i2 - i1), (1, np.maximum(i2 - i1, j2 - j1)))):
+            out[row, part] = np.bincount(pair[tag == t], chars[tag == t], len(n))
+    return out
 
 
 def opcodes(a: DataFrame, b: DataFrame, key: str, at: str = "at", item: str = "item") -> DataFrame:
     """(key, tag, i1, i2, j1, j2) for each pair of sequences; a: (key, at, item), at counts from 0 without gaps.
 
-    A key that only one side has is all deleted or inserted. Keys and items are not null. No rows give no rows.
+    A key that only one side has is all deleted or inserted. Keys and items are not null; items are short, as those of a pair of sequences
+    meet in one row. No rows give no rows.
     """
-    sizes = a.groupBy(key).agg(F.count(F.lit(1)).alias("size_a")).join(b.groupBy(key).agg(F.count(F.lit(1)).alias("size_b")), key, "full")
-    lists = runs(a, b, key, at, item).groupBy(key).agg(*(F.collect_list(F.struct("i", "j", "n")[c].cast("long")).alias(c) for c in ("i", "j", "n")))  # the runs of one pair of sequences
-    both = sizes.join(lists, key, "left").select(key, F.coalesce("size_a", F.lit(0)).alias("size_a"), F.coalesce("size_b", F.lit(0)).alias("size_b"), "i", "j", "n")
+    sides = [df.select(key, F.struct(F.lit(side).alias("side"), F.col(at).cast("long").alias("at"), F.col(item).alias("item")).alias("_s")) for side, df in ((False, a), (True, b))]
+    both = sides[0].unionByName(sides[1]).groupBy(key).agg(F.collect_list("_s").alias("_s"))  # the items of one pair of sequences
     kind = a.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for row in range(batch.num_rows):
-                size_a, size_b, *lists = (batch.column(c)[row].as_py() for c in range(1, 6))
-                found = anchors(*(np.array(x, np.int64) for x in lists), size_a, size_b) if lists[0] else []
-                mine = steps(found, size_a, size_b)
-                at += [row] * len(mine)
-                out += mine
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], [key, "tag", "i1", "i2", "j1", "j2"])
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for part in _groups(sizes):
+                rows = batch.slice(part.start, part.stop - part.start)
+                side, at, items = rows.column(1).flatten().flatten()
+                side, at = (z.to_numpy(zero_copy_only=False).astype(np.int64) for z in (side, at))
+                items = items.dictionary_encode().indices.to_numpy()
+                nth = np.repeat(np.arange(rows.num_rows), sizes[part])
+                sequences = []
+                for one in (0, 1):
+                    mine = np.flatnonzero(side == one)
+                    mine = mine[np.lexsort((at[mine], nth[mine]))]
+                    sequences.append((items[mine], np.bincount(nth[mine], minlength=rows.num_rows)))
+                pair, tag, *places = many_steps(sequences[0][0], sequences[1][0], sequences[0][1], sequences[1][1])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(pair)), _tags(tag, TAGS), *map(pa.array, places)], [key, "tag", "i1", "i2", "j1", "j2"])
 
     return both.mapInArrow(run, f"`{key}` {kind}, tag string, i1 long, i2 long, j1 long, j2 long")
 
 
+def _tags(tag: np.ndarray, names: tuple[str, ...]) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(tag.astype(np.int8)), pa.array(names)).cast(pa.string())
+
+
 def paired(codes: DataFrame) -> DataFrame:
     """codes with a row for each place: tag, a_at, b_at (null on the side that has none), nth of its pair of sequences.
 
@@ -156,35 +257,51 @@ def _lines(text: Column) -> Column:
     return F.transform(T.split_lines(F.coalesce(text, F.lit(""))), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
 
 
+_LINE = [("tag", "string"), *((c, "long") for c in ("a_line", "b_line", "matched", "chars_added", "chars_removed", "chars_changed"))]
+
+
+def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The items of lists one after the other, and how many each has; null lists have none."""
+    return lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+@F.arrow_udf(ArrayType(reduce(lambda t, f: t.add(*f), _LINE, StructType())))
+def _line_steps(a: pa.Array, b: pa.Array) -> pa.Array:
+    """What became of each line of pairs of lists of lines."""
+    names = ("equal", "change", "delete", "insert")
+    parts = [pa.array([], pa.list_(pa.struct([(n, pa.string() if t == "string" else pa.int64()) for n, t in _LINE])))]
+    for part in _groups(sum(_flat(x)[1] for x in (a, b))):
+        (lines_a, n), (lines_b, m) = (_flat(x.slice(part.start, part.stop - part.start)) for x in (a, b))
+        items = pa.concat_arrays([lines_a, lines_b]).dictionary_encode().indices.to_numpy()
+        pair, tag, i1, i2, j1, j2 = many_steps(items[: len(lines_a)], items[len(lines_a) :], n, m)
+        k = np.maximum(i2 - i1, j2 - j1)
+        pair, tag, at_a, at_b, end_a, end_b = (np.repeat(z, k) for z in (pair, tag, i1, j1, i2, j2))
+        nth = _places(np.zeros_like(k), k)
+        at_a, at_b = at_a + nth, at_b + nth
+        has_a, has_b = at_a < end_a, at_b < end_b  # replaced stretches are paired place by place
+        tag = np.where(tag == 0, 0, np.where(~has_b, 2, np.where(~has_a, 3, 1)))
+        u, v = at_a + (np.cumsum(n) - n)[pair], at_b + (np.cumsum(m) - m)[pair]
+        chars = np.zeros((4, len(tag)), np.int64)
+        both = tag == 1
+        chars[:, both] = _changes(lines_a.take(pa.array(u[both])).to_pylist(), lines_b.take(pa.array(v[both])).to_pylist())
+        for row, lines, at, t in ((1, lines_b, v, 3), (2, lines_a, u, 2)):
+            chars[row, tag == t] = pc.utf8_length(lines.take(pa.array(at[tag == t]))).to_numpy(zero_copy_only=False)
+        cols = [_tags(tag, names), pa.array(at_a, mask=~has_a), pa.array(at_b, mask=~has_b), pa.array(chars[0], mask=~both), *map(pa.array, chars[1:])]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=len(n)))])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(parts[0].type.value_type))))
+    return pa.concat_arrays(parts)
+
+
 def compared_lines(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, tag, a_line, b_line, a, b, matched, chars_added, chars_removed, chars_changed) of each line of two texts.
 
     pairs has a row for each key. Lines stand without white space at their end. matched: characters that the lines have in common (null unless they
     were changed); a changed line counts the characters of the steps inside it, one that is on one side only all of its.
     """
-    lines = [pairs.select(key, F.posexplode(_lines(F.col(c))).alias("at", "item")).withColumn("at", F.col("at").cast("long")) for c in (a, b)]
-    found = paired(opcodes(*(df.select(key, "at", _digest(F.col("item")).alias("item")) for df in lines), key))
-    with_a = found.join(lines[0].select(key, F.col("at").alias("a_at"), F.col("item").alias("a")), [key, "a_at"], "left")
-    both = with_a.join(lines[1].select(key, F.col("at").alias("b_at"), F.col("item").alias("b")), [key, "b_at"], "left")
-    kept = both.select(key, "tag", F.col("a_at").alias("a_line"), F.col("b_at").alias("b_line"), "a", "b")
-    counts = ["matched", "chars_added", "chars_removed", "chars_changed"]
-    names = [*kept.columns, *counts]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                codes = text_steps(x, y)
-                total = lambda tag, f: sum(f(*c[1:]) for c in codes if c[0] == tag)  # noqa: E731, B023
-                out.append((total("equal", lambda i, k, *_: k - i), total("insert", lambda i, k, u, v: v - u), total("delete", lambda i, k, *_: k - i), total("replace", lambda i, k, u, v: max(k - i, v - u))))
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], names)
-
-    changed = kept.filter("tag = 'change'").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + ", ".join(f"{c} long" for c in counts))
-    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
-    whole = lambda tag, c: F.when(F.col("tag") == tag, F.length(c).cast("long")).otherwise(zero)
-    other = kept.filter("tag <> 'change'").select("*", none.alias("matched"), whole("insert", "b").alias("chars_added"), whole("delete", "a").alias("chars_removed"), zero.alias("chars_changed"))
-    return other.unionByName(changed)
+    lists = pairs.select(key, _lines(F.col(a)).alias("_a"), _lines(F.col(b)).alias("_b"))
+    each = lists.withColumn("_s", F.explode(_line_steps("_a", "_b")))
+    line = lambda side: F.get(f"_{side}", F.col(f"_s.{side}_line").cast("int")).alias(side)
+    return each.select(key, "_s.tag", "_s.a_line", "_s.b_line", line("a"), line("b"), "_s.matched", "_s.chars_added", "_s.chars_removed", "_s.chars_changed")
 
 
 def document_totals(a: DataFrame, b: DataFrame, key: str, page: str = "page", text: str = "text") -> DataFrame:
@@ -192,15 +309,21 @@ def document_totals(a: DataFrame, b: DataFrame, key: str, page: str = "page", te
 
     A page that only one side has is all added or removed, line by line.
     """
-    place = F.concat_ws("/", F.coalesce(F.col("a_page").cast("string"), F.lit("-")), F.coalesce(F.col("b_page").cast("string"), F.lit("-")))
-    pairs = page_pairs(a, b, key, page, text).drop("tag")
-    x, y = (df.select(key, F.col(page).cast("long").alias(f"{s}_page"), F.col(text).alias(s)) for s, df in (("a", a), ("b", b)))
-    pairs = pairs.join(x, [key, "a_page"], "left").join(y, [key, "b_page"], "left")
-    pairs = pairs.withColumn("_p", F.concat_ws("|", F.col(key).cast("string"), place))
-    n = lambda tag: F.count(F.when(F.col("tag") == tag, 1))
-    sums = compared_lines(pairs, "_p", "a", "b").groupBy("_p").agg(
-        n("insert").alias("added"), n("delete").alias("removed"), n("change").alias("changed"), *(F.sum(c).alias(c) for c in ("chars_added", "chars_removed", "chars_changed")),
-        *(F.coalesce(F.sum(F.length(c)), F.lit(0)).cast("long").alias(f"chars_{c}") for c in ("a", "b")),
-    )
-    facts = [c for c in sums.columns if c != "_p"]
-    return pairs.join(sums, "_p", "left").select(key, "a_page", "b_page", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in facts))
+    size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    found = page_pairs(a, b, key, page, text)
+    for side, df in (("a", a), ("b", b)):
+        lines = df.select(key, F.col(page).cast("long").alias(f"{side}_page"), _lines(F.col(text)).alias(f"_{side}"))
+        facts = [F.coalesce(F.size(f"_{side}"), F.lit(0)).cast("long").alias(f"_n_{side}"), size(F.col(f"_{side}")).alias(f"chars_{side}")]
+        found = found.join(lines.select("*", *facts), [key, f"{side}_page"], "left")
+    # only changed pages are looked at line by line
+    some = F.col("tag") == "change"
+    steps = found.withColumn("_s", _line_steps(F.when(some, F.col("_a")), F.when(some, F.col("_b"))))
+    of = lambda tag: F.size(F.filter("_s", lambda s: s["tag"] == tag))
+    total = lambda c: F.aggregate("_s", F.lit(0).cast("long"), lambda n, s: n + s[c])
+    whole = lambda tag, n: F.when(F.col("tag") == tag, F.col(n))
+    facts = {
+        "added": F.when(some, of("insert")).otherwise(whole("insert", "_n_b")), "removed": F.when(some, of("delete")).otherwise(whole("delete", "_n_a")), "changed": F.when(some, of("change")),
+        "chars_added": F.when(some, total("chars_added")).otherwise(whole("insert", "chars_b")), "chars_removed": F.when(some, total("chars_removed")).otherwise(whole("delete", "chars_a")),
+        "chars_changed": F.when(some, total("chars_changed")), "chars_a": F.col("chars_a"), "chars_b": F.col("chars_b"),
+    }
+    return steps.select(key, "a_page", "b_page", *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in facts.items()))

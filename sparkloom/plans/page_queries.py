@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,22 +25,34 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-def pages(spark: SparkSession, sf: str, lines: int = 4) -> DataFrame:
-    """(doc_id, page, text): documents cut into pages of so many lines."""
+def _cut(spark: SparkSession, sf: str, lines: int) -> DataFrame:
+    """(doc_id, t): the pages of each document, of so many lines."""
     each = table(spark, sf, "documents").select("doc_id", T.split_lines(F.col("text")).alias("l"))
     n = F.ceil(F.size("l") / lines).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.array_join(F.slice("l", p * lines + 1, lines), "\n"))
-    return each.filter(F.size("l") > 0).select("doc_id", F.posexplode(cut).alias("page", "text"))
+    return each.filter(F.size("l") > 0).select("doc_id", cut.alias("t"))
+
+
+def _each_page(docs: DataFrame, pages: Column) -> DataFrame:
+    """(doc_id, page, text). The outer form, as the plain one has a filter on its size put below it, which splits the text again for every page."""
+    return docs.select("doc_id", F.posexplode_outer(pages).alias("page", "text")).filter("page is not null")
+
+
+def pages(spark: SparkSession, sf: str, lines: int = 4) -> DataFrame:
+    """(doc_id, page, text): documents cut into pages of so many lines."""
+    return _each_page(_cut(spark, sf, lines), F.col("t"))
 
 
 def versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Pages of documents, and of a later version: a page put in, every eleventh left out, every seventh changed."""
-    old = pages(spark, sf)
-    some = F.col("doc_id") + F.col("page")
-    changed = F.when(some % 7 == 0, F.regexp_replace("text", "e", "E")).otherwise(F.col("text"))
-    new = F.array_compact(F.array(F.when(F.col("page") == F.col("doc_id") % 3, F.concat(F.lit("a page that is new in document "), F.col("doc_id").cast("string"))), F.when(some % 11 != 0, changed)))
-    lists = old.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", new.alias("n")))), lambda x: x["n"])).alias("t"))  # the pages of one document
-    return old, lists.select("doc_id", F.posexplode("t").alias("page", "text"))
+    docs = _cut(spark, sf, 4)
+
+    def later(text: Column, page: Column) -> Column:
+        some = F.col("doc_id") + page
+        changed = F.when(some % 7 == 0, F.regexp_replace(text, "e", "E")).otherwise(text)
+        return F.array_compact(F.array(F.when(page == F.col("doc_id") % 3, F.concat(F.lit("a page that is new in document "), F.col("doc_id").cast("string"))), F.when(some % 11 != 0, changed)))
+
+    return _each_page(docs, F.col("t")), _each_page(docs, F.flatten(F.transform("t", later)))
 
 
 @_query("page_pairing")

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import annotations, token_index
+from sparkloom.operators import alignment, annotations, token_index
 from sparkloom.plans import page_queries, search_queries
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,20 @@ def test_marks_of_a_text_are_looked_for_once(spark):
     got = rows.select("text", annotations.restored(F.col("m"), F.col("h")).alias("back")).collect()
     assert all(r["back"] == r["text"] for r in got)
     assert time.monotonic() - began < 30  # all marks were looked for at every part: not done after 60 s
+
+
+def test_versions_of_documents_are_read_once_for_each_use(spark):
+    plan = page_queries.document_compare(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 4  # each version for its digests and for its texts
+    old, _ = page_queries.versions(spark, SF)
+    filters = [line for line in old._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("transform(" in line for line in filters)  # there the text was split again for every page
+
+
+def test_many_changes_of_long_texts(spark):
+    words = [f"{i * 7919 % 10007:x}e" for i in range(4000)]
+    a = " ".join(words)
+    began = time.monotonic()
+    (changed,) = alignment._changes([a], [a.replace("e", "E")]).T.tolist()
+    assert changed == [len(a) - a.count("e"), 0, 0, a.count("e")]
+    assert time.monotonic() - began < 20
