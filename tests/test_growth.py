@@ -74,3 +74,8 @@ def test_many_changes_of_long_texts(spark):
     (changed,) = alignment._changes([a], [a.replace("e", "E")]).T.tolist()
     assert changed == [len(a) - a.count("e"), 0, 0, a.count("e")]
     assert time.monotonic() - began < 20
+
+
+def test_pages_meet_by_one_shuffle_of_their_digests(spark):
+    plan = page_queries.page_pairing(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
