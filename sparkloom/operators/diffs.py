@@ -14,10 +14,8 @@ def line_diff(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     Null texts have no lines; line numbers start from 0 and are null on the side that has none. ratio is twice the matched
     characters by all of both lines. Rows of equal key and texts count once; a null key is a key.
     """
-    name = F.sha2(F.to_json(F.struct(F.col(key), F.col("_a"), F.col("_b"))), 256)
-    given = pairs.select(F.col(key), F.col(a).alias("_a"), F.col(b).alias("_b")).withColumn("_k", name).dropDuplicates(["_k"])
-    found = compared_lines(given, "_k", "_a", "_b")
+    given = pairs.select(F.col(key), F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    found = compared_lines(given, key, "_a", "_b")
     matched = 2.0 * F.col("matched") / (F.length("a") + F.length("b"))
     ratio = F.when(F.col("tag") == "equal", 1.0).when(F.col("tag") == "change", F.when(F.length("a") + F.length("b") == 0, 1.0).otherwise(matched)).otherwise(0.0)
-    out = found.withColumn("ratio", ratio).join(given.select("_k", key), "_k")
-    return out.select(key, F.col("tag").alias("op"), F.col("a_line").cast("int").alias("a_line"), F.col("b_line").cast("int").alias("b_line"), "a", "b", "ratio")
+    return found.withColumn("ratio", ratio).select(key, F.col("tag").alias("op"), F.col("a_line").cast("int").alias("a_line"), F.col("b_line").cast("int").alias("b_line"), "a", "b", "ratio")

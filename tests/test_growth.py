@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import alignment, annotations, token_index
+from sparkloom.operators import alignment, annotations, diffs, token_index
 from sparkloom.plans import page_queries, search_queries
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +79,12 @@ def test_many_changes_of_long_texts(spark):
 def test_pages_meet_by_one_shuffle_of_their_digests(spark):
     plan = page_queries.page_pairing(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_lines_are_compared_in_the_row_of_their_texts(spark):
+    rows = spark.createDataFrame([(1, "a\nb", "a\nc"), (1, "a\nb", "a\nc"), (None, None, "x"), (2, "", None)], "k long, a string, b string")
+    found = diffs.line_diff(rows, "k", "a", "b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert got == [(1, "change", 1, 1, "b", "c", 0.0), (1, "equal", 0, 0, "a", "a", 1.0), (None, "insert", None, 0, None, "x", 0.0)]
