@@ -182,7 +182,10 @@ _NEED = {
     "cred_label": ("password", "passwd", "pwd", "secret", "api", "token", "帳號", "密碼", "使用者名稱", "金鑰", "憑證"), "passport": ("護照", "passport"),
     "bank_account": ("帳", "ac", "a/c"), "bank_code": ("銀行", "bank"), "pnr": ("pnr", "booking", "confirmation", "訂位", "代號"),
 }
-_NEAR = {"mac": r"[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]", "uuid": r"-[0-9a-fA-F]{4}-", "hostname": r"\.\w", "domain": r"\.\w"}
+_NEAR = {
+    "mac": r"[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]", "uuid": r"-[0-9a-fA-F]{4}-", "hostname": r"\.\w", "domain": r"\.\w",
+    "hash_value": r"[a-fA-F0-9]{32}|\$2[aby]\$", "api_token": r"[A-Za-z0-9+/=_\-]{19}",
+}
 KINDS = tuple(replace(k, need=k.need or _NEED.get(k.name, ()), digits=_DIGITS.get(k.name, 0), near=_NEAR.get(k.name)) for k in KINDS)
 BY_NAME = {k.name: k for k in KINDS}
 

@@ -1,5 +1,6 @@
 """Personal data in digits and letters of all scripts; gates against plain searches."""
 
+import dataclasses
 import re
 import unicodedata
 
@@ -55,3 +56,14 @@ def test_gates_lose_nothing(spark):
         one = {(r["doc_id"], r["kind"], r["first"]) for r in pii.hits(docs, some).collect()}
         assert one == {(r["doc_id"], r["kind"], r["first"]) for r in pii.hits(docs).collect() if r["kind"] in names}
     assert all(unicodedata.decimal(c, None) is not None for c in "٠１")
+
+
+def test_hashes_and_tokens_are_searched_where_they_can_be(spark):
+    kinds = [k for k in pii.KINDS if k.name in ("hash_value", "api_token")]
+    values = ["0123456789abcdef" * n for n in (2, 4, 6, 8)] + ["A" * 40, "f" * 56, "$2b$10$" + "aB./5" * 10 + "xyz", "sk-" + "a" * 16, "hub__" + "Z9-_" * 4, "aB3+/=_-" * 4 + "z"]
+    rows = [(i, f"see {v} there") for i, v in enumerate(values)] + [(100, "words of no secret at all " * 50), (101, "f" * 31), (102, "sk-" + "a" * 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = [dataclasses.replace(k, near=None) for k in kinds]
+    got, want = (sorted(map(tuple, pii.hits(docs, k).collect())) for k in (kinds, plain))
+    assert got == want and {r[0] for r in got} == set(range(len(values)))
+    assert not any(re.search(k.near, rows[-3][1]) for k in kinds)  # these patterns were tried at every place of every text
