@@ -26,11 +26,11 @@ def _query(name: str, sql: str | None = None):
 
 
 def _cut(spark: SparkSession, sf: str, lines: int) -> DataFrame:
-    """(doc_id, t): the pages of each document, of so many lines."""
+    """(doc_id, t): the pages of each document, of so many lines; null without lines, as a filter on their number would be put below the split and split again."""
     each = table(spark, sf, "documents").select("doc_id", T.split_lines(F.col("text")).alias("l"))
     n = F.ceil(F.size("l") / lines).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.array_join(F.slice("l", p * lines + 1, lines), "\n"))
-    return each.filter(F.size("l") > 0).select("doc_id", cut.alias("t"))
+    return each.select("doc_id", F.when(F.size("l") > 0, cut).alias("t"))
 
 
 def _each_page(docs: DataFrame, pages: Column) -> DataFrame:

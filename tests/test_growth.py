@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import split_lines
 from sparkloom.operators import alignment, annotations, diffs, token_index
 from sparkloom.plans import page_queries, search_queries
 
@@ -81,6 +82,15 @@ def test_pages_meet_by_one_shuffle_of_their_digests(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
 
 
+def test_texts_are_split_into_lines_once(spark):
+    for df, times in ((page_queries.pages(spark, SF), 1), (page_queries.page_pairing(spark, SF), 2)):  # 2: each version
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == times
+    ends = ["\r", "\n", *"\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\x1f", " ", ""]
+    texts = [a + x + y + b for a in ("", "a") for x in ends for y in ends for b in ("", "b")]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").select("text", split_lines(F.col("text")).alias("lines")).collect()
+    assert len(rows) == len(texts) + 1 and all(r["lines"] == (r["text"] or "").splitlines() for r in rows)
+
+
 def test_lines_are_compared_in_the_row_of_their_texts(spark):
     rows = spark.createDataFrame([(1, "a\nb", "a\nc"), (1, "a\nb", "a\nc"), (None, None, "x"), (2, "", None)], "k long, a string, b string")
     found = diffs.line_diff(rows, "k", "a", "b")
