@@ -7,6 +7,7 @@ pair of texts. Many pairs of sequences are aligned side by side.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,8 +20,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import text as T
 
-#: Pairs of equal k-grams of two sequences that are listed; with more of them the table of equal items goes by row.
-CELLS = 1 << 22
+#: Pairs of equal k-grams that are listed for segments together; those with the most beyond that have only their longest runs looked for.
+CELLS = 1 << 21
 #: Pairs of equal k-grams, and items, that are looked at together.
 PAIRS = 1 << 19
 #: Lengths of the k-grams by which runs are found, down to single items.
@@ -28,28 +29,13 @@ GRAMS = (16, 4, 1)
 TAGS = ("equal", "replace", "delete", "insert")
 
 
-def _rows_longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """The longest run of two sequences, a row of the table at a time."""
-    best, last = (0, 0, 0), np.zeros(len(b) + 1, np.int64)
-    for i in range(len(a)):
-        now = np.zeros(len(b) + 1, np.int64)
-        now[1:] = np.where(b == a[i], last[:-1] + 1, 0)
-        n = int(now.max())
-        if n > best[2]:
-            best = (i - n + 1, int(now.argmax()) - n, n)
-        elif n == best[2] and n and i - n + 1 == best[0]:
-            best = (best[0], min(best[1], int(now.argmax()) - n), n)
-        last = now
-    return best
-
-
 def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first, first + 1, ... n of them, one after the other."""
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def _matches(x: np.ndarray, y: np.ndarray, segs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs (seg, lo, hi, d) of k equal items or more inside of segments, by segment, and the segments that have more than CELLS pairs of equal k-grams, which give no runs."""
+    """Maximal runs (seg, lo, hi, d) of k equal items or more inside of segments, by segment, and the segments whose pairs of equal k-grams are not listed, which give no runs."""
     grams = []
     with np.errstate(over="ignore"):
         for items, first, end in ((x, 0, 1), (y, 2, 3)):
@@ -65,7 +51,10 @@ def _matches(x: np.ndarray, y: np.ndarray, segs: np.ndarray, k: int) -> tuple[np
     j, seg_b, name_b = j[order], seg_b[order], name_b[order]
     left = np.searchsorted(name_b, name)
     n = np.searchsorted(name_b, name, "right") - left
-    large = np.bincount(seg, n, len(segs)) > CELLS
+    count = np.bincount(seg, n, len(segs))
+    few = np.argsort(count, kind="stable")
+    large = np.zeros(len(segs), bool)
+    large[few] = (np.cumsum(count[few]) > CELLS) & (count[few] > 0)
     some = (n > 0) & ~large[seg]
     i, seg, left, n = i[some], seg[some], left[some], n[some]
     ends: list[list[np.ndarray]] = [[], []]
@@ -87,16 +76,169 @@ def _matches(x: np.ndarray, y: np.ndarray, segs: np.ndarray, k: int) -> tuple[np
     return np.stack([starts[0], starts[2], stops[2] + k, starts[1]]), large
 
 
-def _by_rows(x: np.ndarray, y: np.ndarray, seg: np.ndarray) -> list[tuple[int, int, int]]:
-    """Anchors of a segment with too many equal items for a list of them; time goes with the product of its sides, memory with their sum."""
-    found, todo = [], [tuple(seg)]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        i, j, n = _rows_longest(x[a0:a1], y[b0:b1])
-        if n:
-            found.append((a0 + i, b0 + j, n))
-            todo += [(a0, a0 + i, b0, b0 + j), (a0 + i + n, a1, b0 + j + n, b1)]
-    return found
+def _longest(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """The longest runs of two sequences that become anchors one after the other.
+
+    Their length is found by names of grams of doubled length; pairs of places are not listed, so memory goes with the sum of both sides.
+    """
+
+    def named(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names, nth = np.unique(np.concatenate([u, v]), return_inverse=True)
+        has = np.zeros((2, len(names)), bool)
+        has[0, nth[: len(u)]] = has[1, nth[len(u) :]] = True
+        return nth[: len(u)], nth[len(u) :], has[0] & has[1]
+
+    def grams(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of n items of each side, and which both sides have; a gram is told by its first and last k items."""
+        return named(*(z[: max(len(z) - n + k, 0)] * (len(x) + len(y)) + z[n - k :] for z in (u, v)))
+
+    k, most = 1, min(len(x), len(y)) + 1
+    u, v, shared = named(x, y)
+    if not shared.any():
+        return []
+    while 2 * k < most:
+        longer = grams(2 * k)
+        if not longer[2].any():
+            most = 2 * k
+            break
+        u, v, shared = longer
+        k *= 2
+    n = k
+    while most - n > 1:
+        mid = (n + most) // 2
+        n, most = (mid, most) if grams(mid)[2].any() else (n, mid)
+    names, names_b, shared = grams(n)
+    places = np.argsort(names_b, kind="stable").tolist()
+    ends = np.cumsum(np.bincount(names_b, minlength=len(shared)))
+    some = np.flatnonzero(shared[names])
+    last = ends[names[some]].tolist()
+    first = np.append(0, ends)[names[some]].tolist()
+    out, i0, j0 = [], 0, 0
+    for i, lo, hi in zip(some.tolist(), first, last):
+        if i >= i0 and (at := bisect_left(places, j0, lo, hi)) < hi:
+            out.append((i, places[at], n))
+            i0, j0 = i + n, places[at] + n
+    return out
+
+
+def _in_place(x: np.ndarray, y: np.ndarray, segs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j, n) of the anchors of segments where items were replaced in place by others, and the segments that are left to be looked at.
+
+    Where both sides have the same length and no item of a that was replaced is anywhere in b, a run of equal items holds none that was replaced, so it
+    also is in b at its own place. Thus the longest stretch between replaced ones is an anchor, and what is before and after it is such a segment again. Only b may have that
+    stretch still earlier, and only where it has an item that others were replaced by; this is looked up.
+    """
+    size = segs[:, 1] - segs[:, 0]
+    even = size == segs[:, 3] - segs[:, 2]
+    mine, size = segs[even], size[even]
+    nth = np.repeat(np.arange(len(mine)), size)
+    at = _places(mine[:, 0], size)
+    a, b = x[at].astype(np.int64), y[_places(mine[:, 2], size)].astype(np.int64)
+    off = a != b
+    width = int(max(a.max(initial=0), b.max(initial=0))) + 1
+
+    def also(items: np.ndarray, replaced: np.ndarray) -> np.ndarray:
+        """Which items are one of the replaced ones of their segment."""
+        names = np.unique(nth[off] * width + replaced[off])
+        keys = nth * width + items
+        return names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys if len(names) else np.zeros(len(keys), bool)
+
+    fit = np.ones(len(mine), bool)
+    fit[nth[also(b, a)]] = False
+    head = np.flatnonzero(~off & fit[nth] & ((np.diff(nth, prepend=-1) != 0) | np.append(True, off[:-1])))
+    end = np.flatnonzero(~off & fit[nth] & ((np.diff(nth, append=-1) != 0) | np.append(off[1:], True))) + 1
+    asked = np.unique(np.searchsorted(head, np.flatnonzero(~off & fit[nth] & also(a, b)), "right") - 1)
+    first = np.cumsum(size) - size
+    left = []  # squares of stretches that b has earlier, as places of a and b
+    for seg, some in zip(*_split(asked, nth[head[asked]])):
+        lo, hi = np.searchsorted(head, [first[seg], first[seg] + size[seg]])
+        square = _squares(head[lo:hi].tolist(), end[lo:hi].tolist(), int(first[seg]), int(first[seg] + size[seg]))
+        for t in some.tolist():
+            if _earlier(b, *square[t - lo], int(head[t]), int(end[t])):
+                left.append(square[t - lo])
+    keep = np.ones(len(head), bool)
+    more = []
+    for lo, hi in sorted(left, key=lambda z: (z[0], -z[1])):
+        if not more or lo >= more[-1][1]:  # of squares inside of each other the outermost
+            more.append((lo, hi))
+            keep[slice(*np.searchsorted(head, [lo, hi]))] = False
+    head, end = head[keep], end[keep]
+    to_b = mine[:, 2] - mine[:, 0]
+    found = np.stack([at[head], at[head] + to_b[nth[head]], end - head], axis=1)
+    lo, hi = np.array(more, np.int64).reshape(-1, 2).T
+    a0 = at[lo]
+    b0 = a0 + to_b[nth[lo]]
+    return found, np.concatenate([segs[~even], mine[~fit], np.stack([a0, a0 + hi - lo, b0, b0 + hi - lo], axis=1)])
+
+
+def _split(values: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The values of each of some ascending keys."""
+    heads = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[heads].tolist(), np.split(values, heads[1:]) if len(heads) else []
+
+
+def _squares(head: list[int], end: list[int], first: int, last: int) -> list[tuple[int, int]]:
+    """For each stretch what is left of its segment when it is the longest: from the last one before it that is as long to the next one that is longer."""
+    lows, highs, stack = [], [last] * len(head), []
+    for t, (lo, hi) in enumerate(zip(head, end)):
+        while stack and end[stack[-1]] - head[stack[-1]] < hi - lo:
+            highs[stack.pop()] = lo
+        lows.append(end[stack[-1]] if stack else first)
+        stack.append(t)
+    return list(zip(lows, highs))
+
+
+def _earlier(b: np.ndarray, low: int, high: int, head: int, end: int) -> bool:
+    """Whether b[low:high] has b[head:end] at a place before head."""
+    text, part, wide = b[low : end - 1].tobytes(), b[head:end].tobytes(), b.itemsize
+    at = text.find(part)
+    while at >= 0 and at % wide:
+        at = text.find(part, at + 1)
+    return at >= 0
+
+
+def _chains(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: np.ndarray, segs: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(seg, i, j, n): the longest runs of segments that become anchors one after the other, by place; all segments have runs, which stand by segment.
+
+    The first of each is there; those after it may be left to be found among the runs that are left.
+    """
+    heads = np.flatnonzero(np.diff(s, prepend=-1))
+    n = hi - lo
+    most = np.maximum.reduceat(n, heads)
+    best = np.flatnonzero(n == most[s])
+    to = lo[best] - d[best]
+    final = np.maximum.reduceat(to, np.flatnonzero(np.diff(s[best], prepend=-1)))
+    key = np.sort(lo[best] * width + to)  # by place in a, then in b; segments lie one after the other in a
+    seg = np.arange(len(segs))
+    i, j = segs[:, 0], segs[:, 2]
+    out = []
+    for _ in range(4 + len(s) // 1024):  # many steps of a few segments cost more than another look at all runs
+        at = np.searchsorted(key, i * width + j)
+        some = (at < len(key)) & (j <= final[seg])
+        seg, at, j = seg[some], at[some], j[some]
+        i, found = np.divmod(key[at], width)
+        some = i < segs[seg, 1]
+        seg, i, j, found = seg[some], i[some], j[some], found[some]
+        fits = found >= j
+        out.append(np.stack([seg[fits], i[fits], found[fits], most[seg[fits]]]))
+        step = np.where(fits, most[seg], 0)  # else the next place in a is looked at, from the same place in b
+        i, j = i + step, np.where(fits, found, j) + step
+        if not len(seg):
+            break
+    seg, i, j, n = np.concatenate(out, axis=1)
+    order = np.argsort(i)
+    return seg[order], i[order], j[order], n[order]
+
+
+def _parts(segs: np.ndarray, seg: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What is left of segments before, between and after their anchors; a segment with m anchors has m + 1 parts."""
+    count = np.bincount(seg, minlength=len(segs))
+    last = np.arange(len(segs)) + np.cumsum(count)
+    before = seg + np.arange(len(seg))
+    out = np.empty((len(segs) + len(seg), 4), np.int64)
+    out[last - count, 0], out[last - count, 2], out[last, 1], out[last, 3] = segs.T[[0, 2, 1, 3]]
+    out[before, 1], out[before, 3], out[before + 1, 0], out[before + 1, 2] = i, j, i + n, j + n
+    return out
 
 
 def anchors(x: np.ndarray, y: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -108,36 +250,38 @@ def anchors(x: np.ndarray, y: np.ndarray, size_a: np.ndarray, size_b: np.ndarray
     segs = np.stack([begin_a, begin_a + size_a, begin_b, begin_b + size_b], axis=1)
     found = [np.zeros((0, 3), np.int64)]
     for k in GRAMS:
-        fit = np.minimum(segs[:, 1] - segs[:, 0], segs[:, 3] - segs[:, 2])
-        segs, fit = segs[fit > 0], fit[fit > 0]
-        now = fit >= k * k  # in shorter ones runs of k are not worth looking for
-        rest, segs = [segs[~now]], segs[now]
-        if not len(segs):
-            segs = rest[0]
-            continue
-        (s, lo, hi, d), large = _matches(x, y, segs, k)
-        found += [np.array(_by_rows(x, y, seg), np.int64).reshape(-1, 3) for seg in segs[large].tolist()]
-        open_ = ~large
-        while len(s):
-            heads = np.flatnonzero(np.diff(s, prepend=-1))
-            mine = s[heads]  # segments that have runs
-            nth = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(s))))
-            n = hi - lo
-            most = np.maximum.reduceat(n, heads)
-            i = np.minimum.reduceat(np.where(n == most[nth], lo, 1 << 62), heads)
-            j = np.minimum.reduceat(np.where((n == most[nth]) & (lo == i[nth]), lo - d, 1 << 62), heads)
-            found.append(np.stack([i, j, most], axis=1))
-            open_[mine] = False
+        segs, rest = _worth(segs, k)
+        if len(segs):
+            got, segs = _in_place(x, y, segs)
+            found.append(got)
+        while len(segs):
+            segs = segs[np.argsort(segs[:, 0])]
+            (s, lo, hi, d), large = _matches(x, y, segs, k)
+            longest = [(q, a0 + i, b0 + j, n) for q, (a0, a1, b0, b1) in enumerate(segs[large].tolist()) for i, j, n in _longest(x[a0:a1], y[b0:b1])]
+            seg, i, j, n = np.array(longest, np.int64).reshape(-1, 4).T
+            found.append(np.stack([i, j, n], axis=1))
+            mine, seg = np.unique(seg, return_inverse=True)
+            again, short = _worth(_parts(segs[large][mine], seg, i, j, n), k)
+            rest.extend(short)
+            open_ = ~large
+            while len(s):
+                mine, s = np.unique(s, return_inverse=True)  # segments that have runs
+                open_[mine] = False
+                rest.append(segs[open_])
+                segs = segs[mine]
+                seg, i, j, n = _chains(s, lo, hi, d, segs, len(y) + 1)
+                found.append(np.stack([i, j, n], axis=1))
+                segs = _parts(segs, seg, i, j, n)
+                s = s + np.searchsorted(i, lo, "right")  # no run is longer than its segment's anchors, so it reaches into one part at most
+                a0, a1, b0, b1 = segs[s].T
+                lo, hi = np.maximum(lo, np.maximum(a0, b0 + d)), np.minimum(hi, np.minimum(a1, b1 + d))
+                open_ = np.ones(len(segs), bool)
+                some = np.flatnonzero(hi - lo >= k)
+                some = some[np.argsort(s[some], kind="stable")]
+                s, lo, hi, d = s[some], lo[some], hi[some], d[some]
             rest.append(segs[open_])
-            a0, a1, b0, b1 = segs[mine].T
-            segs = np.stack([np.stack([a0, i, b0, j], axis=1), np.stack([i + most, a1, j + most, b1], axis=1)], axis=1).reshape(-1, 4)
-            open_ = np.ones(len(segs), bool)
-            after, before = np.maximum(lo, np.maximum((i + most)[nth], (j + most)[nth] + d)), np.minimum(hi, np.minimum(i[nth], j[nth] + d))
-            s, lo, hi, d = np.concatenate([2 * nth, 2 * nth + 1]), np.concatenate([lo, after]), np.concatenate([before, hi]), np.concatenate([d, d])
-            some = np.flatnonzero(hi - lo >= k)
-            some = some[np.argsort(s[some], kind="stable")]
-            s, lo, hi, d = s[some], lo[some], hi[some], d[some]
-        segs = np.concatenate([*rest, segs[open_]])
+            segs = again
+        segs = np.concatenate(rest)
     i, j, n = np.concatenate(found).T
     order = np.argsort(i)
     i, j, n = i[order], j[order], n[order]
@@ -145,6 +289,12 @@ def anchors(x: np.ndarray, y: np.ndarray, size_a: np.ndarray, size_b: np.ndarray
     return np.stack([pair, i - begin_a[pair], j - begin_b[pair], n])
 
 
+def _worth(segs: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Segments in which runs of k are worth looking for, and the shorter ones."""
+    fit = np.minimum(segs[:, 1] - segs[:, 0], segs[:, 3] - segs[:, 2])
+    return segs[fit >= k * k], [segs[(fit > 0) & (fit < k * k)]]
+
+
 def many_steps(x: np.ndarray, y: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, ...]:
     """(pair, tag, i1, i2, j1, j2): the steps of pairs of sequences as arrays, tags as places in TAGS; anchors without anything between them are one stretch."""
     pair, i, j, n = anchors(x, y, size_a, size_b)

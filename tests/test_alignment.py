@@ -22,6 +22,24 @@ def test_text_steps(monkeypatch):
             assert alignment.text_steps(a, b) == matcher(a, b), (a, b)
 
 
+def test_steps_of_replaced_and_repeated_items(monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [("eEe", "EEE"), ("xEveEv", "xEvEEv"), ("Ev eve", "Ev EvE"), ("abcabd" * 40, ("abcabd" * 40)[7:-5].replace("d", "x")), ("na " * 50, "an " * 45)]
+    for n in (8, 40, 200):
+        for letters in ("eE", "abeE ", "abcdefghiE "):
+            for _ in range(25):
+                a = "".join(rng.choice(list(letters), int(rng.integers(1, n)))) * int(rng.integers(1, 4))
+                b, at = a.replace("e", "E"), int(rng.integers(0, len(a) + 1))
+                pairs += [(a, b), (b, a), (a, b[:at] + "new" + b[at:]), (a, a[:at] + "E" + a[at + 1 :])]
+    for cells in (1 << 21, 3000, 0):
+        monkeypatch.setattr(alignment, "CELLS", cells)
+        (x, n), (y, m) = alignment._codes([a for a, _ in pairs]), alignment._codes([b for _, b in pairs])
+        got = [[] for _ in pairs]  # of all pairs side by side
+        for pair, tag, *places in zip(*(z.tolist() for z in alignment.many_steps(x, y, n, m))):
+            got[pair].append((alignment.TAGS[tag], *places))
+        assert got == [matcher(a, b) for a, b in pairs]
+
+
 @pytest.fixture(scope="module")
 def versions():
     rng = np.random.default_rng(2)

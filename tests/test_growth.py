@@ -77,6 +77,15 @@ def test_many_changes_of_long_texts(spark):
     assert time.monotonic() - began < 20
 
 
+def test_changes_of_long_repeated_texts():
+    a = "Heing " * 3000
+    b = a.replace("e", "E")
+    began = time.monotonic()
+    assert alignment._changes([a], [b])[:, 0].tolist() == [15000, 0, 0, 3000]
+    assert alignment._changes([a], ["x" + b])[:, 0].tolist() == [15000, 1, 0, 3000]
+    assert time.monotonic() - began < 20  # runs of pairs of places were looked at anew for every anchor: half of one took 200 s
+
+
 def test_pages_meet_by_one_shuffle_of_their_digests(spark):
     plan = page_queries.page_pairing(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
