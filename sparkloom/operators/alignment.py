@@ -27,6 +27,8 @@ PAIRS = 1 << 19
 #: Lengths of the k-grams by which runs are found, down to single items.
 GRAMS = (16, 4, 1)
 TAGS = ("equal", "replace", "delete", "insert")
+#: All white space of Unicode. Trimming looks at the end of a line only, a pattern at every place of it.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -341,34 +343,44 @@ def _changes(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def _met(a: DataFrame, b: DataFrame, key: str, at: str, item: str, *facts: str) -> DataFrame:
+    """(key, _s): the items of both sequences of each key, with facts of theirs."""
+    sides = [df.select(key, F.struct(F.lit(side).alias("side"), F.col(at).cast("long").alias("at"), F.col(item).alias("item"), *facts).alias("_s")) for side, df in ((False, a), (True, b))]
+    return sides[0].unionByName(sides[1]).groupBy(key).agg(F.collect_list("_s").alias("_s"))
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(keys, a, b) for groups of rows of _met; a and b: numbers of the items one after the other, how many each key has, and their facts."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        for part in _groups(sizes):
+            rows = batch.slice(part.start, part.stop - part.start)
+            side, at, items, *facts = rows.column(1).flatten().flatten()
+            side, at = (z.to_numpy(zero_copy_only=False).astype(np.int64) for z in (side, at))
+            items = items.dictionary_encode().indices.to_numpy()
+            nth = np.repeat(np.arange(rows.num_rows), sizes[part])
+            sequences = []
+            for one in (0, 1):
+                mine = np.flatnonzero(side == one)
+                mine = mine[np.lexsort((at[mine], nth[mine]))]
+                sequences.append((items[mine], np.bincount(nth[mine], minlength=rows.num_rows), [z.take(pa.array(mine)) for z in facts]))
+            yield rows.column(0), *sequences
+
+
 def opcodes(a: DataFrame, b: DataFrame, key: str, at: str = "at", item: str = "item") -> DataFrame:
     """(key, tag, i1, i2, j1, j2) for each pair of sequences; a: (key, at, item), at counts from 0 without gaps.
 
     A key that only one side has is all deleted or inserted. Keys and items are not null; items are short, as those of a pair of sequences
     meet in one row. No rows give no rows.
     """
-    sides = [df.select(key, F.struct(F.lit(side).alias("side"), F.col(at).cast("long").alias("at"), F.col(item).alias("item")).alias("_s")) for side, df in ((False, a), (True, b))]
-    both = sides[0].unionByName(sides[1]).groupBy(key).agg(F.collect_list("_s").alias("_s"))  # the items of one pair of sequences
     kind = a.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            for part in _groups(sizes):
-                rows = batch.slice(part.start, part.stop - part.start)
-                side, at, items = rows.column(1).flatten().flatten()
-                side, at = (z.to_numpy(zero_copy_only=False).astype(np.int64) for z in (side, at))
-                items = items.dictionary_encode().indices.to_numpy()
-                nth = np.repeat(np.arange(rows.num_rows), sizes[part])
-                sequences = []
-                for one in (0, 1):
-                    mine = np.flatnonzero(side == one)
-                    mine = mine[np.lexsort((at[mine], nth[mine]))]
-                    sequences.append((items[mine], np.bincount(nth[mine], minlength=rows.num_rows)))
-                pair, tag, *places = many_steps(sequences[0][0], sequences[1][0], sequences[0][1], sequences[1][1])
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(pair)), _tags(tag, TAGS), *map(pa.array, places)], [key, "tag", "i1", "i2", "j1", "j2"])
-
-    return both.mapInArrow(run, f"`{key}` {kind}, tag string, i1 long, i2 long, j1 long, j2 long")
+        for keys, (x, n, _), (y, m, _) in _sequences(batches):
+            pair, tag, *places = many_steps(x, y, n, m)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(pair)), _tags(tag, TAGS), *map(pa.array, places)], [key, "tag", "i1", "i2", "j1", "j2"])
+
+    return _met(a, b, key, at, item).mapInArrow(run, f"`{key}` {kind}, tag string, i1 long, i2 long, j1 long, j2 long")
 
 
 def _tags(tag: np.ndarray, names: tuple[str, ...]) -> pa.Array:
@@ -404,7 +416,7 @@ def page_pairs(a: DataFrame, b: DataFrame, key: str, page: str = "page", text: s
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(T.split_lines(F.coalesce(text, F.lit(""))), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    return F.transform(T.split_lines(F.coalesce(text, F.lit(""))), lambda x: F.rtrim(x, F.lit(BLANKS)))
 
 
 _LINE = [("tag", "string"), *((c, "long") for c in ("a_line", "b_line", "matched", "chars_added", "chars_removed", "chars_changed"))]
@@ -415,28 +427,35 @@ def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+#: What became of a place, by number.
+PLACES = ("equal", "change", "delete", "insert")
+
+
+def _each_place(pair: np.ndarray, tag: np.ndarray, i1: np.ndarray, i2: np.ndarray, j1: np.ndarray, j2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair, place in PLACES, at_a, at_b, has_a, has_b) for each place of steps; replaced stretches are paired place by place."""
+    k = np.maximum(i2 - i1, j2 - j1)
+    pair, tag, at_a, at_b, end_a, end_b = (np.repeat(z, k) for z in (pair, tag, i1, j1, i2, j2))
+    nth = _places(np.zeros_like(k), k)
+    at_a, at_b = at_a + nth, at_b + nth
+    has_a, has_b = at_a < end_a, at_b < end_b
+    return pair, np.where(tag == 0, 0, np.where(~has_b, 2, np.where(~has_a, 3, 1))), at_a, at_b, has_a, has_b
+
+
 @F.arrow_udf(ArrayType(reduce(lambda t, f: t.add(*f), _LINE, StructType())))
 def _line_steps(a: pa.Array, b: pa.Array) -> pa.Array:
     """What became of each line of pairs of lists of lines."""
-    names = ("equal", "change", "delete", "insert")
     parts = [pa.array([], pa.list_(pa.struct([(n, pa.string() if t == "string" else pa.int64()) for n, t in _LINE])))]
     for part in _groups(sum(_flat(x)[1] for x in (a, b))):
         (lines_a, n), (lines_b, m) = (_flat(x.slice(part.start, part.stop - part.start)) for x in (a, b))
         items = pa.concat_arrays([lines_a, lines_b]).dictionary_encode().indices.to_numpy()
-        pair, tag, i1, i2, j1, j2 = many_steps(items[: len(lines_a)], items[len(lines_a) :], n, m)
-        k = np.maximum(i2 - i1, j2 - j1)
-        pair, tag, at_a, at_b, end_a, end_b = (np.repeat(z, k) for z in (pair, tag, i1, j1, i2, j2))
-        nth = _places(np.zeros_like(k), k)
-        at_a, at_b = at_a + nth, at_b + nth
-        has_a, has_b = at_a < end_a, at_b < end_b  # replaced stretches are paired place by place
-        tag = np.where(tag == 0, 0, np.where(~has_b, 2, np.where(~has_a, 3, 1)))
+        pair, tag, at_a, at_b, has_a, has_b = _each_place(*many_steps(items[: len(lines_a)], items[len(lines_a) :], n, m))
         u, v = at_a + (np.cumsum(n) - n)[pair], at_b + (np.cumsum(m) - m)[pair]
         chars = np.zeros((4, len(tag)), np.int64)
         both = tag == 1
         chars[:, both] = _changes(lines_a.take(pa.array(u[both])).to_pylist(), lines_b.take(pa.array(v[both])).to_pylist())
         for row, lines, at, t in ((1, lines_b, v, 3), (2, lines_a, u, 2)):
             chars[row, tag == t] = pc.utf8_length(lines.take(pa.array(at[tag == t]))).to_numpy(zero_copy_only=False)
-        cols = [_tags(tag, names), pa.array(at_a, mask=~has_a), pa.array(at_b, mask=~has_b), pa.array(chars[0], mask=~both), *map(pa.array, chars[1:])]
+        cols = [_tags(tag, PLACES), pa.array(at_a, mask=~has_a), pa.array(at_b, mask=~has_b), pa.array(chars[0], mask=~both), *map(pa.array, chars[1:])]
         ends = np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=len(n)))])
         parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(parts[0].type.value_type))))
     return pa.concat_arrays(parts)
@@ -457,17 +476,33 @@ def compared_lines(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 def document_totals(a: DataFrame, b: DataFrame, key: str, page: str = "page", text: str = "text") -> DataFrame:
     """(key, a_page, b_page, added, removed, changed, chars_added, chars_removed, chars_changed, chars_a, chars_b) of each pair of pages.
 
-    A page that only one side has is all added or removed, line by line.
+    A page that only one side has is all added or removed, line by line. Pages meet by their digests, with which go their numbers of lines and characters; texts are
+    only brought to pairs of changed pages.
     """
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    found = page_pairs(a, b, key, page, text)
-    for side, df in (("a", a), ("b", b)):
-        lines = df.select(key, F.col(page).cast("long").alias(f"{side}_page"), _lines(F.col(text)).alias(f"_{side}"))
-        facts = [F.coalesce(F.size(f"_{side}"), F.lit(0)).cast("long").alias(f"_n_{side}"), size(F.col(f"_{side}")).alias(f"chars_{side}")]
-        found = found.join(lines.select("*", *facts), [key, f"{side}_page"], "left")
+    pages = []
+    for df in (a, b):
+        each = df.select(key, F.col(page).alias("at"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("item"), _lines(F.col(text)).alias("_l"))
+        pages.append(each.select(key, "at", "item", F.size("_l").cast("long").alias("lines"), size(F.col("_l")).alias("chars")))
+    kind = a.schema[key].dataType.simpleString()
+    numbers = ("a_page", "b_page", "_n_a", "chars_a", "_n_b", "chars_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, (x, n, facts_a), (y, m, facts_b) in _sequences(batches):
+            pair, tag, at_a, at_b, has_a, has_b = _each_place(*many_steps(x, y, n, m))
+            cols = [keys.take(pa.array(pair)), _tags(tag, PLACES), pa.array(at_a, mask=~has_a), pa.array(at_b, mask=~has_b)]
+            for at, has, count, facts in ((at_a, has_a, n, facts_a), (at_b, has_b, m, facts_b)):
+                place = pa.array(at + (np.cumsum(count) - count)[pair], mask=~has)
+                cols += [z.take(place) for z in facts]
+            yield pa.RecordBatch.from_arrays(cols, [key, "tag", *numbers])
+
+    found = _met(*pages, key, "at", "item", "lines", "chars").mapInArrow(run, ", ".join([f"`{key}` {kind}", "tag string", *(f"{c} long" for c in numbers)]))
     # only changed pages are looked at line by line
     some = F.col("tag") == "change"
-    steps = found.withColumn("_s", _line_steps(F.when(some, F.col("_a")), F.when(some, F.col("_b"))))
+    for side, df in (("a", a), ("b", b)):
+        texts = df.select(key, F.col(page).cast("long").alias(f"_{side}_page"), F.col(text).alias(f"_{side}"))
+        found = found.withColumn(f"_{side}_page", F.when(some, F.col(f"{side}_page"))).join(texts, [key, f"_{side}_page"], "left")
+    steps = found.withColumn("_s", _line_steps(*(F.when(some, _lines(F.col(c))) for c in ("_a", "_b"))))
     of = lambda tag: F.size(F.filter("_s", lambda s: s["tag"] == tag))
     total = lambda c: F.aggregate("_s", F.lit(0).cast("long"), lambda n, s: n + s[c])
     whole = lambda tag, n: F.when(F.col("tag") == tag, F.col(n))

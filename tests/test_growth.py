@@ -100,6 +100,24 @@ def test_texts_are_split_into_lines_once(spark):
     assert len(rows) == len(texts) + 1 and all(r["lines"] == (r["text"] or "").splitlines() for r in rows)
 
 
+def test_texts_are_brought_to_changed_pages_only(spark):
+    plan = page_queries.document_compare(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2 and all("_page" in line for line in joins)
+    aligned = plan[plan.index("MapInArrow") :]
+    before = plan[: plan.index("MapInArrow")]
+    assert before.count("split(") == 2 and "CASE WHEN (tag" in before  # a changed page's texts; lines of all pages were split there and shuffled, those of a twice
+    assert aligned.count("sha2(") == 2  # with the digests go numbers of lines and characters
+
+
+def test_lines_end_before_all_white_space(spark):
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(m, f"a {m}b {m}") for m in marks], "m string, t string")
+    kept = F.regexp_replace("t", r"(?U)\s+$", "")
+    assert rows.filter(F.rtrim("t", F.lit(alignment.BLANKS)) != kept).count() == 0
+    assert rows.filter(kept.endswith("b") & (F.col("m") != "b")).count() == len(alignment.BLANKS) == 25
+
+
 def test_lines_are_compared_in_the_row_of_their_texts(spark):
     rows = spark.createDataFrame([(1, "a\nb", "a\nc"), (1, "a\nb", "a\nc"), (None, None, "x"), (2, "", None)], "k long, a string, b string")
     found = diffs.line_diff(rows, "k", "a", "b")
